@@ -64,7 +64,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     df = docs.withColumn("_t", t)
     df = df.withColumn("_w", F.filter(F.split("_t", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     df = df.withColumn("_l", F.filter(F.split("_t", "\n", -1), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != ""))
-    df = df.withColumn("_x", F.transform("_w", F.xxhash64))
+    df = df.withColumn("_x", F.transform("_w", lambda w: F.xxhash64(w)))
     hashed = ", ".join(f"_x[i + {k}]" for k in range(WINDOW))
     df = df.withColumn(
         "_h",
