@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this subpackage, one for each registered query.
-MODULES = ("op6_token_counts", "op7_quality_rules")
+MODULES = ("op5_best_fit_packing", "op6_token_counts", "op7_quality_rules")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
