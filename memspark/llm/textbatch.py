@@ -78,14 +78,14 @@ def strings(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iter
 
 
 class Words:
-    """Word boundaries of a slice: words are runs of bytes that are neither 0x20 nor 0x09 to 0x0D.
+    """Word boundaries of a slice: words are runs of bytes that are not in the table ``outside``: by default 0x20 and 0x09 to 0x0D.
 
     ``start``, ``end``: byte bounds of each word; ``first``: index of each text's first word, with the total at the end.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE):
         self.data, self.offsets = data, offsets
-        space = _SPACE[data]
+        space = outside[data]
         before, after = np.ones(len(data), bool), np.ones(len(data), bool)
         before[1:], after[:-1] = space[:-1], space[1:]
         inside = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -138,3 +138,17 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = (of[1:] != of[:-1]) | (value[1:] != value[:-1])
     of, value = of[new], value[new]
     return value, np.searchsorted(of, np.arange(len(words.offsets)))
+
+
+def text_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of ``values``, one for each byte or word, over texts bounded by ``offsets``; empty texts give 0."""
+    sums = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=sums[1:])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def byte_table(characters: str | bytes) -> np.ndarray:
+    """A table of 256 flags, set for the bytes of ``characters``."""
+    out = np.zeros(256, bool)
+    out[list(characters.encode() if isinstance(characters, str) else characters)] = True
+    return out
