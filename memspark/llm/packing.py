@@ -28,10 +28,12 @@ from memspark.llm.store import stored
 from memspark.llm.textbatch import strings
 
 #: Most remembered words of a worker; beyond it the table starts anew (results don't change).
-MOST_WORDS = 500_000
+MOST_WORDS = 900_000
 #: Pieces of a length that are numbered together, at least; it grows with the square root of all pieces.
 SALT_ROWS = 200
-_MARKS = frozenset(",.;:!?")
+_MARKS = tuple(",.;:!?")
+# Fixed value: the published pre-token pattern of this kind of vocabulary.
+_PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # Texts of these characters only: lower-casing and white space work there word by word. Others go to the library whole.
 _PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa0-ɏ‐-‧€]*")
 
@@ -54,17 +56,17 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Adds ``words``. Those of letters only are encoded side by side in one text: each ends with an end-of-word id."""
+        """Adds ``words``. They are encoded side by side in one text: each of their pre-tokens ends with an end-of-word id."""
         ended = {w for w in words if w[-1] in _MARKS and w[:-1].isalpha()}
-        letters = [w for w in {w[:-1] for w in ended} | (words - ended) if w.isalpha()]
-        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
-        at, raw = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()], ids.tobytes()
-        if len(at) != len(letters) + 1:
-            raise ValueError("the vocabulary doesn't end each word by an id of its own")
-        self.update(zip(letters, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
-        marks = {m: self.encoded(m) for m in _MARKS}
-        self.update((w, self[w[:-1]] + marks[w[-1]]) for w in ended)
-        self.update((w, self.encoded(w)) for w in words - ended if not w.isalpha())
+        single = list({w[:-1] for w in ended} | (words - ended))
+        ids = np.array(self.tokenizer.encode(" ".join([*single, *_MARKS]), add_special_tokens=False).ids, "<u4")
+        last = np.cumsum([1 if w.isalpha() else len(_PRE_TOKENS.findall(w)) for w in single] + [1] * len(_MARKS))
+        ends, raw = np.flatnonzero(self.ends[ids]), ids.tobytes()
+        if len(ends) != last[-1]:
+            raise ValueError("the vocabulary doesn't end each pre-token by an id of its own")
+        at = [0, *(4 * (ends[last - 1] + 1)).tolist()]
+        self.update(zip([*single, *_MARKS], (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+        self.update((w, self[w[:-1]] + self[w[-1]]) for w in ended)
 
     def of_texts(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.lower().split() if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
