@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this subpackage, one for each registered query.
-MODULES = ("op1_quality_classifier", "op3_minhash_near_dedup", "op4_html_extraction", "op5_best_fit_packing", "op6_token_counts", "op7_quality_rules", "op8_exact_topk", "op10_source_mixing")
+MODULES = ("op1_quality_classifier", "op3_minhash_near_dedup", "op4_html_extraction", "op5_best_fit_packing", "op6_token_counts", "op7_quality_rules", "op8_exact_topk", "op9_line_dedup", "op10_source_mixing")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
