@@ -1,10 +1,78 @@
-"""The training-data pipeline: stages over the documents, each reading what the one before has written."""
+"""The training-data pipeline: stages over the documents, each reading what the one before has written.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memspark.llm.line_dedup import dedup_lines
+from memspark.llm.minhash import near_duplicates
+from memspark.llm.mixing import mix_sources
+from memspark.llm.packing import pack
+from memspark.llm.quality_classifier import score
+from memspark.llm.queries.op1_quality_classifier import THRESHOLD, train
+from memspark.llm.queries.op3_minhash_near_dedup import PERCENT
+from memspark.llm.queries.op5_best_fit_packing import CAPACITY, VOCABULARY
+from memspark.llm.store import stored
+from memspark.tables import table
+
+#: A table of ids and numbers is broadcast up to this many rows.
+BROADCAST_ROWS = 400_000
+
+
+def _by_id(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` joined with ``found`` (doc_id and narrow columns, one row for each id)."""
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    right = (F.broadcast(found) if few else found).withColumnRenamed("doc_id", "_id")
+    return docs.join(right, docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")), name="_score")
+    return scored.where(F.col("_score") >= THRESHOLD).drop("_score")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their copied lines; n_chars follows the text. A document that consisted of copied lines only goes."""
+    cut = dedup_lines(docs)
+    cut = cut.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
+    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group."""
+    gone = near_duplicates(docs, PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = stored(gone, "near_gone")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    taken = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    repeated = _by_id(docs, stored(taken, "taken"))
+    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document."""
+    return pack(docs, public_tokenizers.path(VOCABULARY), CAPACITY)
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("minhash near-dedup", near), ("source mixing", mix), ("best-fit packing", packing)]
+#: The classifier and the mix's random rounding have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
