@@ -8,8 +8,9 @@ permutations give a signature of the usual length. Bands of the signature are bu
    only its smallest id goes on.
 2. In each bucket every class is paired with the bucket's smallest id: a star, never all pairs. Pairs whose sizes allow
    the similarity are confirmed on the full shingle sets, and confirmed links give first components.
-3. What a star can miss is a link between two classes of a bucket that are not in one component yet. Such buckets alone
-   are compared again, block by block, by their signatures; pairs that may reach the similarity are confirmed too.
+3. What a star can miss is a link between two classes that share a bucket but no component yet. Bucket mates form groups
+   (components of the unconfirmed pairs); groups with several components are compared once more, block by block, all
+   members of two blocks at a time on their full shingle sets. A task returns only links that join components.
 4. Components of all links, by propagating the smallest id and jumping to the label of the label.
 """
 
@@ -29,11 +30,9 @@ SHINGLE = 5
 #: Bands of ROWS signature values: a pair at similarity 0.85 shares no band with a probability of 4e-7.
 BANDS, ROWS = 20, 4
 PERMUTATIONS = BANDS * ROWS // 2
-#: A second comparison passes pairs whose signatures agree in this share of values: 5 standard deviations below 0.85.
-LEAST_AGREEMENT = 0.65
 #: Tables of this many narrow rows at most are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-#: Pairs of a hot document that are confirmed together, and members of a block of a bucket.
+#: Pairs of a hot document that are confirmed together, and members of a block of a group.
 TOGETHER, BLOCK = 64, 256
 
 
@@ -82,8 +81,8 @@ def shingle_sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return rows.mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, signature binary")
 
 
-def _buckets(classes: DataFrame, signature: bool = False) -> DataFrame:
-    """bucket, id, n (and signature): a row for each class and band."""
+def _buckets(classes: DataFrame) -> DataFrame:
+    """bucket, id, n: a row for each class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,13 +91,9 @@ def _buckets(classes: DataFrame, signature: bool = False) -> DataFrame:
                 raw = part.column(2).to_pylist()
                 keys = _bands(np.frombuffer(b"".join(raw), np.uint32).reshape(len(raw), -1))
                 take = pa.array(np.repeat(np.arange(len(raw)), BANDS))
-                columns = [pa.array(keys.ravel()), part.column(0).take(take), part.column(1).take(take)]
-                if signature:
-                    columns += [pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(raw))), part.column(2).take(take), part.column(3).take(take)]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "id", "n", "band", "signature", "component"][: len(columns)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(take), part.column(1).take(take)], names=["bucket", "id", "n"])
 
-    columns = ["id", "n", "signature", "component"] if signature else ["id", "n", "signature"]
-    return classes.select(*columns).mapInArrow(run, "bucket long, id long, n long" + ", band int, signature binary, component long" * signature)
+    return classes.select("id", "n", "signature").mapInArrow(run, "bucket long, id long, n long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -156,78 +151,90 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _second_pairs(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components whose signatures agree enough."""
-    classes = classes.join(_small(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    narrow = _buckets(classes.withColumn("n", F.col("component"))).withColumnRenamed("n", "component")
-    mixed = narrow.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("id").alias("_lead"), F.count("*").alias("_n"))
-    mixed = stored(mixed.where("_lo < _hi"), "mixed")
-    # a bucket's main component is that of its lead; the lead has met everyone already
-    leads = mixed.select(F.col("_lead").alias("id"), "bucket").join(_small(stored(classes.select("id", "component"), "labelled")), "id")
-    mixed = stored(mixed.join(leads.select("bucket", F.col("component").alias("_main")), "bucket").select("bucket", "_main", "_n"), "mixed_main")
-    rows = _buckets(classes, signature=True).join(_small(mixed), "bucket")
-    rows = rows.withColumn("_other", (F.col("component") != F.col("_main")).cast("int")).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK))
-    mine = F.pmod(F.xxhash64("id"), F.col("_blocks"))
-    # every block meets every block of the bucket's other components; those of the main component don't meet each other
-    every = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    as_row = rows.select("bucket", F.explode(every).alias("_i"), mine.alias("_j"), F.lit(0).alias("_side"), "id", "n", "band", "signature", "component")
-    as_column = rows.where("_other = 1").select("bucket", mine.alias("_i"), F.explode(every).alias("_j"), F.lit(1).alias("_side"), "id", "n", "band", "signature", "component")
-    wanted = as_column.select("bucket", "_i", "_j").distinct()
-    grid = as_row.join(wanted, ["bucket", "_i", "_j"], "left_semi").unionByName(as_column)
+def _links_within(sets: list[np.ndarray], size: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of positions that reach the similarity, as far as they join components that nothing before has joined."""
+    member = np.repeat(np.arange(len(sets)), size)
+    values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1  # shingles of one member add nothing
+    shared = count[code] > 1
+    member, code = member[shared], rank[code[shared]]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(code, kind="stable")
+    member, code = member[order], code[order]
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        here = slice(*np.searchsorted(code, (lo, lo + 4096)))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[member[here], code[here] - lo] = 1
+        common += has @ has.T
+    links = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    root = {c: c for c in component.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    found = []
+    for x, y in np.argwhere(np.triu(links & (component[:, None] != component[None, :]), 1)).tolist():
+        a, b = find(int(component[x])), find(int(component[y]))
+        if a != b:
+            root[a] = b
+            found.append((x, y))
+    return found
+
+
+def _second_links(classes: DataFrame, candidates: DataFrame, labels: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
+    """Links between components within the groups that candidates (pairs a, b) form: enough of them to join what belongs together."""
+    group = components(candidates).withColumnRenamed("component", "group")
+    known = classes.select("id").join(_small(group), "id").join(_small(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = stored(known, "grouped")
+    mixed = known.groupBy("group").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    mixed = stored(mixed.where("_lo < _hi").drop("_lo", "_hi"), "mixed")
+    rows = known.join(_small(mixed), "group").withColumn("_block", F.pmod(F.xxhash64("id"), "_blocks"))
+    rows = stored(rows, "blocks")
+    texts = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).join(_small(rows), "id")
+    # every two blocks of a group meet once
+    with_ = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    grid = texts.withColumn("_with", with_).withColumns({"_i": F.least("_block", "_with"), "_j": F.greatest("_block", "_with")})
 
     def compare(table):
-        side = table.column("_side").to_numpy()
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(side), -1)
-        keys = _bands(signature)
-        id_, n, component = (table.column(c).to_numpy() for c in ("id", "n", "component"))
-        band = table.column("band")[0].as_py()
-        row, found = np.flatnonzero(side == 0), []
-        for y in np.flatnonzero(side == 1):
-            fits = (component[row] != component[y]) & (100 * np.minimum(n[row], n[y]) >= percent * np.maximum(n[row], n[y]))
-            x = row[fits]
-            x = x[(signature[x] == signature[y]).mean(axis=1) >= LEAST_AGREEMENT]
-            x = x[~(keys[x, :band] == keys[y, :band]).any(axis=1)]  # the first common bucket has the pair
-            found.append(np.stack([np.minimum(id_[x], id_[y]), np.maximum(id_[x], id_[y])]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    pairs = grid.groupBy("bucket", "_i", "_j").applyInArrow(compare, "a long, b long")
-    return stored(pairs.distinct(), "second_pairs")
+        batch = table.combine_chunks().to_batches()[0]
+        own = []
+        for _, data, offsets in slices(batch, "text"):
+            values, at = shingles(Words(data, offsets), SHINGLE)
+            own += [values[a:b] for a, b in zip(at, at[1:], strict=False)]
+        id_, component = batch.column(batch.schema.get_field_index("id")).to_numpy(), batch.column(batch.schema.get_field_index("component")).to_numpy()
+        pairs = _links_within(own, np.array([len(x) for x in own]), component, percent) if (component != component[0]).any() else []
+        return pa.table({"a": pa.array([min(id_[x], id_[y]) for x, y in pairs], pa.int64()), "b": pa.array([max(id_[x], id_[y]) for x, y in pairs], pa.int64())})
+
+    found = grid.select("group", "_i", "_j", "id", "component", "text").groupBy("group", "_i", "_j").applyInArrow(compare, "a long, b long")
+    return stored(found, "second_links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, n_shingles, component_id, kept, n_links of every row of ``docs``.
+    """``key``, n_shingles, component_id, kept of every row of ``docs``.
 
     Links join documents whose similarity is at least ``percent`` / 100. A null or empty text, or one of white space
     only, has no shingle and no link. A text with fewer words than a shingle is one shingle. Rows of one id are one
-    document to the links; a row without id has none, and is kept. An empty table gives none. n_links counts the
-    confirmed links of the document's class, its equal documents included.
+    document to the links; a row without id has none, and is kept. An empty table gives none.
     """
     sets = stored(shingle_sets(docs, text, key), "sets")
     narrow = sets.select("id", "n_shingles", "f1", "f2")
     classes = sets.where("n_shingles > 0 AND id IS NOT NULL").groupBy("f1", "f2", F.col("n_shingles").alias("n"))
-    classes = stored(classes.agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("signature").alias("signature")), "classes")
+    classes = stored(classes.agg(F.min("id").alias("id"), F.first("signature").alias("signature")), "classes")
     rows = _buckets(classes)
     leads = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("_lead"), F.count("*").alias("_n")).where("_n > 1")
     leads = stored(leads.select("bucket", F.col("_lead.id").alias("a"), F.col("_lead.n").alias("_na")), "leads")
-    pairs = rows.join(_small(leads), "bucket").where(F.col("id") != F.col("a"))
-    pairs = pairs.where(100 * F.least("n", "_na") >= percent * F.greatest("n", "_na"))
-    pairs = stored(pairs.select("a", F.col("id").alias("b")).distinct(), "pairs")
+    met = rows.join(_small(leads), "bucket").where(F.col("id") != F.col("a"))
+    met = stored(met.groupBy("a", F.col("id").alias("b")).agg(F.first("n").alias("n"), F.first("_na").alias("_na")), "met")
+    pairs = stored(met.where(100 * F.least("n", "_na") >= percent * F.greatest("n", "_na")).select("a", "b"), "pairs")
     links = _confirmed(pairs, docs, text, key, percent)
-    labels = components(links)
-    second = _second_pairs(classes, labels, percent)
-    more = _confirmed(second, docs, text, key, percent)
-    if more.limit(1).count():
-        links = links.union(more)
-        labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("_links"))
-    known = classes.select("f1", "f2", "id", "copies").join(_small(labels), "id", "left")
-    known = known.join(_small(stored(degree, "degree")), "id", "left")
-    known = stored(
-        known.select("f1", "f2", F.coalesce("component", "id").alias("component"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known"
-    )
+    more = _second_links(classes, met.select("a", "b"), components(links), docs, text, key, percent)
+    labels = components(links.union(more))
+    known = classes.select("f1", "f2", "id").join(_small(labels), "id", "left")
+    known = stored(known.select("f1", "f2", F.coalesce("component", "id").alias("component")), "known")
     out = narrow.join(_small(known), ["f1", "f2"], "left")
     component = F.coalesce("component", "id")
     component = F.when(F.col("n_shingles") > 0, component).otherwise(F.col("id"))
     kept = F.coalesce(component == F.col("id"), F.lit(True))
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), kept.alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), kept.alias("kept"))
