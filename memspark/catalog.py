@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from memspark.queries import scalars
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _area in (scalars,):
+    QUERIES |= _area.QUERIES
+    ORACLE_SQL |= _area.ORACLE_SQL
