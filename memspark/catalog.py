@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memspark.queries import scalars
+from memspark.queries import graphs, retrieval, scalars
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _area in (scalars,):
+for _area in (scalars, retrieval, graphs):
     QUERIES |= _area.QUERIES
     ORACLE_SQL |= _area.ORACLE_SQL
