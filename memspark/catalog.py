@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memspark.queries import graphs, retrieval, scalars
+from memspark.queries import graphs, records, retrieval, scalars
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _area in (scalars, retrieval, graphs):
+for _area in (scalars, retrieval, graphs, records):
     QUERIES |= _area.QUERIES
     ORACLE_SQL |= _area.ORACLE_SQL
