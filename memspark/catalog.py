@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memspark.queries import graphs, records, retrieval, scalars
+from memspark.queries import graphs, plans, records, retrieval, scalars
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _area in (scalars, retrieval, graphs, records):
+for _area in (scalars, retrieval, graphs, records, plans):
     QUERIES |= _area.QUERIES
     ORACLE_SQL |= _area.ORACLE_SQL
