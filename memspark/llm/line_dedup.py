@@ -114,13 +114,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     empty one has one empty line. Rows without id come after all others. Rows of one id share their line
     numbers: an equal line at an equal place of them counts as the same line, and stays. An empty table gives none.
     """
-    gone = copies(docs, text, key).groupBy("_id").agg(F.collect_set("_at").alias("_gone"))
+    gone = copies(docs, text, key).withColumnRenamed("_id", "_ld_id").groupBy("_ld_id").agg(F.collect_set("_at").alias("_ld_gone"))
     gone = stored(gone, "copies")
-    few = (gone.agg(F.sum(F.size("_gone") + 2)).first()[0] or 0) <= BROADCAST_NUMBERS
+    few = (gone.agg(F.sum(F.size("_ld_gone") + 2)).first()[0] or 0) <= BROADCAST_NUMBERS
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = docs.select(*names).join(F.broadcast(gone) if few else gone, F.col(key).eqNullSafe(F.col("_id")), "left").drop("_id")
-    out = out.withColumn("_lines", F.split(text, "\n", -1))
-    out = out.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-    kept = F.expr("transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i])")
-    out = out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
-    return out.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).select(*names, "n_lines", "n_removed")
+    out = docs.select(*names).join(F.broadcast(gone) if few else gone, F.col(key).eqNullSafe(F.col("_ld_id")), "left").drop("_ld_id")
+    out = out.withColumn("_ld_lines", F.split(text, "\n", -1))
+    out = out.withColumn("n_lines", F.coalesce(F.size("_ld_lines"), F.lit(0)).cast("long"))
+    kept = F.expr("transform(array_except(sequence(0, size(_ld_lines) - 1), _ld_gone), i -> _ld_lines[i])")
+    out = out.withColumn(text, F.when(F.col("_ld_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
+    return out.withColumn("n_removed", F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long")).select(*names, "n_lines", "n_removed")

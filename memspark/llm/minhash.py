@@ -235,6 +235,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     known = stored(known.select("f1", "f2", F.coalesce("component", "id").alias("component")), "known")
     out = narrow.join(_small(known), ["f1", "f2"], "left")
     component = F.coalesce("component", "id")
-    component = F.when(F.col("n_shingles") > 0, component).otherwise(F.col("id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), component).otherwise(F.col("id"))
     kept = F.coalesce(component == F.col("id"), F.lit(True))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), kept.alias("kept"))

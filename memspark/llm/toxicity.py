@@ -146,11 +146,11 @@ def _measured(docs: DataFrame, keep: list[str], text: str, lexicon: Lexicon) ->
             for part, data, offsets in slices(batch, text):
                 x = features(data, offsets, lexicon)
                 kept = [part.column(part.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(list(x), pa.list_(pa.float64()))], names=[*keep, "_x"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(list(x), pa.list_(pa.float64()))], names=[*keep, "_tox_x"])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     columns = keep if text in keep else [*keep, text]
-    return docs.select(*columns).mapInArrow(run, f"{schema}_x array<double>").withColumn("_v", array_to_vector("_x")).drop("_x")
+    return docs.select(*columns).mapInArrow(run, f"{schema}_tox_x array<double>").withColumn("_tox_v", array_to_vector("_tox_x")).drop("_tox_x")
 
 
 class Model(NamedTuple):
@@ -177,11 +177,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     seen = {(r["_toxic"], r["g"]) for r in known.select("_toxic", (F.col("_part") < 5).alias("g")).distinct().collect()}
     if not {(0, True), (1, True)} <= seen:
         return None
-    learner = GBTClassifier(featuresCol="_v", labelCol="_toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, minInstancesPerNode=2)
+    learner = GBTClassifier(featuresCol="_tox_v", labelCol="_toxic", predictionCol="_tox_prediction", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, minInstancesPerNode=2)
+    learner.set(learner.probabilityCol, "_tox_probability")
+    learner.set(learner.rawPredictionCol, "_tox_raw")
     # rows that taught the lexicon have its words more often than new text; the trees learn from others if there are enough
     teach = known.where("_part BETWEEN 3 AND 4") if {r["_toxic"] for r in known.where("_part BETWEEN 3 AND 4").select("_toxic").distinct().collect()} == {0, 1} else known
     trees = learner.fit(teach.coalesce(1))
-    rest = trees.transform(known.where("_part >= 3")).select(F.col("_toxic").cast("double").alias("y"), vector_to_array("probability")[1].alias("p"))
+    rest = trees.transform(known.where("_part >= 3")).select(F.col("_toxic").cast("double").alias("y"), vector_to_array("_tox_probability")[1].alias("p"))
     # rows of a label that was sampled stand for those that weren't
     stands = [max(1.0, sizes.get(y, 0) / most) for y in (0, 1)]
     rest = rest.withColumn("w", F.when(F.col("y") == 1, stands[1]).otherwise(stands[0]))
@@ -198,9 +200,9 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", name: str =
     kept = [c for c in docs.columns if c != name]
     if model is None:
         return docs.select(*kept, F.lit(0.0).alias(name))
-    raw = model.trees.transform(_measured(docs, kept, text, model.lexicon)).withColumn("_p", vector_to_array("probability")[1])
+    raw = model.trees.transform(_measured(docs, kept, text, model.lexicon)).withColumn("_tox_p", vector_to_array("_tox_probability")[1])
     x, y = model.bounds, model.values
-    out = F.when(F.col("_p") <= x[0], y[0])
+    out = F.when(F.col("_tox_p") <= x[0], y[0])
     for (a, b), (c, d) in zip(zip(x, x[1:], strict=False), zip(y, y[1:], strict=False), strict=True):
-        out = out.when(F.col("_p") <= b, F.lit(c) + (F.col("_p") - a) / (b - a) * (d - c) if b > a else F.lit(d))
+        out = out.when(F.col("_tox_p") <= b, F.lit(c) + (F.col("_tox_p") - a) / (b - a) * (d - c) if b > a else F.lit(d))
     return raw.withColumn(name, F.least(F.greatest(out.otherwise(y[-1]), F.lit(0.0)), F.lit(1.0))).select(*kept, name)
