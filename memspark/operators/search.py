@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from memspark.functions import scoring, text
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Queries that are broadcast at most; beyond, queries of a chunk and vectors of a shard.
+BROADCAST_QUERIES, BLOCK_QUERIES, BLOCK_VECTORS = 2_000, 1_000, 20_000
 # Weights of the arms, the rank constant and the bonus for each further arm.
 ARM_WEIGHTS = {"keyword": 1.10, "semantic": 1.00, "graph": 0.90}
 RANK_CONSTANT, ARM_BONUS = 45, 0.018
@@ -57,12 +59,22 @@ def keyword_search(queries: DataFrame, records: DataFrame, k: int = 10, wanted:
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, l2: bool = False) -> DataFrame:
     """qid, id, score, rank: the nearest ``vectors`` (id, v) of ``queries`` (qid, q): cosine above 0, or 1 / (1 + distance).
 
-    Every query meets every vector: the queries are a stated small set and are broadcast; their number is the caller's.
+    Every query meets every vector. Up to BROADCAST_QUERIES queries are broadcast; more meet the vectors in blocks, as an
+    equi-join of chunks of queries with shards of vectors, so that no task holds either side whole.
     """
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
     q = queries.select("qid", (as_double("q") if l2 else scoring.normalised(F.col("q"))).alias("_q"))
     v = vectors.select("id", (as_double("v") if l2 else scoring.normalised(F.col("v"))).alias("_v"))
-    pairs = v.crossJoin(F.broadcast(q)).where(F.size("_v") == F.size("_q"))
+    n = queries.count()
+    if n <= BROADCAST_QUERIES:
+        pairs = v.crossJoin(F.broadcast(q))
+    else:
+        chunks, shards = -(-n // BLOCK_QUERIES), -(-vectors.count() // BLOCK_VECTORS)
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        q = q.withColumn("_chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int")).withColumn("_shard", every(shards))
+        v = v.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("_chunk", every(chunks))
+        pairs = v.join(q, ["_chunk", "_shard"])
+    pairs = pairs.where(F.size("_v") == F.size("_q"))
     if l2:
         gap = F.sqrt(F.aggregate(F.zip_with("_v", "_q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
         pairs = pairs.withColumn("score", F.round(1 / (1 + gap), 6))

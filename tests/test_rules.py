@@ -143,3 +143,13 @@ def test_streaming_ingest(spark, tmp_path, late):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {r.source_type: r["count"] for r in got.groupBy("source_type").count().collect()} == {"transcript": 1, "terminal": 2}
     assert {(r.text, r.privacy_level) for r in got.collect()} == {("password=[REDACTED_SECRET]", "sensitive")}
+
+
+def test_vectors_in_blocks_are_the_same(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(60)], "id int, v array<double>")
+    queries = rows.where("id % 3 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    whole = sorted(map(tuple, search.vector_search(queries, rows, 4).collect()))
+    for name, value in (("BROADCAST_QUERIES", 5), ("BLOCK_QUERIES", 7), ("BLOCK_VECTORS", 25)):
+        monkeypatch.setattr(search, name, value)
+    assert sorted(map(tuple, search.vector_search(queries, rows, 4).collect())) == whole
