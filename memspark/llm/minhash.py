@@ -33,7 +33,7 @@ PERMUTATIONS = BANDS * ROWS // 2
 #: Tables of this many narrow rows at most are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 #: Pairs of a hot document that are confirmed together, and members of a block of a group.
-TOGETHER, BLOCK = 64, 256
+TOGETHER, BLOCK = 64, 128
 
 
 def _signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
