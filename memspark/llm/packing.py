@@ -68,15 +68,24 @@ class WordIds(dict):
         self.update(zip([*single, *_MARKS], (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
         self.update((w, self[w[:-1]] + self[w[-1]]) for w in ended)
 
+    def __missing__(self, word: str) -> bytes:
+        self.unknown.add(word)
+        self.misses += 1
+        return b""
+
     def of_texts(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.lower().split() if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
-        known = {w for words in split if words for w in words}
         if len(self) > MOST_WORDS:
             self.clear()
-        if unknown := known.difference(self):
-            self.learn(unknown)
-        for text, words in zip(texts, split, strict=True):
-            yield self.encoded(text) if words is None else b"".join(map(self.__getitem__, words))
+        self.unknown, self.misses, found = set(), 0, []
+        for text in texts:
+            words = text.lower().split() if "<|" not in text and _PLAIN.fullmatch(text) else None
+            before = self.misses
+            ids = self.encoded(text) if words is None else b"".join(map(self.__getitem__, words))
+            found.append((ids, words if self.misses > before else None))
+        if self.unknown:
+            self.learn(self.unknown)
+        for ids, words in found:
+            yield ids if words is None else b"".join(map(self.__getitem__, words))
 
 
 _word_ids: dict[str, WordIds] = {}
