@@ -11,7 +11,7 @@ permutations give a signature of the usual length. Bands of the signature are bu
 3. What a star can miss is a link between two classes that share a bucket but no component yet. Bucket mates form groups
    (components of the unconfirmed pairs); groups with several components are compared once more, block by block, all
    members of two blocks at a time on their full shingle sets. A task returns only links that join components.
-4. Components of all links, by propagating the smallest id and jumping to the label of the label.
+4. Components of all links, by joining ids to their smallest neighbours and contracting the links in rounds.
 """
 
 from __future__ import annotations
@@ -135,19 +135,28 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, key: str, percent:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, component for every id in the links (a, b): the smallest id that it reaches."""
-    both = stored(links.select("a", "b").union(links.select("b", "a")).toDF("src", "dst"), "edges")
-    labels = stored(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("component")), "labels0")
-    turn = 0
+    """id, component for every id in the links (a, b): the smallest id that it reaches.
+
+    Each round joins every id to its smallest neighbour, and that one's, and then draws the links between what is left:
+    links within a group vanish, so the rounds shrink fast.
+    """
+    edges = stored(links.select("a", "b").union(links.select("b", "a")).toDF("src", "dst").distinct(), "edges")
+    labels, turn = None, 0
     while True:
         turn += 1
-        near = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("_near"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("_far"))
-        new = labels.join(near, "id").join(jump, "component")
-        new = new.select("id", F.least("_near", "_far").alias("component"), (F.least("_near", "_far") < F.col("component")).alias("_changed"))
-        new = stored(new, f"labels{turn}")
-        labels = new.drop("_changed")
-        if not new.where("_changed").limit(1).count():
+        near = edges.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("to"))
+        near = stored(near, f"near{turn}")
+        far = near.select(F.col("id").alias("to"), F.col("to").alias("_far"))
+        step = stored(near.join(far, "to").select("id", F.least("to", "_far").alias("to")), f"step{turn}")
+        if labels is None:
+            labels = step.withColumnRenamed("to", "component")
+        else:
+            labels = labels.join(step.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+            labels = stored(labels, f"labels{turn}")
+        drawn = edges.join(step.withColumnRenamed("id", "src"), "src").select(F.col("to").alias("src"), "dst")
+        drawn = drawn.join(step.withColumnRenamed("id", "dst"), "dst").select("src", F.col("to").alias("dst")).where("src <> dst").distinct()
+        edges = stored(drawn, f"edges{turn}")
+        if not edges.limit(1).count():
             return labels
 
 
