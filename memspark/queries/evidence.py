@@ -109,4 +109,4 @@ def r5(spark, sf_dir):
     owned = docs.select(C("doc_id").alias("id"), F.concat(F.lit("s"), (C("doc_id") % n + 1).cast("string")).alias("entity_id"))
     queries = table(spark, sf_dir, "benchmark").select(C("item_id").alias("qid"), C("text").alias("query"))
     hits = search.keyword_search(queries, docs.select(C("doc_id").alias("id"), C("text").alias("content")), 5)
-    return evidence.graph_arm(hits, owned, mapping.relations(spark, sf_dir).where("weight > 2"), 10)
+    return evidence.graph_arm(hits, owned, mapping.relations(spark, sf_dir), 10)

@@ -31,10 +31,6 @@ def _records(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(C("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), C("text").alias("content"))
 
 
-def _heavy(spark, sf_dir):
-    return mapping.relations(spark, sf_dir).where("weight > 2")
-
-
 def _nodes(spark, sf_dir):
     return mapping.entities(spark, sf_dir).withColumn("name", C("id"))
 
@@ -86,12 +82,12 @@ def s10o(spark, sf_dir):
 
 @register("g4_communities")
 def g4(spark, sf_dir):
-    return communities.louvain(_nodes(spark, sf_dir), _heavy(spark, sf_dir))
+    return communities.louvain(_nodes(spark, sf_dir), mapping.relations(spark, sf_dir))
 
 
 @register("f26_theme_labels")
 def f26(spark, sf_dir):
-    parts = graph.components(_nodes(spark, sf_dir), _heavy(spark, sf_dir))
+    parts = graph.components(_nodes(spark, sf_dir), mapping.relations(spark, sf_dir))
     return communities.theme_labels(parts.select("id", C("id").alias("name"), C("component").alias("community")))
 
 
@@ -101,4 +97,4 @@ def g9(spark, sf_dir):
     n = table(spark, sf_dir, "supplier").count()
     docs = mapping.observations(spark, sf_dir).where("valid_to IS NULL")
     observed = docs.select(C("id"), F.concat(F.lit("s"), (C("id") % n + 1).cast("string")).alias("entity_id"), "content", "category", "confidence", F.lit(1.0).alias("salience"))
-    return communities.reflect(_nodes(spark, sf_dir), _heavy(spark, sf_dir), observed)
+    return communities.reflect(_nodes(spark, sf_dir), mapping.relations(spark, sf_dir), observed)
