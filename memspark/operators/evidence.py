@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memspark.functions import facts
 from memspark.functions.text import injection_signals
 from memspark.operators import graph, search
 
@@ -80,6 +81,22 @@ def supersede_decisions(decisions: DataFrame, new: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("_by").isNotNull(), "superseded").otherwise(F.col("status"))).withColumn("superseded_by", F.coalesce("_by", "superseded_by")).drop("_by")
 
 
+def slot_conflicts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Judged pairs (subject, predicate, value, other, n_value, n_other, verdict) and members (subject, predicate, value, id) of the slots of ``rows`` (id, subject, predicate, value).
+
+    A slot is a normalised subject and predicate. Each two different values of a slot are judged once, whatever the distance
+    of their rows; every row of the one with every row of the other has that verdict, so row pairs are never made.
+    """
+    names = {"subject": facts.normal_value, "predicate": facts.normal_predicate, "value": facts.normal_value}
+    members = rows.select(*[f(F.col(c)).alias(c) for c, f in names.items()], "id").where("value IS NOT NULL")
+    slot = ["subject", "predicate"]
+    a = members.groupBy(*slot, "value").agg(F.count("*").alias("n_value"))
+    b = a.withColumnsRenamed({"value": "other", "n_value": "n_other"})
+    verdict = facts.slot_verdict(*map(F.col, (*slot, "value", *slot, "other")))
+    pairs = a.join(b, slot).where("value < other").select(*slot, "value", "other", "n_value", "n_other", verdict.alias("verdict"))
+    return pairs, members
+
+
 def report(degrees: DataFrame, counts: DataFrame, top: int = 10) -> DataFrame:
     """section, line: counts, best linked nodes, orphans and up to five suggested questions."""
     gods = degrees.where("degree > 0").orderBy(F.col("degree").desc(), "id").limit(top)

@@ -84,6 +84,28 @@ def b2(spark, sf_dir):
     return pairs.select(C("a_event_id").alias("old"), C("b_event_id").alias("new"), verdict.alias("verdict"))
 
 
+_SLOTS = """SELECT user_id::VARCHAR AS subject, ['employer', 'tags', 'colour'][event_id % 3 + 1] AS predicate, lower(event_type) AS value, event_id AS id FROM events"""
+
+
+def _slots(spark, sf_dir):
+    names = F.element_at(F.array(*map(F.lit, ("Works At", "tags", "colour"))), (C("event_id") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(C("event_id").alias("id"), C("user_id").cast("string").alias("subject"), names.alias("predicate"), C("event_type").alias("value"))
+    return evidence.slot_conflicts(rows)
+
+
+@register("j12_b2_slot_value_conflicts", f"""WITH v AS (SELECT subject, predicate, value, count(*) AS n FROM ({_SLOTS}) GROUP BY ALL)
+  SELECT a.subject, a.predicate, a.value, b.value AS other, a.n AS n_value, b.n AS n_other, CASE a.predicate WHEN 'employer' THEN 'auto_supersede' WHEN 'tags' THEN 'no_conflict' ELSE 'review' END AS verdict
+  FROM v a JOIN v b ON a.subject = b.subject AND a.predicate = b.predicate AND a.value < b.value""")
+def b2_values(spark, sf_dir):
+    """All conflicts of a slot, near or far apart, as pairs of its values."""
+    return _slots(spark, sf_dir)[0]
+
+
+@register("j12_b2_slot_members", _SLOTS)
+def b2_members(spark, sf_dir):
+    return _slots(spark, sf_dir)[1]
+
+
 @register("a14_report", f"""WITH {mapping.ENTITIES_SQL}, {mapping.RELATIONS_SQL}, d AS (SELECT e.id, count(x.id) AS degree FROM entities e LEFT JOIN (SELECT src AS id FROM relations UNION ALL SELECT dst FROM relations) x USING (id) GROUP BY e.id),
   g AS (SELECT * FROM d WHERE degree > 0 ORDER BY degree DESC, id LIMIT 10), o AS (SELECT * FROM d WHERE degree <= 1 ORDER BY degree, id LIMIT 20), q AS (SELECT * FROM g ORDER BY degree DESC, id LIMIT 5)
   SELECT 'counts' AS section, 'relations: ' || count(*) AS line FROM relations UNION ALL SELECT 'counts', 'entities: ' || count(*) FROM entities UNION ALL SELECT 'god_nodes', id || ' (' || degree || ')' FROM g

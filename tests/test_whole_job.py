@@ -104,3 +104,20 @@ def test_graph_arm_over_the_whole_graph(spark, near):
                 rows += owned[e]
         expected |= {(qid, d, k) for k, d in enumerate(rows, 1)}
     assert {(r.qid, r.id, r.rank) for r in catalog.QUERIES["r5_graph_arm"](spark, DIR).collect()} == expected
+
+
+def test_slot_conflicts_of_any_distance(spark):
+    slots, verdicts = defaultdict(list), ("auto_supersede", "no_conflict", "review")
+    for r in table(spark, DIR, "events").orderBy("event_id").collect():
+        slots[str(r.user_id), r.event_id % 3].append((r.event_id, r.event_type))
+    expected = {(a, b, verdicts[k]) for (_, k), e in slots.items() for i, (a, x) in enumerate(e) for b, y in e[i + 1 :] if x != y}
+    assert any(b - a >= 300 for a, b, _ in expected)
+    members = defaultdict(list)
+    for r in catalog.QUERIES["j12_b2_slot_members"](spark, DIR).collect():
+        members[r.subject, r.predicate, r.value].append(r.id)
+    got = []
+    for r in catalog.QUERIES["j12_b2_slot_value_conflicts"](spark, DIR).collect():
+        x, y = members[r.subject, r.predicate, r.value], members[r.subject, r.predicate, r.other]
+        assert (len(x), len(y)) == (r.n_value, r.n_other)
+        got += [(min(a, b), max(a, b), r.verdict) for a in x for b in y]
+    assert len(got) == len(expected) and set(got) == expected
