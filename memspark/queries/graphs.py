@@ -39,7 +39,7 @@ def scoped(spark, sf_dir):
 
 
 def hops(spark, sf_dir):
-    """Two steps around every tenth nation's suppliers."""
+    """Two steps around the suppliers of nation/3, over edges with weight > 1."""
     roots = mapping.entities(spark, sf_dir).where("scope = 'nation/3'").select(C("id").alias("root"))
     return graph.neighbourhood(roots, mapping.relations(spark, sf_dir).where("weight > 1"), 2)
 
@@ -53,6 +53,18 @@ def ranks(spark, sf_dir):
     return graph.pagerank(seeds, mapping.relations(spark, sf_dir), most=3, tolerance=0.0).select("qid", "id", F.round("score", 8).alias("score"))
 
 
+def nation_hops(spark, sf_dir):
+    """Two steps around the suppliers of all nations, over all edges."""
+    roots = mapping.entities(spark, sf_dir).where("entity_type = 'supplier'").select(C("id").alias("root"))
+    return graph.neighbourhood(roots, mapping.relations(spark, sf_dir), 2)
+
+
+def nation_ranks(spark, sf_dir):
+    """The suppliers of each nation as a seed set, until scores settle."""
+    seeds = mapping.entities(spark, sf_dir).where("entity_type = 'supplier'").select(C("scope").alias("qid"), "id", F.lit(1.0).alias("weight"))
+    return graph.pagerank(seeds, mapping.relations(spark, sf_dir)).select("qid", "id", F.round("score", 8).alias("score"))
+
+
 def parts_modularity(spark, sf_dir):
     members = mapping.entities(spark, sf_dir).select("id", C("scope").alias("component"))
     return graph.modularity(members, mapping.relations(spark, sf_dir)).select("component", F.round("modularity", 9).alias("modularity"))
@@ -76,6 +88,7 @@ def related(spark, sf_dir):
 
 QUERIES = {
     "a2_god_nodes": god_nodes, "a3_orphans": orphans, "j3_degrees": all_degrees, "g6_weighted_degree": weighted, "g3_scope_subgraph": scoped, "g1_neighbourhood": hops,
+    "g1_neighbourhood_all": nation_hops, "g2_pagerank_all": nation_ranks,
     "g7_components": components, "g2_pagerank": ranks, "g5_modularity": parts_modularity, "g10_containment": contained, "g10_containment_edges": contained_edges, "g11_related": related,
 }
 _WITH = f"WITH RECURSIVE {mapping.ENTITIES_SQL}, {mapping.RELATIONS_SQL}, both_ AS (SELECT src, dst, weight FROM relations UNION ALL SELECT dst, src, weight FROM relations)"
@@ -91,6 +104,9 @@ ORACLE_SQL = {
     "g1_neighbourhood": f"""{_WITH}, h AS (SELECT * FROM both_ WHERE weight > 1), z AS (SELECT id AS root, id, 0 AS distance FROM entities WHERE scope = 'nation/3'),
       o AS (SELECT DISTINCT root, dst AS id FROM z JOIN h ON id = src), t AS (SELECT DISTINCT root, dst AS id FROM o JOIN h ON id = src)
       SELECT root, id, min(distance) AS distance FROM (SELECT * FROM z UNION ALL SELECT *, 1 FROM o UNION ALL SELECT *, 2 FROM t) GROUP BY root, id""",
+    "g1_neighbourhood_all": f"""{_WITH}, z AS (SELECT id AS root, id, 0 AS distance FROM entities WHERE entity_type = 'supplier'),
+      o AS (SELECT DISTINCT root, dst AS id FROM z JOIN both_ ON id = src), t AS (SELECT DISTINCT root, dst AS id FROM o JOIN both_ ON id = src)
+      SELECT root, id, min(distance) AS distance FROM (SELECT * FROM z UNION ALL SELECT *, 1 FROM o UNION ALL SELECT *, 2 FROM t) GROUP BY root, id""",
     "g7_components": f"""{_WITH}, h AS (SELECT src, dst FROM both_ WHERE weight > 2),
       w AS (SELECT id, id AS c FROM entities UNION SELECT h.dst, w.c FROM w JOIN h ON h.src = w.id) SELECT id, min(c) AS component FROM w GROUP BY id""",
     "g2_pagerank": f"""{_WITH}, outs AS (SELECT src, sum(weight) AS t FROM both_ GROUP BY src), k AS (SELECT id FROM entities WHERE scope = 'nation/3' AND id IN (SELECT src FROM both_)),

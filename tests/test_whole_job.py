@@ -121,3 +121,25 @@ def test_slot_conflicts_of_any_distance(spark):
         assert (len(x), len(y)) == (r.n_value, r.n_other)
         got += [(min(a, b), max(a, b), r.verdict) for a in x for b in y]
     assert len(got) == len(expected) and set(got) == expected
+
+
+def test_pagerank_of_every_nation(spark, near):
+    seeds = defaultdict(dict)
+    for r in mapping.entities(spark, DIR).where("entity_type = 'supplier'").collect():
+        seeds[r.scope][r.id] = 1.0
+    got = defaultdict(dict)
+    for r in catalog.QUERIES["g2_pagerank_all"](spark, DIR).collect():
+        got[r.qid][r.id] = r.score
+    assert len(seeds) > 1 and set(got) == set(seeds)
+    for qid, own in seeds.items():
+        expected = ranked(near, own)
+        assert set(got[qid]) == set(expected) and all(abs(got[qid][i] - x) < 2e-8 for i, x in expected.items())
+
+
+def test_neighbourhood_of_every_supplier(spark, near):
+    expected = set()
+    for root in (i for i in near if i[0] == "s"):
+        one = set(near[root])
+        two = {j for i in one for j in near[i]} - one - {root}
+        expected |= {(root, root, 0), *((root, i, 1) for i in one), *((root, i, 2) for i in two)}
+    assert {tuple(r) for r in catalog.QUERIES["g1_neighbourhood_all"](spark, DIR).select("root", "id", "distance").collect()} == expected
