@@ -15,13 +15,14 @@ from memspark.llm.mixing import mix_sources
 from memspark.llm.packing import pack
 from memspark.llm.quality_classifier import score
 from memspark.llm.queries.op1_quality_classifier import THRESHOLD, train
-from memspark.llm.queries.op3_minhash_near_dedup import PERCENT
 from memspark.llm.queries.op5_best_fit_packing import CAPACITY, VOCABULARY
 from memspark.llm.store import stored
 from memspark.tables import table
 
 #: A table of ids and numbers is broadcast up to this many rows.
 BROADCAST_ROWS = 400_000
+#: Near-duplicates of the pipeline are at least this similar; op3's contract is another.
+NEAR_PERCENT = 80
 
 
 def _by_id(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group."""
-    gone = near_duplicates(docs, PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, NEAR_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     gone = stored(gone, "near_gone")
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -69,3 +69,13 @@ def test_stages(spark, folder, tmp_path):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 0
+
+
+def test_near_copies_at_80_percent_go(spark, folder):
+    words = [f"w{i}" for i in range(104)]
+    texts = [" ".join(words), " ".join([f"x{i}" for i in range(10)] + words[10:]), " ".join([f"y{i}" for i in range(18)] + words[18:])]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(100)} for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.80 <= like(0, 1) < 0.85 and like(0, 2) < 0.80
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, folder[0]).collect()} == {0, 2}
