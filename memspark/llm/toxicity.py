@@ -4,7 +4,7 @@ Words are runs of letters and digits in lower case, with digits and signs that s
 weighted words and stems is learned from labelled texts: words that toxic texts have far more often than others. The features are
 densities of the lexicon's words and of a fixed list of insults, how near they stand to second-person words, and rates
 of capitals, punctuation and obfuscation. The trees are Spark's gradient-boosted trees; isotonic regression on labelled rows
-that they haven't seen makes their output a probability.
+that they haven't seen (unless a part lacks a label) makes their output a probability.
 
 Lexicon and trees are learned from a bounded sample (``most`` rows of each label); every document is scored, in one scan.
 """
@@ -163,7 +163,8 @@ class Model(NamedTuple):
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", most: int = SAMPLE) -> Model | None:
     """A model from ``labels`` (``key``, _toxic: 0 or 1); None unless both labels have texts.
 
-    A sixth of the sample teaches the lexicon, a half the trees, a third the calibration: the trees see lexicon hits as they come in new text.
+    A half of the sample teaches the lexicon, a third the trees, a sixth the calibration: the trees see lexicon hits as they come in new text,
+    and the calibration sees scores of rows that the trees don't know. Only where a part lacks a label do parts overlap.
     """
     labels = labels.where(F.col(key).isNotNull() & F.col("_toxic").isin(0, 1)).groupBy(key).agg(F.max("_toxic").cast("long").alias("_toxic"))
     sizes = {r["_toxic"]: r["n"] for r in labels.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
@@ -181,9 +182,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     learner.set(learner.probabilityCol, "_tox_probability")
     learner.set(learner.rawPredictionCol, "_tox_raw")
     # rows that taught the lexicon have its words more often than new text; the trees learn from others if there are enough
-    teach = known.where("_part BETWEEN 3 AND 4") if {r["_toxic"] for r in known.where("_part BETWEEN 3 AND 4").select("_toxic").distinct().collect()} == {0, 1} else known
+    both = lambda df: {r["_toxic"] for r in df.select("_toxic").distinct().collect()} == {0, 1}
+    teach, check = known.where("_part BETWEEN 3 AND 4"), known.where("_part = 5")
+    teach = teach if both(teach) else known
+    check = check if both(check) else known.where("_part >= 3")
     trees = learner.fit(teach.coalesce(1))
-    rest = trees.transform(known.where("_part >= 3")).select(F.col("_toxic").cast("double").alias("y"), vector_to_array("_tox_probability")[1].alias("p"))
+    rest = trees.transform(check).select(F.col("_toxic").cast("double").alias("y"), vector_to_array("_tox_probability")[1].alias("p"))
     # rows of a label that was sampled stand for those that weren't
     stands = [max(1.0, sizes.get(y, 0) / most) for y in (0, 1)]
     rest = rest.withColumn("w", F.when(F.col("y") == 1, stands[1]).otherwise(stands[0]))

@@ -297,3 +297,24 @@ def test_toxicity(labelled, docs, none):
     got = score_toxicity(docs.withColumn("prediction", F.lit(1)), model).collect()
     assert len(got) == len(rows()) and all(0 <= r.score <= 1 for r in got)
     assert score_toxicity(none, model).count() == 0 and fit_toxicity(none, known.where("false")) is None
+
+
+def test_toxicity_calibrates_on_rows_that_the_trees_have_not_seen(labelled, monkeypatch):
+    from memspark.llm import toxicity
+
+    rows = {}
+
+    def counted(owner, name, at):
+        inner = getattr(owner, name)
+
+        def run(*args):
+            rows[name, owner] = args[at].count()
+            return inner(*args)
+
+        monkeypatch.setattr(owner, name, run)
+
+    counted(toxicity, "learn_lexicon", 0)
+    counted(toxicity.GBTClassifier, "fit", 1)
+    counted(toxicity.IsotonicRegression, "fit", 1)
+    assert toxicity.fit(labelled, labelled.select("doc_id", F.col("toxic").alias("_toxic")))
+    assert len(rows) == 3 and sum(rows.values()) == labelled.select("toxic", "text").distinct().count()
