@@ -29,6 +29,16 @@ def guarded(results: DataFrame) -> DataFrame:
     return per.select("qid", F.when(F.size("_all") > 0, F.concat(F.lit(NOTICE), F.array_join("_all", ", "), F.lit("\n"), text)).otherwise(text).alias("answer"))
 
 
+def guarded_rows(results: DataFrame) -> DataFrame:
+    """qid, rank, notice, snippet of ``results`` (qid, rank, snippet): as ``guarded``, each snippet in its own row; notice is null without signals.
+
+    Only a qid's distinct signals are aggregated, so neither the number nor the length of its snippets matters.
+    """
+    signals = results.select("qid", F.explode(injection_signals(F.col("snippet"))).alias("_s")).distinct()
+    notices = signals.groupBy("qid").agg(F.concat(F.lit(NOTICE), F.array_join(F.array_sort(F.collect_list("_s")), ", ")).alias("notice"))
+    return results.join(notices, "qid", "left").select("qid", "rank", "notice", "snippet")
+
+
 def leaked(text: Column, secret: Column) -> Column:
     """Whether a secret survives: whole, or any run of three quarters of it (16 characters at least)."""
     n = F.greatest(F.ceil(F.length(secret) * 0.75), F.lit(16)).cast("int")

@@ -118,8 +118,7 @@ def p6(spark, sf_dir):
 
 @register("a6_reuse_per_record", "SELECT user_id AS id, count(*) AS uses, max(ts) AS last FROM events GROUP BY user_id")
 def a6(spark, sf_dir):
-    queries = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.collect_list(F.struct("user_id", "ts")).alias("returned"))
-    return queries.select(F.explode("returned").alias("r")).groupBy(C("r.user_id").alias("id")).agg(F.count("*").alias("uses"), F.max("r.ts").alias("last"))
+    return table(spark, sf_dir, "events").groupBy(C("user_id").alias("id")).agg(F.count("*").alias("uses"), F.max("ts").alias("last"))
 
 
 @register("a7_source_mix", "SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS mix FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")

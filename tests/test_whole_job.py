@@ -143,3 +143,9 @@ def test_neighbourhood_of_every_supplier(spark, near):
         two = {j for i in one for j in near[i]} - one - {root}
         expected |= {(root, root, 0), *((root, i, 1) for i in one), *((root, i, 2) for i in two)}
     assert {tuple(r) for r in catalog.QUERIES["g1_neighbourhood_all"](spark, DIR).select("root", "id", "distance").collect()} == expected
+
+
+@pytest.mark.parametrize("name", ["a6_reuse_per_record", "x7_guarded_rows"])
+def test_no_group_is_held_in_one_row(spark, name):
+    plan = catalog.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(" not in plan.replace("collect_list(_s", "")  # a qid's distinct signals
