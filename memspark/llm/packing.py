@@ -12,105 +12,129 @@
 
 from __future__ import annotations
 
-import binascii
 import bisect
 import math
+import os
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspark.llm.bpe import WordMerges
 from memspark.llm.store import stored
-from memspark.llm.textbatch import strings
+from memspark.llm.textbatch import Words, distinct, joined, slices
 
-#: Most remembered words of a worker; beyond it the table starts anew (results don't change).
-MOST_WORDS = 900_000
+#: Most remembered odd words of a worker (beyond it the table starts anew; results don't change), and their longest, in bytes.
+MOST_WORDS, REMEMBERED = 300_000, 64
+#: Bytes of texts that are worked on together.
+SLICE = 1 << 22
 #: Pieces of a length that are numbered together, at least; it grows with the square root of all pieces.
 SALT_ROWS = 200
-_MARKS = tuple(",.;:!?")
-# Fixed value: the published pre-token pattern of this kind of vocabulary.
-_PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-# Texts of these characters only: lower-casing and white space work there word by word. Others go to the library whole.
-_PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa0-ɏ‐-‧€]*")
 
 
-class WordIds(dict):
-    """Ids of white-space separated words as little-endian unsigned 32-bit bytes."""
+class WordIds:
+    """Ids of words, runs of bytes other than white space below 0x21.
 
-    def __init__(self, path: str):
+    The vocabulary cuts at white space before anything else, and lower-cases character by character; so a text's ids are
+    those of its words, unless special strings may be inside: such texts go to the library whole. The distinct words of
+    a slice are merged all at once; those of other characters than the usual ones go to the library one by one.
+    """
+
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        words = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(words.values()) + 1, bool)
-        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
-
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Adds ``words``. They are encoded side by side in one text: each of their pre-tokens ends with an end-of-word id."""
-        ended = {w for w in words if w[-1] in _MARKS and w[:-1].isalpha()}
-        single = list({w[:-1] for w in ended} | (words - ended))
-        ids = np.array(self.tokenizer.encode(" ".join([*single, *_MARKS]), add_special_tokens=False).ids, "<u4")
-        last = np.cumsum([1 if w.isalpha() else len(_PRE_TOKENS.findall(w)) for w in single] + [1] * len(_MARKS))
-        ends, raw = np.flatnonzero(self.ends[ids]), ids.tobytes()
-        if len(ends) != last[-1]:
-            raise ValueError("the vocabulary doesn't end each pre-token by an id of its own")
-        at = [0, *(4 * (ends[last - 1] + 1)).tolist()]
-        self.update(zip([*single, *_MARKS], (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
-        self.update((w, self[w[:-1]] + self[w[-1]]) for w in ended)
-
-    def __missing__(self, word: str) -> bytes:
-        self.unknown.add(word)
-        self.misses += 1
-        return b""
-
-    def of_texts(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        self.unknown, self.misses, found = set(), 0, []
-        for text in texts:
-            words = text.lower().split() if "<|" not in text and _PLAIN.fullmatch(text) else None
-            before = self.misses
-            ids = self.encoded(text) if words is None else b"".join(map(self.__getitem__, words))
-            found.append((ids, words if self.misses > before else None))
-        if self.unknown:
-            self.learn(self.unknown)
-        for ids, words in found:
-            yield ids if words is None else b"".join(map(self.__getitem__, words))
-
-
-_word_ids: dict[str, WordIds] = {}
+        self.merges = WordMerges(path)
+        self.end = np.array([end_id], np.int32)
+        self.odd: dict[bytes, np.ndarray] = {}
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def others(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of words that the merges leave out."""
+        if len(self.odd) > MOST_WORDS:
+            self.odd.clear()
+        found = {w: self.odd[w] for w in words if w in self.odd}
+        unknown = [w for w in words if w not in found]
+        found.update(zip(unknown, self.encoded([w.decode() for w in unknown]), strict=True))
+        self.odd.update((w, found[w]) for w in unknown if len(w) <= REMEMBERED)
+        return [found[w] for w in words]
+
+    def of_words(self, data: np.ndarray, offsets: np.ndarray, tails: dict[int, np.ndarray], end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of the texts of a slice: of their words, and then of what ``tails`` has for the text, or ``end``."""
+        words = Words(data, offsets)
+        first, index = distinct(words)
+        ids, size, out = self.merges.words(joined(words, first))
+        values, n = [ids], len(size)
+        more = [*self.others([data[a:b].tobytes() for a, b in zip(words.start[first[out]].tolist(), words.end[first[out]].tolist(), strict=True)]), end, *tails.values()]
+        size = np.append(size, [len(v) for v in more[len(out) :]])
+        size[out] = [len(v) for v in more[: len(out)]]
+        start = np.cumsum(size) - size
+        # where words were left out, their ids stand at the end
+        inside = np.ones(n, bool)
+        inside[out] = False
+        start[:n][inside] = np.cumsum(size[:n][inside]) - size[:n][inside]
+        behind = np.append(out, np.arange(n, len(size)))
+        start[behind] = len(ids) + np.cumsum(size[behind]) - size[behind]
+        flat = np.concatenate([*values, *more])
+        tail = np.full(len(offsets) - 1, n)
+        tail[list(tails)] = n + 1 + np.arange(len(tails))
+        items = np.insert(index, words.first[1:], tail)
+        many = size[items]
+        until = np.cumsum(many)
+        found = flat[np.repeat(start[items] - (until - many), many) + np.arange(until[-1])]
+        return found.astype("<u4"), np.concatenate([[0], until[words.first[1:] + np.arange(len(tail))]])
+
+    def of_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of the texts of a slice, each with the end id."""
+        bars = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        tails = {}
+        if len(bars):
+            data = data.copy()
+        for i in np.unique(np.searchsorted(offsets, bars, "right") - 1).tolist():
+            here = slice(offsets[i], offsets[i + 1])
+            tails[i] = np.append(self.encoded([data[here].tobytes().decode()])[0], self.end)
+            data[here] = 0x20  # no words are left here
+        if len(data) <= 2 * SLICE:
+            return self.of_words(data, offsets, tails, self.end)
+        # one long text: parts that end at white space
+        spaces, cuts = np.flatnonzero(data == 0x20), [0]
+        while len(data) - cuts[-1] > SLICE and (k := np.searchsorted(spaces, cuts[-1] + SLICE)) < len(spaces):
+            cuts.append(int(spaces[k]) + 1)
+        none = self.end[:0]
+        parts = [self.of_words(data[a:b], np.array([0, b - a]), {}, none)[0] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+        ids = np.concatenate([*parts, tails.get(0, self.end).astype("<u4")])
+        return ids, np.array([0, len(ids)])
+
+
+_word_ids: dict[tuple[str, int], WordIds] = {}
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, piece, start, length and ids_crc32 of every piece; a document is its ids and then ``end_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _word_ids.get(path) or _word_ids.setdefault(path, WordIds(path))
-        end = np.array([end_id], "<u4").tobytes()
+        known = _word_ids.get((path, end_id)) or _word_ids.setdefault((path, end_id), WordIds(path, end_id))
         for batch in batches:
-            for part, texts in strings(batch, "_text"):
-                row, number, length, crc = [], [], [], []
-                for i, ids in enumerate(known.of_texts(texts)):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[at : at + 4 * capacity]
-                        row.append(i)
-                        number.append(k)
-                        length.append(len(piece) // 4)
-                        crc.append(binascii.crc32(piece))
-                number = np.array(number, np.int32)
+            for part, data, offsets in slices(batch, "_text", SLICE):
+                ids, at = known.of_slice(data, offsets)
+                n = -(-np.diff(at) // capacity)
+                row = np.repeat(np.arange(len(n)), n)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = number * capacity
+                length = np.minimum(np.diff(at)[row] - start, capacity)
+                raw, lo = memoryview(ids.tobytes()), 4 * (at[:-1][row] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(lo.tolist(), (lo + 4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int64())), pa.array(number), pa.array(number.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    [part.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     names=[key, "piece", "start", "length", "ids_crc32"],
                 )
 

@@ -111,6 +111,43 @@ class Words:
         return mix((sums[self.end] - sums[self.start]) * powers(_INVERSE, len(self.data))[self.start])
 
 
+_LANE = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first, index): a place of each distinct word of a slice, and which of these each word is. A word may be listed twice.
+
+    Words of 16 bytes or less are compared by their bytes as two numbers, longer ones by a dictionary of the slice.
+    """
+    start, size = words.start, words.end - words.start
+    raw = words.data.tobytes() + bytes(16)
+    lanes = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    a = lanes[start] & _LANE[np.minimum(size, 8)]
+    b = lanes[start + 8 * (size > 8)] & _LANE[np.clip(size - 8, 0, 8)]
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        codes: dict[bytes, int] = {}
+        a[long] = [codes.setdefault(raw[x:y], len(codes)) for x, y in zip(start[long].tolist(), words.end[long].tolist(), strict=True)]
+        b[long] = ~np.uint64(0)  # no text has such bytes
+    order = np.argsort(mix(a * constants(1, 17) + b * constants(1, 19)))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    index = np.empty(len(a), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return order[new], index
+
+
+def joined(words: Words, which: np.ndarray) -> bytes:
+    """The words at places ``which``, each with a space after it."""
+    start, size = words.start[which], words.end[which] - words.start[which]
+    before = np.cumsum(size) - size
+    at = np.arange(size.sum())
+    out = np.full(len(at) + len(which), 0x20, np.uint8)
+    out[at + np.repeat(np.arange(len(which)), size)] = words.data[at + np.repeat(start - before, size)]
+    return out.tobytes()
+
+
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): each text's distinct ``n``-word shingles in ascending order.
 
