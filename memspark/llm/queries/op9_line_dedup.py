@@ -16,7 +16,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents
-), big AS (SELECT doc_id, pos, t FROM l WHERE length(t) >= 24),
+), big AS (SELECT doc_id, pos, t FROM l WHERE ltrim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
 d AS (SELECT t, length(t) AS n, min((doc_id, pos)) AS o FROM big GROUP BY t),
 k AS (
   SELECT t, o, n, n AS c, 0 AS s, t[1:n // 2] AS part FROM d UNION ALL SELECT t, o, n, n, 1, t[n // 2 + 1:] FROM d

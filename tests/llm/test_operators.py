@@ -124,6 +124,39 @@ def test_packing(docs, none):
     assert pack(none, WORD, 64).count() == 0
 
 
+def test_packing_ids_of_odd_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from memspark.llm import packing
+    from memspark.llm.textbatch import slices
+
+    library, known, rnd = Tokenizer.from_file(WORD), packing.WordIds(WORD, 0), random.Random(2)
+    letters = [*"abcdetherion '  \n\t.,!?0123éßİΣςǅ漢字🙂 \x85\x1c_ØȺ²½\u0301\xa0“…€ﬁ", "'s", "'ll", "'re", " the", "<|endoftext|>", "  ", "\n\n", "--", "''s", "\"'ve"]
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 80))) for _ in range(1500)]
+    texts += ["", " ", "a", "'", "'s", "a'", "x" * 70, "x" * 300, "é" * 64, "1" * 100, "漢" * 50 + " a " * 3]
+
+    def check(texts):
+        batch = packing.pa.RecordBatch.from_arrays([packing.pa.array(texts)], names=["t"])
+        got = [ids[a:b].tolist() for _, data, offsets in slices(batch, "t", packing.SLICE) for ids, at in [known.of_slice(data, offsets)] for a, b in zip(at, at[1:])]
+        assert got == [[*e.ids, 0] for e in library.encode_batch(texts, add_special_tokens=False)]
+
+    check(texts)
+    monkeypatch.setattr(packing, "SLICE", 500)  # texts of several parts
+    check(["".join(rnd.choice(letters) for _ in range(4000)) for _ in range(8)])
+
+
+def test_packing_is_near_the_least_number_of_sequences():
+    rnd = random.Random(7)
+    for top in (700, 2048):
+        counts = {}
+        for _ in range(20_000):
+            n = min(top, max(1, int(rnd.paretovariate(0.8) * 20)))
+            counts[n] = counts.get(n, 0) + 1
+        used = {b for r in plan(counts, 2048) for b in range(r.first, r.first + r.sequences)}
+        least = -(-sum(k * n for k, n in counts.items()) // 2048)
+        assert len(used) <= 1.01 * least + 1
+
+
 def shingles(t):
     w = words("".join(c.lower() if c.isascii() else c for c in t or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
@@ -180,7 +213,7 @@ def test_lines(spark, docs, none):
         return p + q >= max(len(a), len(b)) - 1
 
     rnd = random.Random(5)
-    base = ["".join(rnd.choice("abé d") for _ in range(n)) for n in (24, 25, 30, 63, 64, 65, 127, 128, 129, 200)]
+    base = ["".join(rnd.choice("abé d") for _ in range(n)) for n in (1, 2, 3, 5, 24, 31, 32, 33, 63, 64, 65, 129, 200, 1100)]
     data = []
     for d in range(100):
         lines = []
@@ -191,7 +224,7 @@ def test_lines(spark, docs, none):
                 t = rnd.choice((t[:i] + rnd.choice("abé") + t[i:], t[: max(i - 1, 0)] + t[i:], t[: max(i - 1, 0)] + "x" + t[i:]))
             lines.append(t)
         data.append((d, "\n".join(lines)))
-    order = [(d, i, x) for d, t in data for i, x in enumerate(t.split("\n")) if len(x) >= 24]
+    order = [(d, i, x) for d, t in data for i, x in enumerate(t.split("\n")) if x.strip()]
     gone = {(d, i) for k, (d, i, x) in enumerate(order) if any(within(x, y) for _, _, y in order[:k])}
     expected = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in data}
     assert {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()} == expected
@@ -240,18 +273,37 @@ def test_top_k(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    from memspark.llm import topk
+
+    monkeypatch.setattr(topk, "SHARD_CELLS", 256)
+    monkeypatch.setattr(topk, "CHUNK", 4)
+    rnd = random.Random(2)
+    for size in (1e3, 1e8, 1e15):
+        data = [(i, [rnd.choice((1, 1, 9, 40)) * rnd.uniform(-size, size) for _ in range(4)]) for i in range(200)]
+        q = {i: [int(np.floor(64 * x)) for x in v] for i, v in data}
+        top = lambda x: min(max(x, 1 - 2**63), 2**63 - 1)
+        expected = []
+        for i in range(0, 200, 20):
+            best = sorted((-top(sum(a * b for a, b in zip(q[i], q[j]))), j) for j in q if j != i)[:3]
+            expected += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+        got = top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), every=20, k=3).collect()
+        assert sorted(map(tuple, got)) == sorted(expected)
+
+
 def test_html(spark):
     model = trained()
     page = "<html><head><title>x</title></head><body><nav><a href=/>Home</a></nav><div class='ad'>Buy it now, good people.</div><article><h1>One &amp; two</h1><p>First <b>paragraph\n of</b> a story, told in many words.<br><p>Second one.</article><script>var a='</p>';</script><div class=comments><p>I liked this one very much, thank you all.</p></div><footer>&copy; me</footer>"
     assert main_text(page, model) == "One & two\n\nFirst paragraph of a story, told in many words.\n\nSecond one."
     wrong = total = 0
-    for p in labelled_pages(seed=99, pages=120):
-        nodes = parse(p)
+    for p, labels in labelled_pages(seed=99, pages=120):
+        nodes = parse(p, labels)
         for n, q in zip(nodes, model.marginals(nodes), strict=True):
             if n.text is not None:
                 total, wrong = total + 1, wrong + ((q > 0.5) != bool(n.label))
     assert wrong < 0.03 * total
     odd = [None, "", "<", "plain words", "<p" * 500, "<div>" * 3000 + "deep" + "</div>" * 3000, page, page]
+    odd += ["<p class='y=mx'>one</p>", "<p id='y=-1' class='y='>two</p>", "<li>" * 20_000, "</b></p></q>" * 20_000, "<p class='\x001'>three</p>"]
     got = extract(spark.createDataFrame([(i, "u", t) for i, t in enumerate(odd)], "page_id long, url string, html string")).collect()
     assert len(got) == len(odd) and got[0].text == "" and got[6].text == got[7].text and all(r.n_chars == len(r.text) for r in got)
 
