@@ -1,12 +1,13 @@
 """Labelled pages for the extractor's potentials: layouts with invented words, drawn by a fixed seed.
 
 There is no table of labelled pages, so these are composed here: each has a shell, boilerplate blocks around and inside
-the content, and a content block. A ``class`` that begins with ``y=1`` or ``y=0`` labels an element and what is in it.
+the content, and a content block. Labels stand beside the HTML, by the place of the start tag of a labelled element.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
 SEED, PAGES = 17, 400
 _SYLLABLES = "ba con der en fi gra hol in jo kal lu mi nor os pre qui ra sen tu ver".split()
@@ -25,8 +26,21 @@ _AROUND = (
 _CONTENT = (("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "entry-content"), ("div", "post"), ("div", ""), ("section", "story"), ("div", ""))
 
 
-def labelled_pages(seed: int = SEED, pages: int = PAGES) -> list[str]:
-    """The pages' HTML; the same for the same arguments."""
+_LABEL = re.compile("\x00([01])")
+
+
+def _apart(marked: str) -> tuple[str, dict[int, int]]:
+    """HTML and labels of a page whose labelled start tags have U+0000 and the label before them."""
+    labels, parts, at = {}, [], 0
+    for i, m in enumerate(_LABEL.finditer(marked)):
+        parts.append(marked[at : m.start()])
+        at = m.end()
+        labels[m.start() - 2 * i] = int(m[1])
+    return "".join([*parts, marked[at:]]), labels
+
+
+def labelled_pages(seed: int = SEED, pages: int = PAGES) -> list[tuple[str, dict[int, int]]]:
+    """(HTML, labels) of each page; the same for the same arguments."""
     rnd = random.Random(seed)
 
     def words(lo: int, hi: int) -> str:
@@ -55,7 +69,7 @@ def labelled_pages(seed: int = SEED, pages: int = PAGES) -> list[str]:
         return f"<p>{sentence(8, 30)}</p>" if rnd.random() < 0.5 else sentence(5, 40)
 
     def around(n: int) -> str:
-        return "".join(f"<{tag} class='y=0 {name}'>{filled(how)}</{tag}>" for tag, name, how in rnd.choices(_AROUND, k=n))
+        return "".join(f"\x000<{tag} class='{name}'>{filled(how)}</{tag}>" for tag, name, how in rnd.choices(_AROUND, k=n))
 
     def content() -> str:
         out = [f"<h1>{words(2, 9)}</h1>"] if rnd.random() < 0.8 else []
@@ -82,12 +96,12 @@ def labelled_pages(seed: int = SEED, pages: int = PAGES) -> list[str]:
         if rnd.random() < 0.15:
             out.insert(0, f"<header><h1>{words(2, 8)}</h1></header>")
         tag, name = rnd.choice(_CONTENT)
-        return f"<{tag} class='y=1 {name}'>{''.join(out)}</{tag}>"
+        return f"\x001<{tag} class='{name}'>{''.join(out)}</{tag}>"
 
     found = []
     for _ in range(pages):
         middle = around(rnd.randint(0, 2)) + content() + around(rnd.randint(0, 2))
         if rnd.random() < 0.4:
-            middle = f"<div class='y=0 {rnd.choice(('page', 'wrapper', 'container', ''))}'>{middle}</div>"
-        found.append(f"<html class='y=0'><body class='y=0'>{around(rnd.randint(1, 3))}{middle}{around(rnd.randint(1, 3))}</body></html>")
+            middle = f"\x000<div class='{rnd.choice(('page', 'wrapper', 'container', ''))}'>{middle}</div>"
+        found.append(_apart(f"\x000<html><body>{around(rnd.randint(1, 3))}{middle}{around(rnd.randint(1, 3))}</body></html>"))
     return found

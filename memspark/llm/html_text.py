@@ -57,6 +57,7 @@ _TAGS = {
     **dict.fromkeys(("p", "blockquote", "pre"), "paragraph"), **dict.fromkeys(("ul", "ol", "dl"), "list"), **dict.fromkeys(("li", "dt", "dd"), "item"),
     **dict.fromkeys(("table", "tbody", "thead", "tr", "td", "th"), "table"), **dict.fromkeys(("html", "body"), "page"),
 }
+_ARTICLES = [t for t, kind in _TAGS.items() if kind == "article"]
 _SIGNS = re.compile(r"©|\ball rights reserved\b|\bcookies?\b|\bsubscribe\b|\bsign up\b|\blog ?in\b|\bread more\b", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -68,25 +69,22 @@ class Node(NamedTuple):
     label: int | None
 
 
-def _element_features(tag: str, attrs: str, inside: str) -> tuple[tuple[str, ...], int | None]:
+def _element_features(tag: str, attrs: str, in_article: bool) -> tuple[str, ...]:
     kind = _TAGS.get(tag, "block")
-    out, label = [f"tag {kind}{' in article' if kind == 'header' and inside == 'article' else ''}"], None
+    out = [f"tag {kind}{' in article' if kind == 'header' and in_article else ''}"]
     if attrs:
         kinds = set()
         for name, *values in _ATTRIBUTE.findall(attrs):
             value = next((v for v in values if v), "")
             name = name.lower()
             if name in ("class", "id", "role", "aria-label"):
-                if value.startswith("y="):  # a labelled page
-                    label = int(value[2:3])
-                    value = value[3:]
                 kinds |= {_KIND[w] for w in map(str.lower, _SPLIT.split(value)) if w in _KIND}
             elif name == "hidden" or "display:none" in value.replace(" ", "").lower():
                 kinds.add("hidden")
         if len(kinds) > 1:
             kinds.discard("content")
         out += [f"name {k}" for k in sorted(kinds)]
-    return tuple(out), label
+    return tuple(out)
 
 
 def _run_features(text: str, linked: int, tag: str) -> tuple[str, ...]:
@@ -99,10 +97,15 @@ def _run_features(text: str, linked: int, tag: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def parse(html: str) -> list[Node]:
-    """The page's nodes in document order, a parent before its children; the first is the root."""
+def parse(html: str, labels: dict[int, int] | None = None) -> list[Node]:
+    """The page's nodes in document order, a parent before its children; the first is the root.
+
+    ``labels`` of a training page: by the place of a start tag in ``html``, whether what the element holds is content.
+    """
     nodes = [Node(-1, (), None, None)]
     stack: list[tuple[str, int]] = [("", 0)]
+    open_at: dict[str, list[int]] = {}  # depths of the open elements of each tag
+    deepest = lambda tags: max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
     parts: list[str] = []
     linked = at = in_link = silent = 0
 
@@ -121,7 +124,9 @@ def parse(html: str) -> list[Node]:
         flush()
         in_link = 0
         while len(stack) > depth:
-            silent -= stack.pop()[0] in _NO_TEXT
+            tag = stack.pop()[0]
+            open_at[tag].pop()
+            silent -= tag in _NO_TEXT
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -145,10 +150,8 @@ def parse(html: str) -> list[Node]:
                 parts.append(" ")
             continue
         if m["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
+            if open_at.get(tag):
+                close(open_at[tag][-1])
             else:
                 flush()
             continue
@@ -159,18 +162,15 @@ def parse(html: str) -> list[Node]:
         if stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and tag not in ("button", "label"):
             close(len(stack) - 1)  # a block ends an open paragraph
         closes, bounds = _CLOSES.get(tag, ((), ()))
-        for depth in range(len(stack) - 1, 0, -1) if closes else ():
-            if stack[depth][0] in bounds:
-                break
-            if stack[depth][0] in closes:
-                close(depth)
-                break
+        depth = deepest(closes)
+        if depth > deepest(bounds):
+            close(depth)
         if m["attrs"].endswith("/"):
             continue
         parent = stack[-1][1]
-        inside = "article" if any(_TAGS.get(t) == "article" for t, _ in stack) else ""
-        features, label = _element_features(tag, m["attrs"], inside)
-        nodes.append(Node(parent, features, None, nodes[parent].label if label is None else label))
+        features = _element_features(tag, m["attrs"], deepest(_ARTICLES) > 0)
+        nodes.append(Node(parent, features, None, labels.get(m.start(), nodes[parent].label) if labels else None))
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append((tag, len(nodes) - 1))
         silent += tag in _NO_TEXT
         in_link = 0
@@ -182,11 +182,11 @@ def parse(html: str) -> list[Node]:
 class Model:
     """Potentials of the tree: ``edges[parent label][child label]`` and, for a feature, its likelihood under either label."""
 
-    def __init__(self, pages: list[str], smoothing: float = 0.5):
+    def __init__(self, pages: list[tuple[str, dict[int, int]]], smoothing: float = 0.5):
         edges, seen, features = np.full((2, 2), smoothing), np.full(2, smoothing), Counter()
         names = set()
-        for page in pages:
-            nodes = parse(page)
+        for page, labels in pages:
+            nodes = parse(page, labels)
             label = [n.label or 0 for n in nodes]
             for i in range(len(nodes) - 1, 0, -1):  # a subtree with content has content
                 label[nodes[i].parent] |= label[i]
