@@ -12,6 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memspark.llm.names import inner
+
 WINDOW = 8
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -45,46 +47,46 @@ RULES = (
 )
 
 
-def _repeat_words() -> Column:
-    """Words inside the windows that occur twice or more, from the window hashes ``_h`` of a text."""
-    at = "transform(_h, (x, i) -> struct(x AS h, i AS i))"
+def _repeat_words(h: str) -> Column:
+    """Words inside the windows that occur twice or more, from the column ``h`` of a text's window hashes."""
+    at = f"transform({h}, (x, i) -> struct(x AS h, i AS i))"
     again = "(j > 0 AND s[j - 1].h = s[j].h) OR (j + 1 < size(s) AND s[j + 1].h = s[j].h)"
     starts = f"flatten(transform(array(sort_array({at})), s -> transform(filter(sequence(0, size(s) - 1), j -> {again}), j -> s[j].i)))"
     covered = (
         f"aggregate(sort_array({starts}), struct(-{WINDOW} AS last, 0L AS n), "
         f"(a, x) -> struct(x AS last, a.n + least({WINDOW}, x - a.last) AS n), a -> a.n)"
     )
-    return F.expr(f"CASE WHEN size(_h) < 2 OR size(array_distinct(_h)) = size(_h) THEN 0L ELSE {covered} END")
+    return F.expr(f"CASE WHEN size({h}) < 2 OR size(array_distinct({h})) = size({h}) THEN 0L ELSE {covered} END")
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words, n_bullet_lines, n_ellipsis_lines."""
     stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_t", t)
-    df = df.withColumn("_w", F.filter(F.split("_t", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    df = df.withColumn("_l", F.filter(F.split("_t", "\n", -1), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != ""))
-    df = df.withColumn("_x", F.transform("_w", lambda w: F.xxhash64(w)))
-    hashed = ", ".join(f"_x[i + {k}]" for k in range(WINDOW))
+    t, w, lines, x, h = inner(docs, "t", "w", "l", "x", "h")
+    df = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn(w, F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda word: word != ""))
+    df = df.withColumn(lines, F.filter(F.split(t, "\n", -1), lambda line: F.translate(line, " \t\n\x0b\x0c\r", "") != ""))
+    df = df.withColumn(x, F.transform(w, lambda word: F.xxhash64(word)))
+    hashed = ", ".join(f"{x}[i + {k}]" for k in range(WINDOW))
     df = df.withColumn(
-        "_h",
-        F.expr(f"CASE WHEN size(_w) < {WINDOW} THEN array() ELSE transform(sequence(0, size(_w) - {WINDOW}), i -> xxhash64({hashed})) END"),
+        h,
+        F.expr(f"CASE WHEN size({w}) < {WINDOW} THEN array() ELSE transform(sequence(0, size({w}) - {WINDOW}), i -> xxhash64({hashed})) END"),
     )
-    cut = F.expr("transform(_l, x -> ltrim(x))")
+    cut = F.expr(f"transform({lines}, x -> ltrim(x))")
     df = df.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": _repeat_words(),
-            "n_stop_words": F.expr(f"CAST(size(filter(_w, w -> lower(w) IN ({stop}))) AS BIGINT)"),
+            "n_words": F.size(w).cast("long"),
+            "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
+            "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            "n_repeat_words": _repeat_words(h),
+            "n_stop_words": F.expr(f"CAST(size(filter({w}, w -> lower(w) IN ({stop}))) AS BIGINT)"),
             "n_bullet_lines": F.size(F.filter(cut, lambda x: F.substring(x, 1, 1).isin("•", "-", "*"))).cast("long"),
-            "n_ellipsis_lines": F.size(F.filter("_l", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("long"),
+            "n_ellipsis_lines": F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("long"),
         }
     )
-    return df.drop("_t", "_w", "_l", "_x", "_h")
+    return df.drop(t, w, lines, x, h)
 
 
 def _fails(rule: Rule) -> Column:
