@@ -22,6 +22,8 @@ from memspark.llm.store import stored
 WEIGHTS = (5, 2, 1)
 #: A target stops at this many times its source's size.
 MOST_COPIES = 3
+#: Ratios that are sorted at the end of the search for the level, and steps of a round before.
+LAST, STEPS = 10_000, 32
 #: Documents that a node of the reduction tree takes, on average.
 NODE = 48
 #: The table of sources is broadcast up to this many rows; beyond, it is joined by a shuffle.
@@ -35,25 +37,61 @@ def n_words(text: str = "text") -> Column:
     return F.size(F.filter(F.split(plain, " +"), lambda w: w != "")).cast("long")
 
 
+def _weighted(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """``sizes`` with the weight of each source in _w, by its place in code point order, nulls last.
+
+    Sources are dealt out by ranges and sorted within them; a source's place is its number there and the rows before.
+    """
+    ordered = sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    ordered = ordered.withColumn("_id", F.monotonically_increasing_id())
+    ordered = stored(ordered.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_nth")).drop("_id"), "ordered")
+    parts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ordered.join(F.broadcast(parts.select("_part", before.alias("_before"))), "_part")  # as many rows as ranges
+    place = (F.col("_before") + F.col("_nth")) % len(weights)
+    return placed.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (place + 1).cast("int")).alias("_w"))
+
+
+def _level(sources: DataFrame) -> float:
+    """The level c at which min(_stop, c * _w) of ``sources`` add up to the sum of their sizes.
+
+    Sources stop in order of _ratio = _stop / _w. Rounds of aggregates narrow down the ratios between which c lies, until at
+    most LAST of them are left, which are sorted.
+    """
+    lo, hi = float("-inf"), float("inf")
+    while True:
+        inside = sources.where((F.col("_ratio") > lo) & (F.col("_ratio") < hi))
+        below, above = F.col("_ratio") <= lo, F.col("_ratio") >= hi
+        of = lambda where, x: F.coalesce(F.sum(F.when(where, F.col(x))), F.lit(0))
+        total, stopped, free, n = sources.agg(
+            F.coalesce(F.sum("source_size"), F.lit(0)), of(below, "_stop"), of(above, "_w"), F.count(F.when(~below & ~above, True))
+        ).first()
+        if n <= LAST:
+            rows = sorted((r["_ratio"], r["_stop"], r["_w"]) for r in inside.select("_ratio", "_stop", "_w").collect())
+            free += sum(w for *_, w in rows)
+            for ratio, stop, w in rows:
+                if free and (total - stopped) / free <= ratio:
+                    break
+                stopped, free = stopped + stop, free - w
+            return (total - stopped) / free if free else hi
+        steps = sorted(set(inside.approxQuantile("_ratio", [k / STEPS for k in range(1, STEPS)], 0.001)))
+        reach = lambda c: of(F.col("_ratio") < c, "_stop") + c * of(F.col("_ratio") >= c, "_w")
+        words = sources.agg(*[reach(c).alias(f"c{i}") for i, c in enumerate(steps)]).first()
+        lo = max([lo, *(c for c, x in zip(steps, words, strict=True) if x < total)])
+        hi = min([hi, *(c for c, x in zip(steps, words, strict=True) if x >= total)])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """``source``, source_size, target from ``source``, ``source_size``: one row for each source.
 
     Shares follow the weights; a target above ``most`` times its size stops there, and the excess goes to the others by
-    weight until none is above. That is the level c at which the targets min(most * size, c * weight) add up to all
-    words: in order of most * size / weight, the sources before some place stop and the others share the rest.
+    weight until none is above. That is the level c at which the targets min(most * size, c * weight) add up to all words.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())  # one row for each source
-    df = sizes.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    df = df.withColumn("_stop", F.lit(most) * F.col("source_size"))
-    w = Window.orderBy((F.col("_stop") / F.col("_w")).asc(), F.col("source").asc_nulls_last())
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("_stop").over(before), F.lit(0))) / F.sum("_w").over(after)
-    df = df.withColumn("_level", level)
-    # the level of the first source that doesn't stop holds for all after it
-    df = df.withColumn("_level", F.max(F.when(F.col("_stop") >= F.col("_level") * F.col("_w"), F.col("_level"))).over(everything))
-    free = F.coalesce(F.col("_level") * F.col("_w"), F.col("_stop").cast("double"))
-    return df.select("source", "source_size", F.least(F.col("_stop").cast("double"), free).alias("target"))
+    stop = (F.lit(most) * F.col("source_size")).alias("_stop")
+    sources = stored(_weighted(sizes, weights).select("*", stop, (F.lit(most) * F.col("source_size") / F.col("_w")).alias("_ratio")), "sources")
+    level = _level(sources)
+    target = F.least(F.col("_stop").cast("double"), F.lit(level) * F.col("_w"))
+    return sources.select("source", "source_size", target.alias("target"))
 
 
 def _settle(items: str) -> Column:
