@@ -6,12 +6,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.llm.line_dedup import dedup_lines
 from memspark.llm.minhash import near_duplicates
-from memspark.llm.mixing import mix_sources
+from memspark.llm.mixing import mix_sources, n_words
+from memspark.llm.names import inner
 from memspark.llm.packing import pack
 from memspark.llm.quality_classifier import score
 from memspark.llm.queries.op1_quality_classifier import THRESHOLD, train
@@ -25,44 +26,66 @@ BROADCAST_ROWS = 400_000
 NEAR_PERCENT = 80
 
 
-def _by_id(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` joined with ``found`` (doc_id and narrow columns, one row for each id)."""
-    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    right = (F.broadcast(found) if few else found).withColumnRenamed("doc_id", "_id")
-    return docs.join(right, docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
+def _narrow(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of ids and numbers, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")), name="_score")
-    return scored.where(F.col("_score") >= THRESHOLD).drop("_score")
+    """Documents that the classifier accepts. A null text counts as empty; repeated rows are judged alike; no row gives none."""
+    (name,) = inner(docs, "score")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")), name=name)
+    return scored.where(F.col(name) >= THRESHOLD).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their copied lines; n_chars follows the text. A document that consisted of copied lines only goes."""
-    cut = dedup_lines(docs)
-    cut = cut.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
-    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    """Documents without their copied lines; n_chars follows the text. A document that consisted of copied lines only goes.
+
+    A document that had no word, or a null text, stays as it is. Rows of one id share their line numbers; no row gives none.
+    """
+    all_, removed = inner(docs, "lines", "removed")
+    cut = dedup_lines(docs, counts=(all_, removed))
+    cut = cut.where((F.col(removed) == 0) | (F.ltrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != ""))
+    n_chars = F.when(F.col(removed) == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return cut.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    gone = near_duplicates(docs, NEAR_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = stored(gone, "near_gone")
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The document with the smallest id of each near-duplicate group.
+
+    Null, empty and wordless texts are in no group and stay, as do rows without id. Rows of one id stay or go together.
+    """
+    (gone_id,) = inner(docs, "gone")
+    gone = near_duplicates(docs, NEAR_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(_narrow(stored(gone, "near_gone")), F.col("doc_id") == F.col(gone_id), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    taken = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    repeated = _by_id(docs, stored(taken, "taken"))
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """Each document as many times as the mix takes it.
+
+    Rows that agree in id, source and size share their copies evenly, the first ones taking one more. A null source is a
+    source; a text without words is never taken; no row gives none.
+    """
+    of, rows, copies, size, source, nth = inner(docs, "id", "rows", "copies", "size", "source", "nth")
+    taken = mix_sources(docs).groupBy(F.col("doc_id").alias(of), F.col("source").alias(source), F.col("size").alias(size))
+    taken = stored(taken.agg(F.sum("copies").alias(copies), F.count("*").alias(rows)), "taken")
+    per_id = taken.groupBy(of).agg(F.sum(rows).alias(rows), F.sum(copies).alias(copies))
+    single = _narrow(stored(per_id.where(f"{rows} = 1 AND {copies} > 0").drop(rows), "single"))
+    out = docs.join(single, docs["doc_id"].eqNullSafe(F.col(of))).drop(of)
+    again = stored(per_id.where(f"{rows} > 1").select(of), "repeated")
+    if again.limit(1).count():
+        repeated = docs.join(_narrow(again), docs["doc_id"].eqNullSafe(F.col(of)), "left_semi").withColumn(size, n_words("text"))
+        number = F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(F.lit(1)))
+        repeated = repeated.withColumn(nth, number).withColumnRenamed(size, size + "2")
+        same = F.col("doc_id").eqNullSafe(F.col(of)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(size) == F.col(size + "2"))
+        repeated = repeated.join(taken, same)
+        share = F.floor(F.col(copies) / F.col(rows)) + (F.col(nth) <= F.col(copies) % F.col(rows)).cast("long")
+        out = out.unionByName(repeated.withColumn(copies, share).where(F.col(copies) > 0).select(*docs.columns, copies))
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document."""
+    """The place of every piece of every document. A null text is an empty document; repeated rows are packed each for itself."""
     return pack(docs, public_tokenizers.path(VOCABULARY), CAPACITY)
 
 
