@@ -8,14 +8,15 @@ permutations give a signature of the usual length. Bands of the signature are bu
    only its smallest id goes on.
 2. In each bucket every class is paired with the bucket's smallest id: a star, never all pairs. Pairs whose sizes allow
    the similarity are confirmed on the full shingle sets, and confirmed links give first components.
-3. What a star can miss is a link between two classes that share a bucket but no component yet. Bucket mates form groups
-   (components of the unconfirmed pairs); groups with several components are compared once more, block by block, all
-   members of two blocks at a time on their full shingle sets. A task returns only links that join components.
+3. What a star can miss is a link between two classes that share a bucket but no component yet. Buckets with several
+   components are cut into cells of neighbouring sizes, and what is outside a cell's largest component is compared with
+   the cell's members, block by block, on full shingle sets. A task returns only links that join components.
 4. Components of all links, by joining ids to their smallest neighbours and contracting the links in rounds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ BANDS, ROWS = 20, 4
 PERMUTATIONS = BANDS * ROWS // 2
 #: Tables of this many narrow rows at most are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-#: Pairs of a hot document that are confirmed together, and members of a block of a group.
-TOGETHER, BLOCK = 64, 128
+#: Pairs of a hot document that are confirmed together; members and shingles of a block, on average at most.
+TOGETHER, BLOCK, BLOCK_SHINGLES = 64, 64, 1 << 19
 
 
 def _signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -160,64 +161,108 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _links_within(sets: list[np.ndarray], size: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of positions that reach the similarity, as far as they join components that nothing before has joined."""
-    member = np.repeat(np.arange(len(sets)), size)
-    values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.cumsum(count > 1) - 1  # shingles of one member add nothing
-    shared = count[code] > 1
+def _links_between(minor: list[np.ndarray], others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Pairs of positions (in ``minor``, in ``others``) of shingle sets that reach the similarity."""
+    size, many = (np.array([len(x) for x in sets]) for sets in (minor, others))
+    member = np.repeat(np.arange(len(minor) + len(others)), np.concatenate([size, many]))
+    _, code, count = np.unique(np.concatenate([*minor, *others]), return_inverse=True, return_counts=True)
+    shared = count[code] > 1  # shingles of one member add nothing
+    rank = np.cumsum(count > 1) - 1
     member, code = member[shared], rank[code[shared]]
-    common = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(code, kind="stable")
     member, code = member[order], code[order]
+    common = np.zeros((len(minor), len(others)), np.float32)
     for lo in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
         here = slice(*np.searchsorted(code, (lo, lo + 4096)))
-        has = np.zeros((len(sets), 4096), np.float32)
+        has = np.zeros((len(minor) + len(others), 4096), np.float32)
         has[member[here], code[here] - lo] = 1
-        common += has @ has.T
-    links = 100 * common >= percent * (size[:, None] + size[None, :] - common)
-    root = {c: c for c in component.tolist()}
+        common += has[: len(minor)] @ has[len(minor) :].T
+    return np.argwhere(100 * common >= percent * (size[:, None] + many[None, :] - common))
+
+
+def _joining(pairs: list[tuple[int, int]]) -> list[int]:
+    """Positions of those ``pairs`` of components that join what nothing before has joined."""
+    root: dict[int, int] = {}
 
     def find(c: int) -> int:
-        while root[c] != c:
+        while root.setdefault(c, c) != c:
             root[c] = c = root[root[c]]
         return c
 
     found = []
-    for x, y in np.argwhere(np.triu(links & (component[:, None] != component[None, :]), 1)).tolist():
-        a, b = find(int(component[x])), find(int(component[y]))
+    for i, (x, y) in enumerate(pairs):
+        a, b = find(x), find(y)
         if a != b:
             root[a] = b
-            found.append((x, y))
+            found.append(i)
     return found
 
 
-def _second_links(classes: DataFrame, candidates: DataFrame, labels: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
-    """Links between components within the groups that candidates (pairs a, b) form: enough of them to join what belongs together."""
-    group = components(candidates).withColumnRenamed("component", "group")
-    known = classes.select("id").join(_small(group), "id").join(_small(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    known = stored(known, "grouped")
-    mixed = known.groupBy("group").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.ceil(F.count("*") / BLOCK).alias("_blocks"))
-    mixed = stored(mixed.where("_lo < _hi").drop("_lo", "_hi"), "mixed")
-    rows = known.join(_small(mixed), "group").withColumn("_block", F.pmod(F.xxhash64("id"), "_blocks"))
-    rows = stored(rows, "blocks")
-    texts = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).join(_small(rows), "id")
-    # every two blocks of a group meet once
-    with_ = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    grid = texts.withColumn("_with", with_).withColumns({"_i": F.least("_block", "_with"), "_j": F.greatest("_block", "_with")})
+def full_sets(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """id, shingles (binary: 64-bit hashes in ascending order) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in slices(batch, "text"):
+                values, at = shingles(Words(data, offsets), SHINGLE)
+                raw = values.tobytes()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[8 * x : 8 * y] for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=["id", "shingles"])
+
+    return docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(run, "id long, shingles binary")
+
+
+def _second_links(rows: DataFrame, labels: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
+    """Links between components within the buckets of ``rows`` (bucket, id, n): enough of them to join what belongs together.
+
+    A cell is a bucket's members of two neighbouring classes of size: others can't reach the similarity. Buckets that make
+    the same cell count once. Within a cell only what is outside its largest component is compared, with all of the cell.
+    """
+    known = rows.join(_small(labels), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    known = stored(known, "labelled")
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("bucket")
+    class_ = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
+    cells = known.join(_small(stored(mixed, "mixed_buckets")), "bucket").withColumn("_class", class_)
+    cells = cells.withColumn("_cell", F.explode(F.array(F.col("_class"), F.col("_class") - 1)))
+    per = cells.groupBy("bucket", "_cell", "component").agg(
+        F.count("*").alias("_n"), F.sum("n").alias("_size"), F.expr("bit_xor(xxhash64(id))").alias("_x"), F.sum(F.xxhash64("id", F.lit(1)) % (1 << 40)).alias("_y"), F.max(F.col("_class") == F.col("_cell")).alias("_own")
+    )
+    per = stored(per, "cells")
+    whole = per.groupBy("bucket", "_cell").agg(
+        F.count("*").alias("_components"), F.sum("_n").alias("_all"), F.sum("_size").alias("_sizes"), F.expr("bit_xor(_x)").alias("_x"), F.sum("_y").alias("_y"),
+        F.max(F.struct("_n", "_size", -F.col("component"))).alias("_top"), F.max("_own").alias("_own"),
+    )
+    whole = whole.where("_components > 1 AND _own").groupBy("_cell", "_all", "_x", "_y").agg(F.min(F.struct("bucket", "_sizes", "_top")).alias("_one"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+    whole = whole.select(
+        F.col("_one.bucket").alias("bucket"), "_cell", (-F.col("_one._top.col3")).alias("_major"), blocks(F.col("_all"), F.col("_one._sizes")).alias("_rights"),
+        blocks(F.col("_all") - F.col("_one._top._n"), F.col("_one._sizes") - F.col("_one._top._size")).alias("_lefts"),
+    )
+    members = cells.select("bucket", "_cell", "id", "component").join(_small(stored(whole, "mixed_cells")), ["bucket", "_cell"])
+    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    one = lambda left, i, j: F.transform(spread(j if left else i), lambda k: F.struct(*((block(i).alias("i"), k.alias("j")) if left else (k.alias("i"), block(j).alias("j"))), F.lit(left).alias("left")))
+    places = F.concat(F.when(F.col("component") != F.col("_major"), one(True, "_lefts", "_rights")).otherwise(F.slice(one(True, "_lefts", "_rights"), 1, 0)), one(False, "_lefts", "_rights"))
+    members = stored(members.select("bucket", "_cell", "id", "component", F.explode(places).alias("p")).select("bucket", "_cell", "p.*", "id", "component"), "places")
+    wanted = stored(members.select("id").distinct(), "wanted")
+    some = docs.join(_small(wanted.withColumnRenamed("id", "_mh_id")), docs[key].cast("long") == F.col("_mh_id"), "left_semi")
+    sets = stored(full_sets(some, text, key).dropDuplicates(["id"]), "full_sets")
 
     def compare(table):
         batch = table.combine_chunks().to_batches()[0]
-        own = []
-        for _, data, offsets in slices(batch, "text"):
-            values, at = shingles(Words(data, offsets), SHINGLE)
-            own += [values[a:b] for a, b in zip(at, at[1:], strict=False)]
-        id_, component = batch.column(batch.schema.get_field_index("id")).to_numpy(), batch.column(batch.schema.get_field_index("component")).to_numpy()
-        pairs = _links_within(own, np.array([len(x) for x in own]), component, percent) if (component != component[0]).any() else []
-        return pa.table({"a": pa.array([min(id_[x], id_[y]) for x, y in pairs], pa.int64()), "b": pa.array([max(id_[x], id_[y]) for x, y in pairs], pa.int64())})
-
-    found = grid.select("group", "_i", "_j", "id", "component", "text").groupBy("group", "_i", "_j").applyInArrow(compare, "a long, b long")
-    return stored(found, "second_links")
+        column = lambda c: batch.column(batch.schema.get_field_index(c))
+        left, id_, component = column("left").to_numpy(zero_copy_only=False), column("id").to_numpy(), column("component").to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in column("shingles").to_pylist()]
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        found = _links_between([own[i] for i in x], [own[i] for i in y], percent) if len(x) and len(y) else np.zeros((0, 2), int)
+        a, b = x[found[:, 0]], y[found[:, 1]]
+        other = component[a] != component[b]
+        a, b = a[other], b[other]
+        joins = _joining(list(zip(component[a].tolist(), component[b].tolist(), strict=True)))
+        a, b = id_[a[joins]], id_[b[joins]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    grid = members.join(sets, "id").select("bucket", "_cell", "i", "j", "left", "id", "component", "shingles")
+    return stored(grid.groupBy("bucket", "_cell", "i", "j").applyInArrow(compare, "a long, b long"), "second_links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -225,7 +270,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
 
     Links join documents whose similarity is at least ``percent`` / 100. A null or empty text, or one of white space
     only, has no shingle and no link. A text with fewer words than a shingle is one shingle. Rows of one id are one
-    document to the links; a row without id has none, and is kept. An empty table gives none.
+    document to the links; a row without id has none, and is kept. An empty table gives none. Ids are integers. Sets of
+    equal size and equal 128-bit fingerprint count as equal; all other links are confirmed shingle by shingle, by 64-bit hashes.
     """
     sets = stored(shingle_sets(docs, text, key), "sets")
     narrow = sets.select("id", "n_shingles", "f1", "f2")
@@ -238,7 +284,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     met = stored(met.groupBy("a", F.col("id").alias("b")).agg(F.first("n").alias("n"), F.first("_na").alias("_na")), "met")
     pairs = stored(met.where(100 * F.least("n", "_na") >= percent * F.greatest("n", "_na")).select("a", "b"), "pairs")
     links = _confirmed(pairs, docs, text, key, percent)
-    more = _second_links(classes, met.select("a", "b"), components(links), docs, text, key, percent)
+    more = _second_links(rows.join(_small(leads), "bucket").select("bucket", "id", "n"), components(links), docs, text, key, percent)
     labels = components(links.union(more))
     known = classes.select("f1", "f2", "id").join(_small(labels), "id", "left")
     known = stored(known.select("f1", "f2", F.coalesce("component", "id").alias("component")), "known")
