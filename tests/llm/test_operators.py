@@ -62,6 +62,12 @@ def test_quality_rules(docs, none):
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and (not r.kept or not r.base_failed)
 
 
+def test_quality_rules_keep_columns_of_any_name(spark):
+    data = spark.createDataFrame([(1, PROSE, "a", "b", "c")], "doc_id long, text string, _t string, _W string, __h string")
+    got = apply_rules(data).collect()[0]
+    assert (got["_t"], got["_W"], got["__h"]) == ("a", "b", "c") and got.n_words == len(words(PROSE))
+
+
 def test_token_counts(docs, none):
     from tokenizers import Tokenizer
 
@@ -162,7 +168,8 @@ def shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def test_near_duplicates(spark):
+def near_rows():
+    """Documents by id, with chains, small groups and texts without words; and each one's smallest reachable id by brute force."""
     rnd = random.Random(4)
     base = [[rnd.choice("abcdefghijklmnop") * rnd.randint(1, 3) for _ in range(60)] for _ in range(6)]
     texts = []
@@ -186,13 +193,25 @@ def test_near_duplicates(spark):
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = near_duplicates(spark.createDataFrame([*data, (None, texts[0])], "doc_id long, text string")).collect()
+    return data, sets, {d: find(d) for d in sets}
+
+
+@pytest.mark.parametrize("stars", [True, False])
+def test_near_duplicates(spark, monkeypatch, stars):
+    from memspark.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    if not stars:  # the second comparison must find every link by itself
+        confirmed = minhash._confirmed
+        monkeypatch.setattr(minhash, "_confirmed", lambda pairs, *args: confirmed(pairs.where("false"), *args))
+    data, sets, least = near_rows()
+    got = near_duplicates(spark.createDataFrame([*data, (None, data[0][1])], "doc_id long, text string")).collect()
     assert len(got) == len(data) + 1
     for r in got:
         if r.doc_id is None:
             assert r.kept and r.component_id is None
         else:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), least[r.doc_id], least[r.doc_id] == r.doc_id)
 
 
 def test_near_duplicates_odd_rows(docs, none):
@@ -308,6 +327,37 @@ def test_html(spark):
     assert len(got) == len(odd) and got[0].text == "" and got[6].text == got[7].text and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_marginals_by_enumeration():
+    import itertools
+
+    from memspark.llm.html_text import Node
+
+    model, rnd = trained(), random.Random(5)
+    names = sorted(model.likelihood)
+    for _ in range(25):
+        nodes = [Node(-1, (), None, None)]
+        for i in range(1, rnd.randint(2, 9)):
+            nodes.append(Node(rnd.randrange(i), tuple(rnd.sample(names, rnd.randint(0, 3))), None, None))
+        total, content = 0.0, [0.0] * len(nodes)
+        for y in itertools.product((0, 1), repeat=len(nodes)):
+            p = 1.0
+            for i, n in enumerate(nodes):
+                p *= model.edges[y[n.parent]][y[i]] if i else 1.0
+                for f in n.features:
+                    p *= model.likelihood[f][y[i]]
+            total += p
+            content = [c + p * x for c, x in zip(content, y)]
+        assert np.allclose(model.marginals(nodes), [c / total for c in content], atol=1e-9)
+
+
+def test_html_depth_costs_its_length():
+    import time
+
+    began = time.perf_counter()
+    main_text("<div>" * 40_000 + "deep" + "</div>" * 40_000 + "</p>" * 40_000 + "<li>" * 40_000, trained())
+    assert time.perf_counter() - began < 20
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rnd = random.Random(6)
