@@ -117,7 +117,7 @@ _LANE = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(first, index): a place of each distinct word of a slice, and which of these each word is. A word may be listed twice.
 
-    Words of 16 bytes or less are compared by their bytes as two numbers, longer ones by a dictionary of the slice.
+    Words of 16 bytes or less are compared by their length and their bytes as two numbers, longer ones by a dictionary of the slice.
     """
     start, size = words.start, words.end - words.start
     raw = words.data.tobytes() + bytes(16)
@@ -129,10 +129,10 @@ def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
         codes: dict[bytes, int] = {}
         a[long] = [codes.setdefault(raw[x:y], len(codes)) for x, y in zip(start[long].tolist(), words.end[long].tolist(), strict=True)]
         b[long] = ~np.uint64(0)  # no text has such bytes
-    order = np.argsort(mix(a * constants(1, 17) + b * constants(1, 19)))
-    a, b = a[order], b[order]
+    order = np.argsort(mix(a * constants(1, 17) + b * constants(1, 19) + size.astype(np.uint64)))
+    a, b, size = a[order], b[order], size[order]
     new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (size[1:] != size[:-1])
     index = np.empty(len(a), np.int64)
     index[order] = np.cumsum(new) - 1
     return order[new], index
