@@ -3,42 +3,38 @@
 Two facts make the count a finite-state computation. First, the last token of a text's encoding is the one vocabulary
 entry that ends there and may stand beside the last token of what is before it; so a state needs the longest suffix
 that still may begin an entry, with the last token and the relative count at each place in it. States and transitions
-are built when first met, and each transition carries the change of the token count. Second, a space after a character
-that is no white space always begins a new pre-token, whatever came before: there every state leads to the same state.
-A chunk of a text hence maps entry states to exit states by three parts only: what stands before its first such place,
-the count between first and last, and what stands after. These chunk maps compose associatively, and a prefix scan over
-the chunks gives the count of a text of any length.
+are built when first met, and each transition carries the change of the token count. A chunk maps entry states to exit
+states and counts, and maps of adjacent chunks compose. Second, a space after a character that is no white space always
+begins a new pre-token, whatever came before: there every state leads to the start state. Chunks between such places
+(units) are mostly words; their maps are constant, so the prefix scan over all units of a slice of texts is one
+cumulative sum, and equal units are worked out once. A pre-token of any length is cut into chunks of CHUNK bytes, whose maps are
+composed state by state.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
-from typing import NamedTuple
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from memspark.llm.textbatch import slices
+from memspark.llm.bpe import byte_letters
+from memspark.llm.textbatch import byte_table, distinct, slices
 
-CHUNK = 1 << 15
-#: Most states and most remembered units of a worker; beyond them the tables start anew (results don't change).
-MOST_STATES, MOST_UNITS = 250_000, 300_000
+#: Bytes of a chunk of a pre-token, and of texts that are worked on together.
+CHUNK, SLICE = 1 << 12, 1 << 22
+#: Most states and most remembered units of a worker (beyond them the tables start anew; results don't change), and the longest unit, in bytes.
+MOST_STATES, MOST_UNITS, REMEMBERED = 250_000, 600_000, 64
 # Fixed value: the published pre-token pattern of this kind of vocabulary.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _NOWHERE = (b"", 0)
 _MARKS = frozenset(",.;:!?")
-_UNSURE = regex.compile(r"\s ")
-_SURE = regex.compile(r"(?<=\S) ")
-
-
-def _byte_letters() -> dict[str, int]:
-    """The letters that stand for bytes in such files: printable bytes stand for themselves, the others follow 255."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+_SPACE = byte_table(bytes([0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]))
+# White space of two and three bytes, as UTF-8.
+_SPACES = [int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
 class Transducer:
@@ -56,7 +52,7 @@ class Transducer:
 
     @classmethod
     def of_file(cls, path: str) -> Transducer:
-        letters = _byte_letters()
+        letters = byte_letters()
         raw = lambda t: bytes(letters[c] for c in t)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -131,133 +127,155 @@ class Transducer:
         found = self.steps[state][byte] = (self.state((longer[drop:], lasts, counts)), change)
         return found
 
-    def count(self, piece: bytes) -> int:
-        state = total = 0
-        for b in piece:
-            state, change = self.steps[state].get(b) or self.step(state, b)
+    def run(self, state: int, chunk: bytes) -> tuple[int, int]:
+        """(exit state, tokens) of ``chunk`` entered in ``state``."""
+        total, steps = 0, self.steps
+        for b in chunk:
+            state, change = steps[state].get(b) or self.step(state, b)
             total += change
+        return state, total
+
+    def count(self, piece: bytes) -> int:
+        n = self.run(0, piece)[1]
+        self.tidy()
+        return n
+
+    def tidy(self) -> None:
         if len(self.keys) > MOST_STATES:
             self.start()
             self.beside.clear()
-        return total
 
 
-class Units(dict):
-    """Token counts of units: texts that begin and end where pre-tokens surely do."""
+class ChunkMap:
+    """What a chunk does to a state of the transducer: entry state to (exit state, tokens). Entries are worked out when asked for."""
 
-    def __init__(self, transducer: Transducer):
-        super().__init__()
-        self.transducer = transducer
+    def __init__(self, transducer: Transducer, chunk: bytes):
+        self.transducer, self.chunk, self.known = transducer, chunk, {}
 
-    def __missing__(self, unit: str) -> int:
-        count, body = self.transducer.count, unit[1:] if unit[0] == " " else unit
-        if body.isalpha():
-            n = count(unit.encode())
-        elif body[-1:] in _MARKS and body[:-1].isalpha():
-            n = self[unit[:-1]] + 1
-        else:
-            n = sum(count(p.encode()) for p in PRE_TOKENS.findall(unit))
-        if len(self) > MOST_UNITS:
-            self.clear()
-        self[unit] = n
-        return n
-
-    def inside(self, text: str) -> int:
-        """The count of a text that begins and ends where pre-tokens do."""
-        if not text:
-            return 0
-        if _UNSURE.search(text):
-            return sum(self[u] for u in _cut(text))
-        first, *rest = text.split(" ")
-        return (self[first] if first else 0) + sum(self[" " + u] for u in rest)
+    def __call__(self, state: int) -> tuple[int, int]:
+        found = self.known.get(state)
+        if found is None:
+            found = self.known[state] = self.transducer.run(state, self.chunk)
+        return found
 
 
-def _cut(text: str) -> list[str]:
-    at = [0, *(m.start() for m in _SURE.finditer(text)), len(text)]
-    return [text[a:b] for a, b in zip(at, at[1:], strict=False) if a < b]
+def prefix_scan(maps: Iterable[ChunkMap], state: int) -> Iterator[tuple[int, int]]:
+    """(exit state, tokens) of every prefix of the chunks, entered in ``state``: the running composition of their maps."""
+    total = 0
+    for m in maps:
+        state, n = m(state)
+        total += n
+        yield state, total
 
 
-class ChunkMap(NamedTuple):
-    """What a chunk does to any entry state: ``head`` extends what was open, ``count`` is settled, ``tail`` stays open.
+class Units(dict):
+    """Token counts of units: texts that begin and end where pre-tokens surely do.
 
-    ``tail`` is None if the chunk has no place where a pre-token surely begins.
+    A unit leads every state to the start state, so its map is its count, and maps of units compose by adding.
     """
 
-    head: str
-    count: int
-    tail: str | None
-
-
-def chunk_map(text: str, units: Units) -> ChunkMap:
-    first = _SURE.search(text)
-    if first is None:
-        return ChunkMap(text, 0, None)
-    last = first.start()
-    at = text.rfind(" ")
-    while at > last:
-        if not text[at - 1].isspace():
-            last = at
-            break
-        at = text.rfind(" ", 0, at)
-    return ChunkMap(text[: first.start()], units.inside(text[first.start() : last]), text[last:])
-
-
-def compose(a: ChunkMap, b: ChunkMap, units: Units) -> ChunkMap:
-    """The map of two adjacent chunks. A place between them that only both show together stays open, as text."""
-    if a.tail is None:
-        return ChunkMap(a.head + b.head, b.count, b.tail)
-    if b.tail is None:
-        return ChunkMap(a.head, a.count, a.tail + b.head)
-    return ChunkMap(a.head, a.count + units.inside(a.tail + b.head) + b.count, b.tail)
-
-
-def prefix_scan(maps: list[ChunkMap], units: Units) -> list[ChunkMap]:
-    """The composed maps of all prefixes of the chunks, pairwise in log2 rounds."""
-    step = 1
-    while step < len(maps):
-        maps = [compose(maps[i - step], m, units) if i >= step else m for i, m in enumerate(maps)]
-        step *= 2
-    return maps
-
-
-def count_text(text: str, units: Units, chunk: int = CHUNK) -> int:
-    if len(text) <= chunk:
-        return units.inside(text)
-    maps = [chunk_map(text[i : i + chunk], units) for i in range(0, len(text), chunk)]
-    whole = prefix_scan(maps, units)[-1]
-    return units.inside(whole.head) + whole.count + units.inside(whole.tail or "") if whole.tail is not None else units.inside(whole.head)
-
-
-def counter(path: str, special: tuple[str, ...] = ("<|endoftext|>",)) -> Callable[[str], int]:
-    """A function of a text: its token count by the vocabulary file, special strings counting as one token each."""
-    units = Units(Transducer.of_file(path))
-    strings = regex.compile("|".join(map(regex.escape, special)))
-
-    def count(text: str) -> int:
-        if "<|" not in text:
-            return count_text(text, units)
-        found = strings.findall(text)
-        return len(found) + sum(count_text(p, units) for p in strings.split(text))
+    def __init__(self, transducer: Transducer, special: list[str], chunk: int = CHUNK):
+        super().__init__()
+        self.transducer, self.chunk = transducer, chunk
+        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.firsts = sorted({t.encode()[0] for t in special})
 
-    return count
+    @classmethod
+    def of_file(cls, path: str) -> Units:
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens", [])
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+            raise ValueError("added tokens that take white space or whole words only aren't known here")
+        return cls(Transducer.of_file(path), [t["content"] for t in added])
+
+    def pre_token(self, piece: bytes) -> int:
+        if len(piece) <= self.chunk:
+            return self.transducer.count(piece)
+        maps = (ChunkMap(self.transducer, piece[i : i + self.chunk]) for i in range(0, len(piece), self.chunk))
+        n = 0
+        for _, n in prefix_scan(maps, 0):
+            pass
+        self.transducer.tidy()
+        return n
 
+    def __missing__(self, unit: bytes) -> int:
+        text = unit.decode()
+        body = text[1:] if text[0] == " " else text
+        if body.isalpha():
+            n = self.pre_token(unit)
+        elif body[-1:] in _MARKS and body[:-1].isalpha():
+            n = self[unit[:-1]] + 1
+        else:
+            n = sum(self.pre_token(m[0].encode()) for m in PRE_TOKENS.finditer(text))
+        if len(unit) <= REMEMBERED:
+            if len(self) > MOST_UNITS:
+                self.clear()
+            self[unit] = n
+        return n
 
-_counters: dict[str, Callable[[str], int]] = {}
+    def of_slice(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The count of every text of a slice, special strings as one token each."""
+        found = {}
+        if self.special is not None:
+            spots = np.flatnonzero(np.isin(data, self.firsts))
+            for i in np.unique(np.searchsorted(offsets, spots, "right") - 1).tolist():
+                text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
+                n = len(self.special.findall(text))
+                if n:
+                    parts = [p.encode() for p in self.special.split(text)]
+                    at = np.cumsum([0, *map(len, parts)])
+                    found[i] = n + int(self.of_texts(np.frombuffer(b"".join(parts), np.uint8), at).sum())
+        out = self.of_texts(data, offsets)
+        out[list(found)] = list(found.values())
+        return out
+
+    def of_texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        units = Pieces(data, np.union1d(offsets[:-1][offsets[:-1] < offsets[1:]], sure_places(data)))
+        first, index = distinct(units)
+        raw = data.tobytes()
+        counts = np.array([self[raw[a:b]] for a, b in zip(units.start[first].tolist(), units.end[first].tolist(), strict=True)], np.int64)
+        # the scan over all units of the slice; a text's count is what its last prefix has above its first
+        total = np.concatenate([[0], np.cumsum(counts[index])])
+        return np.diff(total[np.searchsorted(units.start, offsets)])
+
+
+class Pieces:
+    """Bounds of consecutive pieces of ``data`` that begin at ``start``."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray):
+        self.data, self.start, self.end = data, start, np.append(start[1:], len(data)) if len(start) else start
+
+
+def sure_places(data: np.ndarray) -> np.ndarray:
+    """Places of spaces after a character that is no white space: a pre-token begins there, whatever came before."""
+    at = np.flatnonzero(data == 0x20)
+    at = at[at > 0]
+    last = data[at - 1]
+    sure = ~_SPACE[last]
+    high = np.flatnonzero(last >= 0x80)
+    if len(high):
+        place = at[high]
+        two, three = data[place - 2].astype(np.int64) << 8 | last[high], data[np.maximum(place - 3, 0)].astype(np.int64) << 16
+        sure[high] = ~(np.isin(two, _SPACES) | np.isin(three | two, _SPACES))
+    return at[sure]
+
+
+_counters: dict[str, Units] = {}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, n_bytes, n_tokens and over_limit (n_tokens above ``limit``) of every row of ``docs``.
 
     ``path`` is a byte-level BPE file that every executor has. A null text counts as empty (0 tokens); rows are counted
-    one by one, so repeated rows repeat; an empty table gives none. There is no shuffle.
+    one by one, so repeated rows repeat; an empty table gives none. There is no shuffle. A task's memory follows a slice
+    of SLICE bytes, or one text if that is longer.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counters.get(path) or _counters.setdefault(path, counter(path))
+        units = _counters.get(path) or _counters.setdefault(path, Units.of_file(path))
         for batch in batches:
-            for part, data, offsets in slices(batch, "_text"):
-                whole, at = memoryview(data), offsets.tolist()
-                n = np.array([count(str(whole[a:b], "utf-8")) for a, b in zip(at, at[1:], strict=False)], np.int64)
+            for part, data, offsets in slices(batch, "_text", SLICE):
+                n = units.of_slice(data, offsets)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], names=[key, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[key].dataType.simpleString()
