@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from memspark.llm.packing import pack, plan
 from memspark.llm.quality_classifier import fit as fit_quality
 from memspark.llm.quality_classifier import score as score_quality
 from memspark.llm.quality_rules import apply_rules
-from memspark.llm.token_counts import count_text, counter, token_counts
+from memspark.llm.token_counts import Units, token_counts
 from memspark.llm.topk import top_k
 from memspark.llm.toxicity import fit as fit_toxicity
 from memspark.llm.toxicity import score as score_toxicity
@@ -77,18 +78,39 @@ def test_token_counts(docs, none):
     assert token_counts(none, BYTE, 512).count() == 0
 
 
+def counted(units, texts):
+    from memspark.llm.textbatch import slices
+    from memspark.llm.token_counts import SLICE
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])
+    return [n for _, data, offsets in slices(batch, "t", SLICE) for n in units.of_slice(data, offsets).tolist()]
+
+
 def test_token_counts_of_odd_texts():
     from tokenizers import Tokenizer
 
-    library, count, rnd = Tokenizer.from_file(BYTE), counter(BYTE), random.Random(2)
-    units = next(c.cell_contents for c in count.__closure__ if isinstance(c.cell_contents, dict))
-    letters = [*"abcdetherion '  \n\t.,!?0123éß漢字🙂 \x85\x1c_", "'s", "'ll", " the", "<|endoftext|>", "  ", "\n\n"]
-    for _ in range(600):
-        t = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 80)))
-        n = len(library.encode(t, add_special_tokens=False).ids)
-        assert count(t) == n
-        if "<|" not in t:
-            assert count_text(t, units, chunk=rnd.randint(1, 9)) == n
+    library, units, rnd = Tokenizer.from_file(BYTE), Units.of_file(BYTE), random.Random(2)
+    letters = [*"abcdetherion '  \n\t\0.,!?0123éß漢字🙂 \x85\x1c_\xa0\u2003\u3000”", "'s", "'ll", "'re", " the", "<|endoftext|>", "<|", "  ", "\n\n", " ", " "]
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 80))) for _ in range(3000)]
+    expected = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counted(units, texts) == expected
+    units.clear()
+    units.chunk = 3  # every pre-token by maps of several chunks
+    assert counted(units, texts) == expected
+
+
+def test_token_counts_of_a_long_text_without_spaces():
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    text = "漢字仮名交じり文" * 40_000 + "x" * 100_000
+    units = Units.of_file(BYTE)
+    assert counted(units, [text[:20_000]]) == [len(Tokenizer.from_file(BYTE).encode(text[:20_000], add_special_tokens=False).ids)]
+    tracemalloc.start()
+    counted(units, [text])
+    assert tracemalloc.get_traced_memory()[1] < 60 * len(text)
+    tracemalloc.stop()
 
 
 def test_plan_fills_every_place_once():
@@ -137,7 +159,7 @@ def test_packing_ids_of_odd_texts(monkeypatch):
     from memspark.llm.textbatch import slices
 
     library, known, rnd = Tokenizer.from_file(WORD), packing.WordIds(WORD, 0), random.Random(2)
-    letters = [*"abcdetherion '  \n\t.,!?0123éßİΣςǅ漢字🙂 \x85\x1c_ØȺ²½\u0301\xa0“…€ﬁ", "'s", "'ll", "'re", " the", "<|endoftext|>", "  ", "\n\n", "--", "''s", "\"'ve"]
+    letters = [*"abcdetherion '  \n\t\0.,!?0123éßİΣςǅ漢字🙂 \x85\x1c_ØȺ²½\u0301\xa0“…€ﬁ", "'s", "'ll", "'re", " the", "<|endoftext|>", "  ", "\n\n", "--", "''s", "\"'ve"]
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 80))) for _ in range(1500)]
     texts += ["", " ", "a", "'", "'s", "a'", "x" * 70, "x" * 300, "é" * 64, "1" * 100, "漢" * 50 + " a " * 3]
 
