@@ -70,18 +70,29 @@ def temporal_term(recency: Column, salience: Column) -> Column:
     return clamp(0.6 * recency + 0.4 * salience)
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 when the lengths differ or a norm is 0."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    product = norm(a) * norm(b)
-    return F.when((F.size(a) != F.size(b)) | (product == 0), 0.0).otherwise(dot / product)
+
+    def of(p: Column) -> Column:
+        x, y = p["a"], p["b"]
+        dot = F.aggregate(F.zip_with(x, y, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, t: s + t)
+        return bound(_norm(x) * _norm(y), lambda n: F.when((F.size(x) != F.size(y)) | (n == 0), 0.0).otherwise(dot / n))
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def normalised(v: Column) -> Column:
     """The vector over its length; a zero vector as it is."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm == 0, x.cast("double")).otherwise(x.cast("double") / norm))
+    return bound(v, lambda w: bound(_norm(w), lambda n: F.transform(w, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))))
 
 
 def text_boost(query: Column, title: Column, snippet: Column) -> Column:

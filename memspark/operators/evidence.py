@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import facts
@@ -64,12 +64,11 @@ def graph_arm(hits: DataFrame, observations: DataFrame, edges: DataFrame, k: int
     seeds = owners.groupBy("qid", F.col("entity_id").alias("id")).agg(F.sum(1 / F.col("rank")).alias("weight"))
     scores = graph.pagerank(seeds, edges).select("qid", F.col("id").alias("entity_id"), F.round("score", 9).alias("_score"))
     sizes = observations.groupBy("entity_id").agg(F.count("*").alias("_n"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("qid").orderBy(F.col("_score").desc(), "entity_id")
     reached = scores.join(sizes, "entity_id").withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_before") < k)
     rows = reached.join(observations.select("id", "entity_id"), "entity_id")
-    return search.top(rows, ["qid"], [F.col("_score").desc(), F.col("entity_id"), F.col("id")], 1_000_000_000).select("qid", "id", "rank")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("_score").desc(), "entity_id", "id"))
+    return rows.select("qid", "id", place.alias("rank"))
 
 
 def ignored(path: Column) -> Column:

@@ -33,13 +33,16 @@ LEAST_LENGTH, LEAST_ENTROPY = 32, 3.5
 _KEY = "|".join(SECRET_KEYS)
 _EDGES = re.compile(r"^[^A-Za-z0-9_-]+|[^A-Za-z0-9_-]+$")
 _JWT = re.compile(r"[A-Za-z0-9_-]{9,}\.[A-Za-z0-9_-]{9,}\.[A-Za-z0-9_-]{9,}")
-_WORDS = re.compile(r"\S+")
+_STARTS = "|".join(re.escape(p) for p, *_ in TOKEN_PREFIXES)
+# Tokens that can be secret: those whose core has a prefix, and long ones. Anything else is harmless and passes unseen.
+_WORDS = re.compile(rf"(?<!\S)(?:[^\sA-Za-z0-9_-]*+(?:{_STARTS})|\S{{29}})\S*")
 
 
 def assignments(x: Column) -> Column:
     """Each line from its first ``=`` or ``:`` on whose key, right before it, holds a secret word: replaced by a marker."""
     plain = F.regexp_replace(x, "\r\n", "\n")
-    key = f"(?im)([A-Za-z0-9_-]*(?:{_KEY})[A-Za-z0-9_-]*)[^\\S\n]*"
+    # a match begins where a run of key characters does, so a long run is tried once and not from each of its characters
+    key = f"(?im)(?<![A-Za-z0-9_-])([A-Za-z0-9_-]*(?:{_KEY})[A-Za-z0-9_-]*)[^\\S\n]*"
     equal = F.regexp_replace(plain, key + "=.*$", "$1=[REDACTED_SECRET]")
     return F.regexp_replace(equal, key + ":.*$", "$1: [REDACTED_SECRET]")
 
@@ -98,7 +101,7 @@ def raised_privacy(level: Column, changed: Column) -> Column:
     return F.when(changed & level.isin("public", "internal"), "sensitive").otherwise(level)
 
 
-_ASSIGNED = re.compile(rf"([A-Za-z0-9_-]*(?:{_KEY})[A-Za-z0-9_-]*)[^\S\n]*([=:]).*$", re.I | re.M)
+_ASSIGNED = re.compile(rf"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]*(?:{_KEY})[A-Za-z0-9_-]*)[^\S\n]*([=:]).*$", re.I | re.M)
 
 
 def _value(v, key: str = ""):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import scoring, text
+from memspark.operators.stored import stored
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Queries that are broadcast at most; beyond, queries of a chunk and vectors of a shard.
@@ -44,7 +45,7 @@ def keyword_search(queries: DataFrame, records: DataFrame, k: int = 10, wanted:
     one = hits.where("_len = 1").groupBy("_phrase", "id", "_dl").agg(F.count("*").alias("_tf"))
     several = hits.where("_len > 1").groupBy("_phrase", "_len", "id", "_dl", (F.col("_pos") - F.col("_off")).alias("_at")).agg(F.countDistinct("_off").alias("_c"))
     several = several.where("_c = _len").groupBy("_phrase", "id", "_dl").agg(F.count("*").alias("_tf"))
-    postings = one.unionByName(several)
+    postings = stored(one.unionByName(several), "postings")  # read twice; only those of query terms
     frequency = postings.groupBy("_phrase").agg(F.count("*").alias("_df"))
     idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(LEAST_IDF))
     weights = frequency.crossJoin(F.broadcast(total)).select("_phrase", idf.alias("_idf"), "_avg")  # one row of totals
@@ -99,16 +100,20 @@ def fuse(arms: DataFrame, k: int = 10) -> DataFrame:
 def hash_embedding(records: DataFrame, dim: int = 64) -> DataFrame:
     """id, v: hashed-token vectors of ``records`` (id, content), of length 1.
 
-    A token's SHA-256 gives its place (the first eight bytes modulo ``dim``) and its sign (the ninth byte's parity).
+    A token's SHA-256 gives its place (the first eight bytes modulo ``dim``) and its sign (the ninth byte's parity). Every
+    row is worked out by itself: there is no shuffle.
     """
-    tokens = records.select("id", F.explode(text.ascii_tokens(F.col("content"))).alias("_t")).groupBy("id", "_t").agg(F.count("*").alias("_n"))
-    h = F.sha2("_t", 256)
-    place = F.conv(F.substring(h, 1, 16), 16, 10).cast("decimal(20,0)") % dim
-    sign = F.when(F.conv(F.substring(h, 17, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    cells = tokens.select("id", place.cast("int").alias("_at"), (sign * F.col("_n")).alias("_x")).groupBy("id", "_at").agg(F.sum("_x").alias("_x"))
-    sparse = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("_at", F.col("_x").cast("double")))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)))
-    return records.select("id").join(sparse, "id", "left").select("id", scoring.normalised(F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(dense)).alias("v"))
+    number = lambda h, at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")
+
+    def code(h: Column) -> Column:
+        """Twice the place, and one more for a negative sign."""
+        place = (number(h, 1, 8) % dim * (2**32 % dim) + number(h, 9, 8)) % dim
+        return (2 * place + number(h, 17, 2) % 2).cast("int")
+
+    codes = F.transform(text.ascii_tokens(F.coalesce("content", F.lit(""))), lambda t: scoring.bound(F.sha2(t, 256), code))
+    count = lambda c, x: F.size(F.filter(c, lambda y: y == x))
+    dense = scoring.bound(codes, lambda c: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (count(c, 2 * i) - count(c, 2 * i + 1)).cast("double")))
+    return records.select("id", scoring.normalised(dense).alias("v"))
 
 
 def temporal_boost(records: DataFrame, uses: DataFrame, as_of, weight: float = 1.0) -> DataFrame:

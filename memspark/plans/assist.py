@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import scoring
 from memspark.operators import search
+from memspark.operators.stored import stored
 
 
 def find(queries: DataFrame, records: DataFrame, mode: str = "hybrid", k: int = 10, dim: int = 64) -> DataFrame:
@@ -18,10 +19,12 @@ def find(queries: DataFrame, records: DataFrame, mode: str = "hybrid", k: int =
     pool = min(3 * k, 100) if mode == "hybrid" else k
     content = records.select("id", "content")
     words = search.keyword_search(queries, content, pool)
+    if mode != "semantic":
+        words = stored(words, "keyword_arm")
     if mode == "keyword":
         return words.withColumn("fallback", F.lit(None).cast("string"))
     asked = search.hash_embedding(queries.select(F.col("qid").alias("id"), F.col("query").alias("content")), dim).select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    near = search.vector_search(asked, search.hash_embedding(content, dim), pool)
+    near = stored(search.vector_search(asked, search.hash_embedding(content, dim), pool), "semantic_arm")
     found = near.select("qid").distinct().withColumn("_semantic", F.lit(True))
     if mode == "semantic":
         rest = words.join(found, "qid", "left_anti").withColumn("fallback", F.lit("no semantic result: keyword order"))
@@ -68,8 +71,6 @@ def handoffs(sessions: DataFrame, decisions: DataFrame, state: DataFrame, k: int
 
 def lineage(sessions: DataFrame) -> DataFrame:
     """id, root, depth along parent_session, by doubling the distance that each step jumps."""
-    from memspark.operators.stored import stored
-
     hop = stored(sessions.select("id", F.coalesce("parent_session", "id").alias("root"), F.col("parent_session").isNotNull().cast("long").alias("depth")), "lineage")
     while True:
         far = hop.select(F.col("id").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))

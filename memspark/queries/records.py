@@ -364,7 +364,7 @@ def e1(spark, sf_dir):
     return evaluate.metrics(*_run(spark, sf_dir))
 
 
-@register("e4_macro", f"{_EVAL} SELECT metric, round(avg(value), 6) AS value FROM (UNPIVOT (SELECT * EXCLUDE (qid) FROM e) ON COLUMNS(*) INTO NAME metric VALUE value) GROUP BY metric")
+@register("e4_macro", f"{_EVAL} SELECT metric, ((2 * sum(CAST(round(value * 1000000) AS BIGINT)) + count(value)) // (2 * count(value)))::DOUBLE / 1000000 AS value FROM (UNPIVOT (SELECT * EXCLUDE (qid) FROM e) ON COLUMNS(*) INTO NAME metric VALUE value) GROUP BY metric")
 def e4(spark, sf_dir):
     return evaluate.macro(evaluate.metrics(*_run(spark, sf_dir)))
 
