@@ -1,30 +1,7 @@
-"""Intermediate tables in the folder that the whole cluster shares.
-
-An operator that reads a result twice, or iterates, writes it here and reads it back: the lineage is cut and a lost
-executor costs no recomputation. The folder is the session's ``spark.checkpoint.dir``; a temporary folder serves only
-where that is unset (tests on one machine).
-"""
+"""Intermediate tables of the training-data operators: those of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="memspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+from memspark.operators.stored import drop_stored, shared_dir, stored
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table of its own in the shared folder, and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/memspark-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop_stored", "shared_dir", "stored"]
