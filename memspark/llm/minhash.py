@@ -6,8 +6,8 @@ permutations give a signature of the usual length. Bands of the signature are bu
 
 1. One scan makes set size, set fingerprint and signature of each document. Documents with equal sets form a class, and
    only its smallest id goes on.
-2. In each bucket every class is paired with the bucket's smallest id: a star, never all pairs. Pairs whose sizes allow
-   the similarity are confirmed on the full shingle sets, and confirmed links give first components.
+2. In each bucket every class is paired with the one that has the most bucket mates: a star, never all pairs. Pairs whose
+   sizes allow the similarity are confirmed on the full shingle sets, and confirmed links give first components.
 3. What a star can miss is a link between two classes that share a bucket but no component yet. Buckets with several
    components are cut into cells of neighbouring sizes, and what is outside a cell's largest component is compared with
    the cell's members, block by block, on full shingle sets. A task returns only links that join components.
@@ -34,7 +34,7 @@ PERMUTATIONS = BANDS * ROWS // 2
 #: Tables of this many narrow rows at most are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 #: Pairs of a hot document that are confirmed together; members and shingles of a block, on average at most.
-TOGETHER, BLOCK, BLOCK_SHINGLES = 64, 64, 1 << 19
+TOGETHER, BLOCK, BLOCK_SHINGLES = 64, 128, 1 << 19
 
 
 def _signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -278,13 +278,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     classes = sets.where("n_shingles > 0 AND id IS NOT NULL").groupBy("f1", "f2", F.col("n_shingles").alias("n"))
     classes = stored(classes.agg(F.min("id").alias("id"), F.first("signature").alias("signature")), "classes")
     rows = _buckets(classes)
-    leads = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("_lead"), F.count("*").alias("_n")).where("_n > 1")
-    leads = stored(leads.select("bucket", F.col("_lead.id").alias("a"), F.col("_lead.n").alias("_na")), "leads")
+    sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("_mates")).where("_mates > 1"), "sizes")
+    rows = stored(rows.join(_small(sizes), "bucket"), "mates")
+    # the member with the most mates over all its buckets leads: the text that others are variants of, if there is one
+    mates = stored(rows.groupBy("id").agg(F.sum("_mates").alias("_all")), "all_mates")
+    leads = rows.join(_small(mates), "id").groupBy("bucket").agg(F.max(F.struct("_all", (-F.col("id")).alias("minus"), "n")).alias("_lead"))
+    leads = stored(leads.select("bucket", (-F.col("_lead.minus")).alias("a"), F.col("_lead.n").alias("_na")), "leads")
     met = rows.join(_small(leads), "bucket").where(F.col("id") != F.col("a"))
     met = stored(met.groupBy("a", F.col("id").alias("b")).agg(F.first("n").alias("n"), F.first("_na").alias("_na")), "met")
     pairs = stored(met.where(100 * F.least("n", "_na") >= percent * F.greatest("n", "_na")).select("a", "b"), "pairs")
     links = _confirmed(pairs, docs, text, key, percent)
-    more = _second_links(rows.join(_small(leads), "bucket").select("bucket", "id", "n"), components(links), docs, text, key, percent)
+    more = _second_links(rows.select("bucket", "id", "n"), components(links), docs, text, key, percent)
     labels = components(links.union(more))
     known = classes.select("f1", "f2", "id").join(_small(labels), "id", "left")
     known = stored(known.select("f1", "f2", F.coalesce("component", "id").alias("component")), "known")
