@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memspark.queries import evidence, graphs, plans, records, retrieval, scalars
+from memspark.queries import evidence, graphs, plans, records, retrieval, scalars, work
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _area in (scalars, retrieval, graphs, records, plans, evidence):
+for _area in (scalars, retrieval, graphs, records, plans, evidence, work):
     QUERIES |= _area.QUERIES
     ORACLE_SQL |= _area.ORACLE_SQL

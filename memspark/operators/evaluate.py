@@ -97,3 +97,43 @@ def bootstrap(values: DataFrame, resamples: int = 2000, seed: int = 42) -> DataF
 
     means = parts.mapInPandas(run, "name string, m double").groupBy("name").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.stddev_samp("m").alias("se"))
     return values.groupBy("name").agg(F.avg("x").alias("mean")).join(means, "name")
+
+
+def paired(values: DataFrame, resamples: int = 2000, permutations: int = 10_000, seed: int = 42) -> DataFrame:
+    """name, delta, p, low, high of ``values`` (name, qid, a, b): the mean of a - b, its permutation p and its bootstrap interval.
+
+    The signs of the deltas are drawn anew in each permutation; p = (hits + 1) / (permutations + 1), a hit having a mean at
+    least as large as the observed one. A name's deltas are its queries' in order of qid; blocks of permutations run in parallel.
+    """
+    deltas = values.select("name", "qid", (F.col("a") - F.col("b")).alias("x"))
+    lists = deltas.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("qid", "x"))).alias("v")).select("name", F.col("v.x").alias("v"))
+    parts = lists.select("name", "v", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1), F.lit(500))).alias("lo")).repartition("name", "lo")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for pdf in batches:
+                for name, v, lo in zip(pdf["name"], pdf["v"], pdf["lo"], strict=True):
+                    v = np.asarray(v, float)
+                    b = np.arange(lo, min(lo + 500, permutations))
+                    flip = (_draws(b[:, None] * len(v) + np.arange(len(v)) + 1, seed) & np.uint64(1)).astype(bool)
+                    means = np.abs(np.where(flip, -v, v).mean(axis=1))
+                    yield pd.DataFrame({"name": [name], "hits": [int((means >= abs(v.mean()) - 1e-12).sum())]})
+
+    hits = parts.mapInPandas(run, "name string, hits long").groupBy("name").agg(((F.sum("hits") + 1) / (permutations + 1)).alias("p"))
+    interval = bootstrap(deltas, resamples, seed)
+    return interval.join(hits, "name").select("name", F.col("mean").alias("delta"), "p", "low", "high")
+
+
+def compare_modes(per_query: DataFrame, base: str = "hybrid", **how) -> DataFrame:
+    """mode, delta, p, p_holm, low, high: ``base`` against every other mode of ``per_query`` (mode, qid, x), over the queries that both have."""
+    left = per_query.where(F.col("mode") == base).select("qid", F.col("x").alias("a"))
+    pairs = per_query.where(F.col("mode") != base).join(left, "qid").select(F.col("mode").alias("name"), "qid", "a", F.col("x").alias("b"))
+    found = paired(pairs, **how)
+    adjusted = holm(found.select(F.lit("modes").alias("family"), "name", "p")).select("name", F.col("adjusted").alias("p_holm"))
+    return found.join(adjusted, "name").select(F.col("name").alias("mode"), "delta", "p", "p_holm", "low", "high")
+
+
+def lift(before: DataFrame, after: DataFrame, qrels: DataFrame) -> DataFrame:
+    """metric, before, after, lift: macro averages of two runs (qid, id, rank) against the same judgements."""
+    one = lambda run, name: macro(metrics(run, qrels)).withColumnRenamed("value", name)
+    return one(before, "before").join(one(after, "after"), "metric").withColumn("lift", F.round(F.col("after") - F.col("before"), 6))
