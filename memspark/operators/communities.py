@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from memspark.operators import graph
 from memspark.operators.listing import keywords
+from memspark.operators.search import top
 from memspark.operators.stored import stored
 
 LEAST_GAIN, MOST_SWEEPS = 1e-12, 100
@@ -69,7 +70,9 @@ def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def theme_labels(members: DataFrame) -> DataFrame:
     """community, label: names in order joined by commas, up to LABEL_CHARACTERS on a name's end, with … where cut."""
-    names = members.groupBy("community").agg(F.array_sort(F.collect_list("name")).alias("_n"))
+    # a name and its comma have two characters at least, so no more names than this can show
+    first = top(members, ["community"], [F.col("name")], LABEL_CHARACTERS)
+    names = first.groupBy("community").agg(F.array_sort(F.collect_list("name")).alias("_n"))
     start = F.struct(F.lit("").alias("label"), F.lit(False).alias("cut"))
 
     def add(a, x):

@@ -40,12 +40,12 @@ def metrics(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return both.select("qid", *out)
 
 
-def macro(per_query: DataFrame) -> DataFrame:
-    """metric, value: averages over all queries, to six places; half a unit rounds up. Values count in whole millionths, so sums are exact."""
-    names = [c for c in per_query.columns if c != "qid"]
+def macro(per_query: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """metric, value (and the columns ``by``, such as a record type): averages over all queries, to six places; half a unit rounds up. Values count in whole millionths, so sums are exact."""
+    names = [c for c in per_query.columns if c != "qid" and c not in by]
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in names])).alias("p")
-    sums = per_query.select(pairs).groupBy("p.metric").agg(F.sum(F.round(F.col("p.x") * 1_000_000).cast("long")).alias("_s"), F.count("p.x").alias("_n"))
-    return sums.select("metric", (F.expr("(2 * _s + _n) DIV (2 * _n)") / 1_000_000).alias("value"))
+    sums = per_query.select(*by, pairs).groupBy(*by, "p.metric").agg(F.sum(F.round(F.col("p.x") * 1_000_000).cast("long")).alias("_s"), F.count("p.x").alias("_n"))
+    return sums.select(*by, "metric", (F.expr("(2 * _s + _n) DIV (2 * _n)") / 1_000_000).alias("value"))
 
 
 def confusion(pairs: DataFrame, by: list[str]) -> DataFrame:

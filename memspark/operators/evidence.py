@@ -76,11 +76,12 @@ def ignored(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, IGNORED_FOLDERS)))
 
 
-def recent_files(spark: SparkSession, folder: str, pattern: str = "*", most_bytes: int = 128 << 20) -> DataFrame:
-    """path, modified, size of the files under ``folder`` that match and aren't too large, contents unread, ignored folders left out."""
+def recent_files(spark: SparkSession, folder: str, pattern: str = "*", most_bytes: int = 128 << 20, k: int | None = None) -> DataFrame:
+    """path, modified, size of the files under ``folder`` that match and aren't too large, contents unread, ignored folders left out; the ``k`` newest, if given."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     rows = files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
-    return rows.where((F.col("size") <= most_bytes) & ~ignored(F.col("path")))
+    rows = rows.where((F.col("size") <= most_bytes) & ~ignored(F.col("path")))
+    return rows if k is None else rows.orderBy(F.col("modified").desc(), "path").limit(k)
 
 
 def supersede_decisions(decisions: DataFrame, new: DataFrame) -> DataFrame:

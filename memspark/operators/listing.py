@@ -17,8 +17,9 @@ def in_scope(scopes: DataFrame, records: DataFrame) -> DataFrame:
 
 def list_records(scopes: DataFrame, records: DataFrame, order: list[Column], k: int, wanted: Column | None = None) -> DataFrame:
     """The first ``k`` records of each scope, with their place."""
-    found = in_scope(scopes, records if wanted is None else records.where(wanted))
-    return top(found, ["query_scope"], order, k)
+    # no scope shows more than k records of any one scope, so a scope that all see, such as the root, is cut before the join
+    first = top(records if wanted is None else records.where(wanted), ["scope"], order, k, "_place").drop("_place")
+    return top(in_scope(scopes, first), ["query_scope"], order, k)
 
 
 def briefing(scopes: DataFrame, sections: dict[str, tuple[DataFrame, Column, list[Column], int]]) -> DataFrame:

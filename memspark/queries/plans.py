@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memspark.operators import communities, graph
 from memspark.plans import assist, mapping
+from memspark.queries import retrieval
 from memspark.tables import table
 
 C = F.col
@@ -35,18 +36,23 @@ def _nodes(spark, sf_dir):
     return mapping.entities(spark, sf_dir).withColumn("name", C("id"))
 
 
-@register("r8_hybrid_search")
+_NOTE = "no semantic result: keyword order"
+
+
+@register("r8_hybrid_search", f"SELECT qid, id, score, rank, CASE WHEN qid NOT IN (SELECT qid FROM ({retrieval.semantic_sql(30)})) THEN '{_NOTE}' END AS fallback FROM ({retrieval.fused_sql(30, 10, True)})")
 def r8(spark, sf_dir):
     return assist.find(_queries(spark, sf_dir), _records(spark, sf_dir))
 
 
-@register("r6_rerank")
+@register("r6_rerank", f"""WITH p AS ({retrieval.keyword_sql(30)}), {retrieval.BOOSTS_SQL}
+  SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(1 / (1 + exp(-boost)), 6) AS score FROM boosts) QUALIFY rank <= 10""")
 def r6(spark, sf_dir):
     q, r = _queries(spark, sf_dir), _records(spark, sf_dir)
     return assist.rerank(assist.find(q, r, "keyword", 30), q, r)
 
 
-@register("r9_ask")
+@register("r9_ask", f"""SELECT item_id AS qid, coalesce('Known:' || chr(10) || lines, 'Nothing is known about this.') AS answer FROM benchmark LEFT JOIN (
+  SELECT qid, string_agg('[' || rank || '] ' || split_part(text, chr(10), 1) || ' (' || id || ')', chr(10) ORDER BY rank) AS lines FROM ({retrieval.fused_sql(15, 5, True)}) JOIN documents ON doc_id = id GROUP BY qid) ON qid = item_id""")
 def r9(spark, sf_dir):
     return assist.ask(_queries(spark, sf_dir), _records(spark, sf_dir))[0]
 

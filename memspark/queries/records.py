@@ -277,11 +277,11 @@ def b5a(spark, sf_dir):
 
 
 @register("b7_conflict_hint", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) ** 2)))) AS u FROM embeddings),
-  p AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_dot_product(a.u, b.u), 6) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 50 = 0 AND b.vec_id < a.vec_id)
+  p AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_dot_product(a.u, b.u), 6) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 20 = 0 AND b.vec_id < a.vec_id)
   SELECT id, other AS supersedes, similarity FROM p WHERE similarity >= 0.2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) = 1""")
 def b7(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    new = v.where("vec_id % 50 = 0").select(C("vec_id").alias("id"), "label", C("embedding").alias("a"))
+    new = v.where("vec_id % 20 = 0").select(C("vec_id").alias("id"), "label", C("embedding").alias("a"))
     pairs = new.join(v.select(C("vec_id").alias("other"), "label", C("embedding").alias("b")), "label").where("other < id")
     pairs = pairs.withColumn("similarity", F.round(scoring.cosine(C("a"), C("b")), 6)).where("similarity >= 0.2")
     return top(pairs, ["id"], [C("similarity").desc(), C("other")], 1).select("id", C("other").alias("supersedes"), "similarity")

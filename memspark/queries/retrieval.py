@@ -9,7 +9,7 @@ from memspark.plans import mapping
 from memspark.tables import table
 
 C = F.col
-EVERY = 50  # the stated query set of vector searches: ids divisible by it
+EVERY = 20  # the stated query set of vector searches: ids divisible by it
 
 
 def _queries(spark, sf_dir):
@@ -38,11 +38,12 @@ def vectors_l2(spark, sf_dir):
 
 
 def hybrid(spark, sf_dir):
-    """The cosine and the distance search as two arms over the same vectors."""
-    q, v = _vectors(spark, sf_dir)
-    a = search.vector_search(q, v, 20).select("qid", F.lit("semantic").alias("arm"), "id", "rank", F.lit(0.0).alias("boost"))
-    b = search.vector_search(q.select("qid", F.slice("q", 1, 8).alias("q")), v.select("id", F.slice("v", 1, 8).alias("v")), 20).select("qid", F.lit("keyword").alias("arm"), "id", "rank", F.lit(0.004).alias("boost"))
-    return search.fuse(a.unionByName(b))
+    """Keywords and hashed vectors as two arms of the benchmark items over the documents."""
+    queries, records = _queries(spark, sf_dir), _records(spark, sf_dir)
+    asked = search.hash_embedding(queries.select(C("qid").alias("id"), C("query").alias("content"))).select(C("id").alias("qid"), C("v").alias("q"))
+    arm = lambda found, name: found.select("qid", F.lit(name).alias("arm"), "id", "rank", F.lit(0.0).alias("boost"))
+    near = search.vector_search(asked, search.hash_embedding(records), 20)
+    return search.fuse(arm(search.keyword_search(queries, records, 20), "keyword").unionByName(arm(near, "semantic")))
 
 
 def embed(spark, sf_dir):
@@ -88,9 +89,6 @@ SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC,
     "r2_vector_search": _cosine(64, 10),
     "r3_vector_search_l2": f"""SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
       SELECT q.vec_id AS qid, v.vec_id AS id, round(1 / (1 + list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % {EVERY} = 0) QUALIFY rank <= 10""",
-    "r4_hybrid_fusion": f"""WITH a AS (SELECT *, 1.0 AS w, 0.0 AS boost FROM ({_cosine(64, 20)}) UNION ALL SELECT *, 1.1, 0.004 FROM ({_cosine(8, 20)})),
-      f AS (SELECT qid, id, round(sum(w / (45 + rank) + boost) + 0.018 * (count(*) - 1), 6)::DOUBLE AS score, min(rank) - 1 AS best_rank FROM a GROUP BY qid, id)
-      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, best_rank, id) AS rank FROM f QUALIFY rank <= 10""",
     "r7_temporal_boost": f"""WITH {mapping.OBSERVATIONS_SQL}, u AS (SELECT user_id AS id, count(*) AS n, max(ts) AS t FROM events GROUP BY user_id),
       x AS (SELECT o.id, category, (epoch(TIMESTAMP '2024-06-01') - floor(epoch(valid_from))) / 3600.0 AS age, coalesce(n, 0) AS n, coalesce((epoch(TIMESTAMP '2024-06-01') - floor(epoch(t))) / 3600.0, 0) AS last FROM observations o LEFT JOIN u USING (id)),
       y AS (SELECT id, CASE WHEN age <= 0 THEN 1 ELSE exp(-((age / CASE category WHEN 'progress' THEN 168 WHEN 'learned' THEN 1440 ELSE 720 END) ** CASE category WHEN 'progress' THEN 1.2 WHEN 'learned' THEN 0.7 ELSE 1.0 END::DOUBLE)) END AS f,
@@ -101,3 +99,36 @@ SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC,
       c AS (SELECT id, CAST(('0x' || h[15:16])::INT % 64 AS INT) AS "at", sum(CASE WHEN ('0x' || h[17:18])::INT % 2 = 0 THEN n ELSE -n END) AS x FROM h GROUP BY ALL)
       SELECT id, "at", round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM c QUALIFY x <> 0""",
 }
+
+
+def keyword_sql(k: int) -> str:
+    return ORACLE_SQL["r1_keyword_search"].replace("QUALIFY rank <= 10", f"QUALIFY rank <= {k}")
+
+
+def semantic_sql(k: int) -> str:
+    """Hashed vectors of the benchmark items against those of the documents."""
+    cells = """SELECT id, CAST(('0x' || h[15:16])::INT % 64 AS INT) AS slot, sum(CASE WHEN ('0x' || h[17:18])::INT % 2 = 0 THEN n ELSE -n END) AS x
+      FROM (SELECT id, sha256(t) AS h, count(*) AS n FROM (SELECT {id} AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS t FROM {table}) GROUP BY id, t) GROUP BY ALL"""
+    unit = "SELECT id, slot, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM ({c}) QUALIFY x <> 0"
+    q, d = unit.format(c=cells.format(id="item_id", table="benchmark")), unit.format(c=cells.format(id="doc_id", table="documents"))
+    return f"""SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+      SELECT q.id AS qid, d.id AS id, round(sum(q.x * d.x), 6) AS score FROM ({q}) q JOIN ({d}) d USING (slot) GROUP BY 1, 2) WHERE score > 0 QUALIFY rank <= {k}"""
+
+
+_LOW = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The text boost of (qid, id) pairs ``p``, as the table ``boosts``.
+BOOSTS_SQL = f"""boosts AS (SELECT qid, id, CASE WHEN q = '' THEN 0 ELSE CASE WHEN t = q THEN 0.020 WHEN contains(t, q) THEN 0.012 ELSE 0 END + CASE WHEN contains(s, q) THEN 0.008 ELSE 0 END
+  + CASE WHEN len(w) > 0 THEN 0.006 * len(list_filter(w, lambda x: contains(t, x))) / len(w) + 0.004 * len(list_filter(w, lambda x: contains(s, x))) / len(w) ELSE 0 END END::DOUBLE AS boost
+  FROM (SELECT qid, id, {_LOW.format(x='trim(b.text)')} AS q, {_LOW.format(x="split_part(d.text, chr(10), 1)")} AS t, {_LOW.format(x='d.text')} AS s,
+    list_filter(regexp_split_to_array({_LOW.format(x='b.text')}, '[^a-z0-9]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT qid, id FROM p) JOIN benchmark b ON b.item_id = qid JOIN documents d ON d.doc_id = id))"""
+
+
+def fused_sql(pool: int, k: int, boosted: bool) -> str:
+    """Both arms of the benchmark items fused, with the text boost or without."""
+    boost = "(SELECT qid, id, boost FROM boosts)" if boosted else "(SELECT DISTINCT qid, id, 0.0 AS boost FROM p)"
+    return f"""WITH p AS (SELECT *, 1.10 AS w FROM ({keyword_sql(pool)}) UNION ALL SELECT *, 1.00 FROM ({semantic_sql(pool)})){', ' + BOOSTS_SQL if boosted else ''},
+      f AS (SELECT qid, id, round(sum(w::DOUBLE / (45 + rank) + boost) + 0.018 * (count(*) - 1), 6)::DOUBLE AS score, min(rank) - 1 AS best_rank FROM p JOIN {boost} USING (qid, id) GROUP BY qid, id)
+      SELECT qid, id, score, best_rank, row_number() OVER (PARTITION BY qid ORDER BY score DESC, best_rank, id) AS rank FROM f QUALIFY rank <= {k}"""
+
+
+ORACLE_SQL["r4_hybrid_fusion"] = fused_sql(20, 10, False)
