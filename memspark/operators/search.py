@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import scoring, text
+from memspark.functions.stem import stemmed
 from memspark.operators.stored import stored
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -27,20 +28,33 @@ def index_tokens(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def keyword_search(queries: DataFrame, records: DataFrame, k: int = 10, wanted: Column | None = None) -> DataFrame:
+def _stems(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """_token, _term: the stem of each distinct token (_term) of ``tokens`` that is a stem of ``wanted`` (_term) too."""
+    distinct = tokens.select(F.col("_term").alias("_token")).distinct()
+    return stored(distinct.withColumn("_term", stemmed("_token")).join(wanted.select("_term").distinct(), "_term", "left_semi"), "stems")
+
+
+def keyword_search(queries: DataFrame, records: DataFrame, k: int = 10, wanted: Column | None = None, stem: bool = False) -> DataFrame:
     """qid, id, score, rank: BM25 of ``records`` (id, content) for ``queries`` (qid, query).
 
     A query term with - or _ inside is a phrase: its parts must follow one another. A repeated term counts again.
     Statistics are those of all records; ``wanted`` (a condition on records) is applied to the matches only. Terms that
     half of the records hold get the least weight. Only postings of query terms are made; queries are the smaller side.
+    With ``stem``, terms meet by their folded stems, which are worked out once for each distinct term.
     """
     docs = records.withColumn("_tokens", index_tokens(F.coalesce("content", F.lit(""))))
     total = docs.agg(F.count("*").alias("_n"), F.avg(F.size("_tokens")).alias("_avg"))
     phrases = queries.select("qid", F.explode(text.search_terms(F.col("query"))).alias("_phrase")).groupBy("qid", "_phrase").agg(F.count("*").alias("_times"))
     phrases = phrases.withColumn("_parts", index_tokens(F.col("_phrase"))).where(F.size("_parts") > 0)
+    if stem:  # phrases with the same stems are one
+        parts = phrases.select("qid", "_phrase", "_times", F.posexplode("_parts").alias("_at", "_part")).withColumn("_part", stemmed("_part"))
+        parts = parts.groupBy("qid", "_phrase", "_times").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_part"))), lambda x: x["_part"]).alias("_parts"))
+        phrases = parts.groupBy("qid", F.array_join("_parts", " ").alias("_phrase"), "_parts").agg(F.sum("_times").alias("_times"))
     distinct = phrases.select("_phrase", "_parts").distinct()
     terms = distinct.select("_phrase", F.size("_parts").alias("_len"), F.posexplode("_parts").alias("_off", "_term"))
     places = docs.select("id", F.size("_tokens").alias("_dl"), F.posexplode("_tokens").alias("_pos", "_term"))
+    if stem:
+        places = places.withColumnRenamed("_term", "_token").join(_stems(places, terms), "_token").drop("_token")
     hits = places.join(terms, "_term")
     one = hits.where("_len = 1").groupBy("_phrase", "id", "_dl").agg(F.count("*").alias("_tf"))
     several = hits.where("_len > 1").groupBy("_phrase", "_len", "id", "_dl", (F.col("_pos") - F.col("_off")).alias("_at")).agg(F.countDistinct("_off").alias("_c"))

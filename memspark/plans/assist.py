@@ -6,35 +6,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark.functions import scoring
-from memspark.operators import search
+from memspark.operators import evidence, search
 from memspark.operators.stored import stored
 
 
-def find(queries: DataFrame, records: DataFrame, mode: str = "hybrid", k: int = 10, dim: int = 64) -> DataFrame:
+NO_SEMANTIC, NO_SCORER = "no semantic result: keyword order", "no reranker: fused order"
+
+
+def find(
+    queries: DataFrame, records: DataFrame, mode: str = "hybrid", k: int = 10, dim: int = 64, *, vectors: DataFrame | None = None, owned: DataFrame | None = None,
+    edges: DataFrame | None = None, temporal: DataFrame | None = None, scorer: Column | None = None, stem: bool = False,
+) -> DataFrame:
     """qid, id, score, rank, fallback of ``queries`` (qid, query) over ``records`` (id, title, content).
 
-    Modes: keyword, semantic (hashed vectors), hybrid (both fused). A query whose semantic arm finds nothing falls back
-    to keywords, and says so. Hybrid takes three times as many from each arm.
+    Modes: keyword, semantic (hashed vectors), hybrid (both fused), graph (a third arm: records of the entities near the
+    owners of the keyword hits, by ``owned`` (id, entity_id) and ``edges``), rerank (the fused pool in the order of ``scorer``).
+    A query whose semantic arm finds nothing falls back to keywords, and says so; so does rerank without a scorer. All but
+    keyword and semantic take three times as many from each arm, 100 at most. ``k`` is held from 1 to 100. ``temporal``
+    (id, boost) is added once to a fused score. Stored ``vectors`` (id, v) of the records save embedding them.
     """
-    pool = min(3 * k, 100) if mode == "hybrid" else k
+    k = min(max(k, 1), 100)
+    pool = k if mode in ("keyword", "semantic") else min(3 * k, 100)
     content = records.select("id", "content")
-    words = search.keyword_search(queries, content, pool)
+    words = search.keyword_search(queries, content, pool, stem=stem)
     if mode != "semantic":
         words = stored(words, "keyword_arm")
     if mode == "keyword":
         return words.withColumn("fallback", F.lit(None).cast("string"))
     asked = search.hash_embedding(queries.select(F.col("qid").alias("id"), F.col("query").alias("content")), dim).select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    near = stored(search.vector_search(asked, search.hash_embedding(content, dim), pool), "semantic_arm")
+    near = stored(search.vector_search(asked, search.hash_embedding(content, dim) if vectors is None else vectors, pool), "semantic_arm")
     found = near.select("qid").distinct().withColumn("_semantic", F.lit(True))
     if mode == "semantic":
-        rest = words.join(found, "qid", "left_anti").withColumn("fallback", F.lit("no semantic result: keyword order"))
+        rest = words.join(found, "qid", "left_anti").withColumn("fallback", F.lit(NO_SEMANTIC))
         return near.withColumn("fallback", F.lit(None).cast("string")).unionByName(rest)
     text = records.select("id", "title", "content")
     boosted = lambda arm, name: (
         arm.join(queries, "qid").join(text, "id").select("qid", F.lit(name).alias("arm"), "id", "rank", scoring.text_boost(F.col("query"), F.col("title"), F.col("content")).alias("boost"))
     )
-    fused = search.fuse(boosted(words, "keyword").unionByName(boosted(near, "semantic")), k)
-    return fused.join(found, "qid", "left").select("qid", "id", "score", "rank", F.when(F.col("_semantic").isNull(), "no semantic result: keyword order").alias("fallback"))
+    arms = boosted(words, "keyword").unionByName(boosted(near, "semantic"))
+    if mode == "graph":
+        arms = arms.unionByName(boosted(evidence.graph_arm(words.select("qid", "id", "rank"), owned, edges, pool), "graph"))
+    fused = search.fuse(arms, pool if mode == "rerank" or temporal is not None else k)
+    if temporal is not None:
+        later = fused.join(temporal.select("id", F.col("boost").alias("_boost")), "id", "left").withColumn("score", F.round(F.col("score") + F.coalesce("_boost", F.lit(0.0)), 6))
+        fused = search.top(later.drop("_boost", "rank"), ["qid"], [F.col("score").desc(), F.col("best_rank"), F.col("id")], pool)
+    if mode == "rerank" and scorer is not None:
+        fused = rerank(fused, queries, records, scorer, k)
+    note = F.when(F.col("_semantic").isNull(), NO_SEMANTIC)
+    note = note.otherwise(NO_SCORER) if mode == "rerank" and scorer is None else note
+    return fused.where(F.col("rank") <= k).join(found, "qid", "left").select("qid", "id", "score", "rank", note.alias("fallback"))
 
 
 def rerank(found: DataFrame, queries: DataFrame, records: DataFrame, scorer: Column | None = None, k: int = 10) -> DataFrame:

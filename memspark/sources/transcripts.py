@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.text import role
 
+# The keys of roles, texts and lists in transcripts.
 ROLE_KEYS, TEXT_KEYS = ("role", "author", "speaker", "type"), ("content", "text", "message", "body")
 LIST_KEYS = ("messages", "conversation", "items", "events", "history", "turns")
 
@@ -15,12 +16,29 @@ def _first(x: str, keys: tuple[str, ...]):
     return F.coalesce(*[F.get_json_object(x, f"$.{k}") for k in keys])
 
 
+def nested_text(x: Column) -> Column:
+    """The text of a message's content: a text as it is, of an object its text or content, of a list those of its items, a line each."""
+    of = lambda o: F.coalesce(F.get_json_object(o, "$.text"), F.get_json_object(o, "$.content"))
+    item = lambda o: F.when(F.startswith(F.ltrim(o), F.lit("{")), of(o)).otherwise(o)
+    items = F.filter(F.transform(F.from_json(x, "array<string>"), item), lambda t: t.isNotNull() & (F.trim(t) != ""))
+    listed = F.startswith(F.ltrim(x), F.lit("[")) & F.try_parse_json(x).isNotNull()
+    return F.when(listed, F.array_join(items, "\n")).when(F.startswith(F.ltrim(x), F.lit("{")) & F.try_parse_json(x).isNotNull(), of(x)).otherwise(x)
+
+
 def parse_jsonl(lines: DataFrame) -> DataFrame:
-    """source, idx, role, text of JSON lines (source, idx, value); lines that don't parse or hold no text drop out."""
+    """source, idx, role, text of JSON lines (source, idx, value); lines that don't parse or hold no text drop out.
+
+    Shapes: event messages (type event_msg with a payload), messages (message with role and content), and generic ones
+    with a role and a text under one of ROLE_KEYS and TEXT_KEYS.
+    """
     parsed = lines.where(F.try_parse_json("value").isNotNull())
-    message = F.coalesce(F.get_json_object("value", "$.message.content"), F.get_json_object("value", "$.payload.message"), _first("value", TEXT_KEYS))
-    who = F.coalesce(F.get_json_object("value", "$.message.role"), _first("value", ROLE_KEYS), F.lit("unknown"))
-    out = parsed.select("source", "idx", role(who).alias("role"), F.trim(message).alias("text"))
+    at = lambda path: F.get_json_object("value", f"$.{path}")
+    event = at("type") == "event_msg"
+    kind = F.when(event, at("payload.type"))
+    said = F.when(kind.isin("user_message", "agent_message"), at("payload.message")).when(kind == "task_complete", at("payload.last_agent_message"))
+    message = F.when(event, said).otherwise(F.coalesce(at("message.content"), at("payload.message"), _first("value", TEXT_KEYS)))
+    who = F.when(event, F.when(kind == "user_message", "user").otherwise("assistant")).otherwise(F.coalesce(at("message.role"), _first("value", ROLE_KEYS), F.lit("unknown")))
+    out = parsed.select("source", "idx", role(who).alias("role"), F.trim(nested_text(message)).alias("text"))
     return out.where(F.col("text") != "")
 
 
@@ -30,12 +48,22 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return parse_jsonl(lines)
 
 
-def parse_json(documents: DataFrame) -> DataFrame:
-    """source, idx, role, text of whole JSON documents (source, value): a list, or an object with a list under one of LIST_KEYS."""
-    items = "array<string>"
-    lists = F.coalesce(*[F.from_json(F.get_json_object("value", f"$.{k}"), items) for k in LIST_KEYS], F.from_json("value", items))
-    rows = documents.where(F.try_parse_json("value").isNotNull()).select("source", F.posexplode(lists).alias("idx", "value"))
-    return parse_jsonl(rows)
+def parse_json(documents: DataFrame, depth: int = 4) -> DataFrame:
+    """source, idx, role, text of whole JSON documents (source, value): events of a list, or of the list that an object has under one of LIST_KEYS.
+
+    Lists inside lists are followed ``depth`` deep; idx numbers the events of a source in their order.
+    """
+    lists = F.coalesce(*[F.from_json(F.get_json_object("value", f"$.{k}"), "array<string>") for k in LIST_KEYS], F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", "array<string>")))
+    rows, events = documents.where(F.try_parse_json("value").isNotNull()).select("source", F.array().cast("array<int>").alias("_path"), "value"), None
+    for level in range(depth):
+        listed = rows.withColumn("_list", lists)
+        single = listed.where("_list IS NULL").select("source", "_path", "value")
+        if level:
+            events = single if events is None else events.unionByName(single)
+        rows = listed.select("source", "_path", F.posexplode("_list").alias("_i", "value")).select("source", F.concat("_path", F.array("_i")).alias("_path"), "value")
+    events = events.unionByName(rows)
+    number = F.row_number().over(Window.partitionBy("source").orderBy("_path")) - 1
+    return parse_jsonl(events.select("source", number.alias("idx"), "value"))
 
 
 def parse_text(documents: DataFrame) -> DataFrame:

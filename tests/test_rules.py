@@ -153,3 +153,120 @@ def test_vectors_in_blocks_are_the_same(spark, monkeypatch):
     for name, value in (("BROADCAST_QUERIES", 5), ("BLOCK_QUERIES", 7), ("BLOCK_VECTORS", 25)):
         monkeypatch.setattr(search, name, value)
     assert sorted(map(tuple, search.vector_search(queries, rows, 4).collect())) == whole
+
+
+def test_stems():
+    from memspark.functions.stem import fold, stem
+
+    pairs = "caresses:caress ponies:poni cats:cat feed:feed agreed:agre plastered:plaster motoring:motor sing:sing hopping:hop falling:fall filing:file happy:happi sky:sky relational:relat conditional:condit"
+    pairs += " vietnamization:vietnam triplicate:triplic formative:form hopefulness:hope goodness:good revival:reviv adoption:adopt irritant:irrit probate:probat rate:rate controlling:control rolling:roll generalizations:gener"
+    assert {w: stem(w) for w in (p.split(":")[0] for p in pairs.split())} == dict(p.split(":") for p in pairs.split())
+    assert fold("crème") == "creme" and stem("ñandú") == "ñandú"
+
+
+def test_stemmed_search(spark):
+    docs = spark.createDataFrame([(1, "Running the crèmes"), (2, "he runs"), (3, "nothing"), *[(i, "other") for i in range(5, 12)]], "id int, content string")
+    queries = spark.createDataFrame([("q", "run"), ("c", "creme"), ("p", "running-cremes"), ("w", "he-running")], "qid string, query string")
+    got = {}
+    for r in search.keyword_search(queries, docs, stem=True).orderBy("rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    assert {k: sorted(v) for k, v in got.items()} == {"q": [1, 2], "c": [1], "w": [2]}
+    assert search.keyword_search(queries.where("qid = 'q'"), docs).count() == 0
+
+
+def test_modes(spark):
+    docs = spark.createDataFrame([(1, "cache", "cache tokens"), (2, "b", "plain words here"), (3, "c", "unlike all"), (4, "d", "cache elsewhere")], "id int, title string, content string")
+    queries = spark.createDataFrame([("q", "cache")], "qid string, query string")
+    owned = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "a")], "id int, entity_id string")
+    edges = spark.createDataFrame([("a", "b", 1.0)], "src string, dst string, weight double")
+    ids = lambda df: [r.id for r in df.orderBy("rank").collect()]
+    assert ids(assist.find(queries, docs, "keyword")) == [4, 1] or ids(assist.find(queries, docs, "keyword")) == [1, 4]
+    assert 2 not in ids(assist.find(queries, docs, "hybrid")) and 2 in ids(assist.find(queries, docs, "graph", owned=owned, edges=edges))
+    last = assist.find(queries, docs, "hybrid", temporal=spark.createDataFrame([(4, 5.0)], "id int, boost double"))
+    assert ids(last)[0] == 4
+    assert ids(assist.find(queries, docs, "rerank", scorer=F.col("id").cast("double")))[0] == 4
+    assert {r.fallback for r in assist.find(queries, docs, "rerank").collect()} == {"no reranker: fused order"}
+    vectors = search.hash_embedding(docs.select("id", "content"))
+    assert assist.find(queries, docs, vectors=vectors).collect() == assist.find(queries, docs).collect()
+    assert len(ids(assist.find(queries, docs, k=0))) == 1
+
+
+def test_transcript_shapes(spark):
+    lines = [
+        '{"type":"event_msg","payload":{"type":"user_message","message":"hi"}}', '{"type":"event_msg","payload":{"type":"agent_message","message":"yes"}}',
+        '{"type":"event_msg","payload":{"type":"task_complete","last_agent_message":"done"}}', '{"type":"event_msg","payload":{"type":"token_count","message":"no"}}',
+        '{"type":"user","message":{"role":"user","content":[{"type":"text","text":"one"},{"type":"image"},"two"]}}', '{"author":"AI","body":{"text":"deep"}}', "{broken",
+    ]
+    rows = spark.createDataFrame([("f", i, v) for i, v in enumerate(lines)], "source string, idx int, value string")
+    got = [(r.idx, r.role, r.text) for r in transcripts.parse_jsonl(rows).orderBy("idx").collect()]
+    assert got == [(0, "user", "hi"), (1, "assistant", "yes"), (2, "assistant", "done"), (4, "user", "one\ntwo"), (5, "assistant", "deep")]
+    nested = '{"history":[{"role":"user","text":"a"},{"items":[{"role":"ai","text":"b"},{"turns":[{"role":"user","text":"c"}]}]}]}'
+    got = transcripts.parse_json(spark.createDataFrame([("g", nested), ("h", "[1")], "source string, value string")).orderBy("idx").collect()
+    assert [(r.idx, r.role, r.text) for r in got] == [(0, "user", "a"), (1, "assistant", "b"), (2, "user", "c")]
+
+
+def test_paired_tests(spark):
+    rows = [("same", i, 0.5, 0.5) for i in range(12)] + [("better", i, 0.6 + i / 100, 0.2) for i in range(12)] + [("mixed", i, float(i % 2), float((i + 1) % 2)) for i in range(12)]
+    got = {r.name: r for r in evaluate.paired(spark.createDataFrame(rows, "name string, qid int, a double, b double"), 200, 999).collect()}
+    assert got["same"].p == 1.0 and got["same"].delta == 0.0 and got["mixed"].p > 0.5
+    # only the two sign patterns of all 4,096 reach the observed mean
+    assert got["better"].p <= 0.004 and got["better"].low > 0.35 and abs(got["better"].delta - 0.455) < 1e-9
+    modes = spark.createDataFrame([(m, i, x) for i in range(10) for m, x in (("hybrid", 0.9), ("keyword", 0.1 + i / 50), ("semantic", 0.9))], "mode string, qid int, x double")
+    found = {r["mode"]: r for r in evaluate.compare_modes(modes, resamples=100, permutations=499).collect()}
+    assert found["semantic"].p == 1.0 and found["keyword"].p_holm == pytest.approx(2 * found["keyword"].p)
+
+
+def test_embedding_worker_goes_on_after_a_restart(spark, tmp_path):
+    from memspark.operators.embed import embeddable
+    from memspark.streaming.workers import JOBS, embedding_worker
+
+    entities = spark.createDataFrame([("e", "name", "tool", "s")], "id string, name string, entity_type string, scope string")
+    observations = spark.createDataFrame([(1, "e", "body one", None), (2, "e", "body two", None)], "id int, entity_id string, content string, valid_to timestamp")
+    none = lambda schema: spark.createDataFrame([], schema)
+    records = lambda: embeddable(entities, observations, none("id string, title string, reasoning string, scope string"), none("key string, title string, content string, scope string"))
+    hashes = {r.record_id: r.h for r in records().select("record_id", F.sha2(F.trim("content"), 256).alias("h")).collect()}
+    for n, record in enumerate(("1", "2")):
+        spark.createDataFrame([(f"j{record}", "observation", record, "s", hashes[record], None), (f"x{record}", "observation", record, "s", "stale", None)], JOBS).write.mode("append").parquet(str(tmp_path / "jobs"))
+        embedding_worker(spark, str(tmp_path / "jobs"), records, str(tmp_path / "v"), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "v")).count() == n + 1
+    got = {r.id: (r.outcome, r.error) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    assert got == {"j1": ("embedded", None), "j2": ("embedded", None), "x1": ("skipped", "record content changed"), "x2": ("skipped", "record content changed")}
+
+
+def test_polls_find_what_changed(spark, tmp_path):
+    import os
+
+    from memspark.streaming.workers import poll
+
+    folder, seen = tmp_path / "files", str(tmp_path / "seen")
+    folder.mkdir()
+    names = lambda df: sorted(r.path.rsplit("/", 1)[1] for r in df.collect())
+    (folder / "a.txt").write_text("1")
+    assert names(poll(spark, str(folder), seen, 0)) == ["a.txt"] and names(poll(spark, str(folder), seen, 1)) == []
+    (folder / "b.txt").write_text("1")
+    os.utime(folder / "a.txt", (2_000_000_000, 2_000_000_000))
+    assert names(poll(spark, str(folder), seen, 2)) == ["a.txt", "b.txt"] == names(poll(spark, str(folder), seen, 2)) and names(poll(spark, str(folder), seen, 3)) == []
+
+
+def test_events_with_sessions_as_a_stream(spark, tmp_path):
+    from memspark.streaming.workers import ingest_with_sessions
+
+    schema = "project string, scope string, source_type string, source string, title string, text string, privacy_level string, captured_at timestamp"
+    row = ("p", "{}", "terminal", "s", "t", "password = x", "internal", None)
+    for scope in ("known", "new"):
+        spark.createDataFrame([(row[0], scope, *row[2:])], schema).write.mode("append").json(str(tmp_path / "in"))
+    sessions = spark.sql("SELECT 's1' AS id, 'p' AS project, 'known' AS scope, 'active' AS status, timestamp '2024-01-01' AS started_at")
+    ingest_with_sessions(spark.readStream.schema(schema).json(str(tmp_path / "in")), sessions, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = {r.scope: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got["known"].capture_session == "s1" and len(got["new"].capture_session) == 26 and got["new"].redacted
+
+
+def test_dataset_files(spark, tmp_path):
+    from memspark.sources.datasets import read_dataset
+
+    (tmp_path / "corpus_seed.jsonl").write_text('{"doc_id":"d1","record_type":"entity","payload":{"name":"x"}}\n{"doc_id":"d1"}\n')
+    (tmp_path / "queries.jsonl").write_text('{"_id":"q1","text":"what"}\n')
+    (tmp_path / "qrels.tsv").write_text("query-id\tcorpus-id\tscore\n# note\nq1\td1\t2\nq2\td9\t1\nq1\td1\tbad\n")
+    got = read_dataset(spark, str(tmp_path))
+    assert {tuple(r) for r in got["qrels"].collect()} == {("q1", "d1", 2), ("q2", "d9", 1)} and [r.value for r in got["wrong_lines"].collect()] == ["q1\td1\tbad"]
+    assert {tuple(r) for r in got["problems"].collect()} == {("duplicate document", "d1"), ("unknown query", "q2"), ("unknown document", "d9")}
