@@ -76,6 +76,34 @@ class Network(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(self.hidden(x) @ self.w2 + self.b2, -30, 30)))
 
 
+def risk(net: Network, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk by the logistic loss: of positives, and of negatives as unlabelled less positive texts."""
+    p, u = (np.clip(net.hidden(x) @ net.w2 + net.b2, -30, 30) for x in (positive, unlabelled))
+    loss = lambda z: np.logaddexp(0, z)
+    return float(prior * loss(-p).mean()), float(loss(u).mean() - prior * loss(p).mean())
+
+
+def gradients(net: Network, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> list[np.ndarray]:
+    """The step of the weights (w1, b1, w2, b2) on a batch: of the whole risk, or back from a negative part below 0.
+
+    Without a prior the unlabelled texts simply count as negatives.
+    """
+    n, m = len(positive), len(unlabelled)
+    x = np.concatenate([positive, unlabelled])
+    h = net.hidden(x)
+    s = 1 / (1 + np.exp(-np.clip(h @ net.w2 + net.b2, -30, 30)))
+    # gradients of the losses by the logit: (s - 1) for a positive, s for a negative
+    if prior is None:
+        g = np.concatenate([(s[:n] - 1) / n, s[n:] / m])
+    elif risk(net, positive, unlabelled, prior)[1] >= 0:
+        g = np.concatenate([(prior * (s[:n] - 1) - prior * s[:n]) / n, s[n:] / m])
+    else:
+        g = -np.concatenate([-prior * s[:n] / n, s[n:] / m])
+    back = g[:, None] * net.w2 * (1 - h * h)
+    z = np.clip((x - net.mean) / net.scale, -6, 6)
+    return [z.T @ back, back.sum(axis=0), h.T @ g, g.sum(keepdims=True)]
+
+
 def _trained(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Network:
     """Adam on the logistic loss; without a prior the unlabelled texts simply count as negatives."""
     rnd = np.random.default_rng(SEED)
@@ -84,21 +112,7 @@ def _trained(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None)
     slow, fast = [np.zeros_like(w) for w in net[2:]], [np.zeros_like(w) for w in net[2:]]
     for step in range(1, STEPS + 1):
         p, u = (x[rnd.integers(0, len(x), BATCH)] for x in (positive, unlabelled))
-        x = np.concatenate([p, u])
-        h = net.hidden(x)
-        s = 1 / (1 + np.exp(-np.clip(h @ net.w2 + net.b2, -30, 30)))
-        # gradients of the losses by the logit: (s - 1) for a positive, s for a negative
-        if prior is None:
-            g = np.concatenate([s[:BATCH] - 1, s[BATCH:]]) / BATCH
-        else:
-            negative = -np.log(np.maximum(1 - s, 1e-12))
-            if negative[BATCH:].mean() - prior * negative[:BATCH].mean() >= 0:
-                g = np.concatenate([prior * (s[:BATCH] - 1) - prior * s[:BATCH], s[BATCH:]]) / BATCH
-            else:
-                g = -np.concatenate([-prior * s[:BATCH], s[BATCH:]]) / BATCH
-        z = np.clip((x - net.mean) / net.scale, -6, 6)
-        back = g[:, None] * net.w2 * (1 - h * h)
-        grads = [z.T @ back, back.sum(axis=0), h.T @ g, g.sum(keepdims=True)]
+        grads = gradients(net, p, u, prior)
         rate = RATE * (1 - (step - 1) / STEPS)
         for w, d, a, b in zip(net[2:], grads, slow, fast, strict=True):
             d = d + 1e-4 * w

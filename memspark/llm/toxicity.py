@@ -171,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     parts = [sample(labels.where(F.col("_toxic") == y), most, key, 3 + y) for y in (0, 1)]  # at most 2 * most rows
     chosen = parts[0].unionByName(parts[1])
     rows = docs.select(key, docs[text].alias("_text")).join(F.broadcast(chosen), key)
-    rows = rows.dropDuplicates(["_toxic", "_text"])  # copies of a text would make its words look typical
+    # copies of a text would make its words look typical; the smallest id stands for them, so reruns agree
+    rows = rows.groupBy("_toxic", "_text").agg(F.min(key).alias(key))
     rows = stored(rows.withColumn("_part", F.pmod(F.xxhash64(key, F.lit(9)), F.lit(6))), "toxicity_sample")
     lexicon = learn_lexicon(rows.where("_part < 3"))
     known = stored(_measured(rows, ["_toxic", "_part"], "_text", lexicon), "toxicity_features")

@@ -442,3 +442,80 @@ def test_toxicity_calibrates_on_rows_that_the_trees_have_not_seen(labelled, monk
     counted(toxicity.IsotonicRegression, "fit", 1)
     assert toxicity.fit(labelled, labelled.select("doc_id", F.col("toxic").alias("_toxic")))
     assert len(rows) == 3 and sum(rows.values()) == labelled.select("toxic", "text").distinct().count()
+
+
+def test_risk_gradients_by_finite_differences():
+    from memspark.llm.quality_classifier import Network, gradients, risk
+
+    rnd = np.random.default_rng(4)
+    for prior, shift in ((0.5, 0.0), (0.95, 3.0)):
+        net = Network(np.zeros(5), np.ones(5), rnd.normal(size=(5, 3)), rnd.normal(size=3), rnd.normal(size=3), np.zeros(1))
+        p, u = rnd.normal(size=(30, 5)), rnd.normal(size=(40, 5))
+        if shift:  # positives score high and unlabelled texts low
+            net = net._replace(w1=np.abs(net.w1), w2=np.abs(net.w2) + 1)
+            p, u = p + shift, u - shift
+        below = risk(net, p, u, prior)[1] < 0
+        assert below == (shift > 0)
+        wanted = lambda: -risk(net, p, u, prior)[1] if below else sum(risk(net, p, u, prior))  # noqa: B023, E731
+        for w, g in zip(net[2:], gradients(net, p, u, prior), strict=True):
+            for at in np.ndindex(w.shape):
+                was = w[at]
+                w[at] = was + 1e-5
+                up = wanted()
+                w[at] = was - 1e-5
+                down = wanted()
+                w[at] = was
+                assert abs((up - down) / 2e-5 - g[at]) < 1e-6
+
+
+def test_toxicity_features_slowly():
+    from memspark.llm.toxicity import FEATURES, INSULTS, SECOND_PERSON, Lexicon, _hashes, features
+
+    letters = re.compile("[A-Za-z0-9\\x80-\U0010ffff@$*]+")
+    plain = str.maketrans("013457@$", "oieastas")
+    rnd = random.Random(3)
+    words_ = ["You", "1diot", "st*pid", "cat", "HOUSE", "frubel", "frubelish", "ti", "é", "2024", "dein", "x" * 30, "t@ble"]
+    texts = ["", "you idiot!", *[" ".join(rnd.choice(words_) + rnd.choice(("", "!", "?", ".", ",")) for _ in range(rnd.randint(1, 60))) for _ in range(60)]]
+    h = _hashes(["frubel"])
+    raw = [t.encode() for t in texts]
+    got = features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), Lexicon(h, np.array([2.5])))
+    assert got.shape == (len(texts), FEATURES)
+    for t, x in zip(texts, got, strict=True):
+        w = letters.findall(t)
+        low = ["".join(c.lower() if c.isascii() else c for c in v.translate(plain)) for v in w]
+        n, size = max(len(w), 1), max(len(t.encode()), 1)
+        lex, insult, person = [v == "frubel" for v in low], [v in INSULTS for v in low], [v in SECOND_PERSON for v in low]
+        near = [(a or b) and any(person[max(0, i - 5) : i + 6]) for i, (a, b) in enumerate(zip(lex, insult, strict=True))]
+        signs = [sum(c in "*@$0123456789" for c in v) for v in w]
+        mixed = sum(0 < k < len(v.encode()) for k, v in zip(signs, w, strict=True))
+        expected = [
+            sum(lex) / n, np.log1p(sum(lex)), 2.5 * sum(lex) / n, np.log1p(2.5 * sum(lex)), sum(insult) / n, np.log1p(sum(insult)), sum(near) / n, np.log1p(sum(near)), sum("A" <= c <= "Z" for c in t) / size,
+            t.count("!") / n, t.count("?") / n, sum(c in ".,;:!?\"'()-" for c in t) / n, mixed / n, sum(len(v.encode()) > 25 for v in w) / n,
+        ]
+        assert np.allclose(x, expected), (t, x, expected)
+
+
+def test_mean_copies_are_the_probabilities(spark):
+    data = [(1000 * s + i, "w " * (6 + i % 3), f"s{s:03}") for s in range(240) for i in range(18)]
+    got = mix_sources(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    for weight in range(3):  # sources of one weight have equal targets
+        rows = [r for r in got if int(r.source[1:]) % 3 == weight]
+        ratio = rows[0].target / rows[0].source_size
+        for i in range(18):
+            copies = [r.copies for r in rows if r.doc_id % 1000 == i]
+            share = ratio - int(ratio)
+            assert len(copies) == 80 and abs(sum(copies) / 80 - ratio) <= 4 * (share * (1 - share) / 80) ** 0.5 + 1 / 18
+
+
+@pytest.mark.parametrize("name", ["op7_quality_rules", "op8_exact_topk", "op9_line_dedup"])
+def test_same_rows_as_sql(spark, name):
+    import duckdb
+
+    from memspark.llm import catalog
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    expected = con.execute(catalog.ORACLE_SQL[name])
+    names = [d[0] for d in expected.description]
+    assert sorted(map(str, expected.fetchall())) == sorted(str(tuple(r)) for r in catalog.QUERIES[name](spark, folder).select(*names).collect())

@@ -50,8 +50,8 @@ def test_stages(spark, folder, tmp_path):
     assert all(d in accepted for d, q in quality.items() if q)
     seen, expected = set(), {}
     for d in sorted(accepted):
-        lines = [x for x in texts[d].split("\n") if len(x) < 24 or x not in seen]
-        seen |= {x for x in texts[d].split("\n") if len(x) >= 24}
+        lines = [x for x in texts[d].split("\n") if not x.strip() or x not in seen]
+        seen |= {x for x in texts[d].split("\n") if x.strip()}
         if len(lines) == len(texts[d].split("\n")) or "".join(lines).strip():
             expected[d] = "\n".join(lines)
     assert {r.doc_id: r.text for r in kept[1]} == expected and all(r.n_chars == len(r.text) for r in kept[1])
@@ -79,3 +79,42 @@ def test_near_copies_at_80_percent_go(spark, folder):
     assert 0.80 <= like(0, 1) < 0.85 and like(0, 2) < 0.80
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.near(spark, docs, folder[0]).collect()} == {0, 2}
+
+
+CLASHING = "_id string, _copies int, _gone string, _score string, n_lines string, n_removed int, _nth int, _lines int, source2 string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, folder):
+    """Rows of every kind beside the clean ones: nulls in all columns, empty and long texts, repeated rows, columns of inner names."""
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
+    more, good = ("i", 1, "g", "s", "n", 2, 3, 4, "t"), folder[1][0]
+    rows = [(1000, None, None, None, None), (1001, "", "en", "s1", 0), (1002, " \n\t", "en", "s1", 3), (1003, "word " * 40_000, "en", "s2", 200_000), (None, good, "en", "s0", None), (None, None, None, None, None)]
+    rows += [(1004, good + "\nanother tail line of this text", "en", "s1", len(good))] * 4
+    clean = spark.read.parquet(f"{folder[0]}/documents.parquet").collect()
+    return spark.createDataFrame([(*r, *more) for r in [*rows, *map(tuple, clean)]], schema)
+
+
+@pytest.mark.parametrize("n", range(4))
+def test_stages_take_odd_rows(spark, folder, odd, n):
+    stage = corpus_pipeline.STAGES[n][1]
+    out = stage(spark, odd, folder[0])
+    assert out.schema.simpleString() == odd.schema.simpleString()
+    got = out.collect()
+    assert got and all((r["_id"], r["_copies"], r["_gone"], r["_score"], r.n_lines, r.n_removed, r["_nth"], r["_lines"]) == ("i", 1, "g", "s", "n", 2, 3, 4) for r in got)
+    assert stage(spark, odd.where("false"), folder[0]).collect() == []
+
+
+def test_odd_rows_are_packed(spark, folder, odd):
+    got = corpus_pipeline.packing(spark, odd, folder[0]).where("piece = 0")
+    assert got.count() == odd.count()
+
+
+def test_rows_of_one_id_share_their_copies(spark, folder):
+    text = " ".join(f"w{i}" for i in range(50))
+    data = [(1, text, "en", "a", 1)] * 4 + [(i, text, "en", "a", 1) for i in range(2, 12)] + [(i, text, "en", "b", 1) for i in range(20, 60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    from memspark.llm.mixing import mix_sources
+
+    wanted = {r.doc_id: r.n for r in mix_sources(docs).groupBy("doc_id").agg({"copies": "sum"}).toDF("doc_id", "n").collect() if r.n}
+    assert {r.doc_id: r["count"] for r in corpus_pipeline.mix(spark, docs, folder[0]).groupBy("doc_id").count().collect()} == wanted
