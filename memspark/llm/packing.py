@@ -31,7 +31,7 @@ from memspark.llm.textbatch import Words, distinct, joined, slices
 #: Most remembered odd words of a worker (beyond it the table starts anew; results don't change), and their longest, in bytes.
 MOST_WORDS, REMEMBERED = 300_000, 64
 #: Bytes of texts that are worked on together.
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: Pieces of a length that are numbered together, at least; it grows with the square root of all pieces.
 SALT_ROWS = 200
 

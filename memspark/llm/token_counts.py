@@ -25,9 +25,9 @@ from memspark.llm.bpe import byte_letters
 from memspark.llm.textbatch import byte_table, distinct, slices
 
 #: Bytes of a chunk of a pre-token, and of texts that are worked on together.
-CHUNK, SLICE = 1 << 12, 1 << 22
+CHUNK, SLICE = 1 << 12, 1 << 21
 #: Most states and most remembered units of a worker (beyond them the tables start anew; results don't change), and the longest unit, in bytes.
-MOST_STATES, MOST_UNITS, REMEMBERED = 250_000, 600_000, 64
+MOST_STATES, MOST_UNITS, REMEMBERED = 250_000, 500_000, 64
 # Fixed value: the published pre-token pattern of this kind of vocabulary.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _NOWHERE = (b"", 0)
