@@ -111,13 +111,20 @@ class Transducer:
             )
         return found
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
+    def ending(self, state: int, byte: int) -> tuple[bytes, int]:
+        """(last token, change of the count) after ``byte``."""
         suffix, last, count = self.keys[state]
         longer = suffix + bytes((byte,))
         for k in range(len(longer)):
-            if longer[k:] in self.tokens and self.may_follow(last[k], longer[k:]):
-                token, change = longer[k:], count[k] + 1
-                break
+            token = longer[k:]
+            if token in self.tokens and self.may_follow(last[k], token):
+                return token, count[k] + 1
+        raise ValueError("the vocabulary lacks a byte")
+
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        token, change = self.ending(state, byte)
+        suffix, last, count = self.keys[state]
+        longer = suffix + bytes((byte,))
         # a place counts on only where an entry may begin that goes on beyond the end
         places = [*((last[k], count[k] - change) if longer[k:] in self.prefixes else _NOWHERE for k in range(len(longer))), (token, 0)]
         drop = 0
@@ -136,7 +143,10 @@ class Transducer:
         return state, total
 
     def count(self, piece: bytes) -> int:
-        n = self.run(0, piece)[1]
+        """The tokens of a piece; the state after its last byte isn't needed, and isn't built."""
+        state, n = self.run(0, piece[:-1])
+        known = self.steps[state].get(piece[-1])
+        n += known[1] if known else self.ending(state, piece[-1])[1]
         self.tidy()
         return n
 
