@@ -117,6 +117,21 @@ def report(degrees: DataFrame, counts: DataFrame, top: int = 10) -> DataFrame:
     return out.unionByName(line(lost, "orphans", F.col("id"))).unionByName(line(ask, "questions", F.format_string("What depends on %s?", "id")))
 
 
+def supersession_report(scores: DataFrame) -> DataFrame:
+    """category, items, passed, stale_leaks, abstain_right, false_supersessions of ``scores`` (category, new_found, stale_gone, expect_abstain, answered).
+
+    An item that should abstain passes if nothing was answered, any other if the new is found and the stale gone. A false
+    supersession is an item of a category where nothing should be superseded (distractor or false) that lost what it needs.
+    """
+    right = F.when(F.col("expect_abstain"), ~F.col("answered")).otherwise(F.col("new_found") & F.col("stale_gone"))
+    guard = F.col("category").rlike("^(distractor|false)")
+    n = lambda c: F.sum(c.cast("long"))
+    return scores.groupBy("category").agg(
+        F.count("*").alias("items"), n(right).alias("passed"), n(~F.col("stale_gone") & ~F.col("expect_abstain")).alias("stale_leaks"),
+        n(F.col("expect_abstain") & ~F.col("answered")).alias("abstain_right"), n(guard & ~F.col("new_found")).alias("false_supersessions"),
+    )
+
+
 def supersession_scores(items: DataFrame, found: DataFrame) -> DataFrame:
     """item, new_found, stale_gone, passed of ``items`` (item, required, forbidden: arrays of words) and what was ``found`` (item, content)."""
     text = found.groupBy("item").agg(F.lower(F.array_join(F.collect_list("content"), "\n")).alias("_t"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark.functions import scoring
 from memspark.operators import evidence, search
+from memspark.operators.changes import first_of
 from memspark.operators.stored import stored
 
 
@@ -107,6 +110,42 @@ def export_bundle(tables: dict[str, tuple[DataFrame, list[str]]], path: str) ->
         rows.orderBy(*order).write.mode("overwrite").json(f"{path}/{name}")
 
 
+class Merge(NamedTuple):
+    """How a table of a bundle comes in: its key, what becomes of known keys (keep, replace, or newer by ``order``), and the parents that a row needs (column, table)."""
+
+    key: str
+    policy: str
+    order: str | None = None
+    parents: tuple[tuple[str, str], ...] = ()
+
+
+def merge_bundle(base: dict[str, DataFrame], incoming: dict[str, DataFrame], rules: dict[str, Merge]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables with a bundle's rows merged in; report: table, outcome, n), in the order of ``rules``: parents stand before children.
+
+    Outcomes: inserted, replaced, kept (what stood there stays) and orphan (a parent is neither there nor in the bundle).
+    A row without parent id needs none. Of several incoming rows of a key the last by ``order`` counts, or by its values.
+    """
+    merged, report = dict(base), None
+    for name, rule in rules.items():
+        old = base[name]
+        order = [F.col(rule.order).desc_nulls_last()] if rule.order else []
+        new = first_of(incoming[name].select(*old.columns), [rule.key], [*order, *[F.col(c).desc_nulls_last() for c in sorted(old.columns)]])
+        marked = new.withColumn("_orphan", F.lit(False))
+        for column, parent in rule.parents:
+            ids = merged[parent].select(F.col(rules[parent].key).alias("_parent"), F.lit(True).alias("_there")).distinct()
+            marked = marked.join(ids, F.col(column) == F.col("_parent"), "left").withColumn("_orphan", F.col("_orphan") | (F.col(column).isNotNull() & F.col("_there").isNull())).drop("_parent", "_there")
+        was = old.select(F.col(rule.key).alias("_key"), F.col(rule.order or rule.key).alias("_was"))
+        marked = marked.join(was, F.col(rule.key) == F.col("_key"), "left")
+        wins = {"keep": F.lit(False), "replace": F.lit(True), "newer": F.col(rule.order) > F.col("_was") if rule.order else F.lit(False)}[rule.policy]
+        outcome = F.when(F.col("_orphan"), "orphan").when(F.col("_key").isNull(), "inserted").when(F.coalesce(wins, F.lit(False)), "replaced").otherwise("kept")
+        marked = stored(marked.withColumn("_outcome", outcome), "merged")
+        comes = marked.where("_outcome IN ('inserted', 'replaced')").select(*old.columns)
+        merged[name] = old.join(comes.select(rule.key), rule.key, "left_anti").select(*old.columns).unionByName(comes)
+        one = marked.groupBy(F.col("_outcome").alias("outcome")).agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "outcome", "n")
+        report = one if report is None else report.unionByName(one)
+    return merged, report
+
+
 def import_children(rows: DataFrame, parents: DataFrame, foreign: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose ``foreign`` key is among ``parents`` (id), the orphans)."""
     ids = parents.select(F.col("id").alias(foreign)).distinct()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memspark.functions import enums
-from memspark.operators import capture, commands, detail, embed, evaluate, search
+from memspark.operators import capture, commands, detail, embed, evaluate, evidence, listing, search
+from memspark.plans import assist
 from memspark.sources import datasets
 from memspark.streaming.workers import changed_files, tail
 from memspark.tables import table
@@ -448,3 +449,71 @@ def e11(spark, sf_dir):
     judged = d.join(table(spark, sf_dir, "labels"), "doc_id").where("quality = 1").select(C("doc_id").cast("string").alias("id")).unionByName(summary.select("id")).withColumn("grade", F.lit(1))
     hits = before.select("qid", "id").unionByName(after.select("qid", "id")).distinct()
     return evaluate.lift(before, after, hits.join(judged, "id"))
+
+
+# bundles, counts, briefings
+
+
+@register("s10_merged_report", """WITH i AS (SELECT n_nationkey AS id, n_nationkey % 7 AS parent, n_nationkey % 3 AS v FROM nation), c AS (SELECT c_custkey AS id, c_nationkey AS parent, c_custkey % 3 AS v FROM customer WHERE c_custkey % 2 = 0),
+  r AS (SELECT 'regions' AS t, CASE WHEN x >= 5 THEN 'inserted' ELSE 'kept' END AS o FROM (SELECT DISTINCT n_nationkey % 7 AS x FROM nation)
+  UNION ALL SELECT 'nations', CASE WHEN id < 20 THEN CASE WHEN v > 1 THEN 'replaced' ELSE 'kept' END ELSE 'inserted' END FROM i
+  UNION ALL SELECT 'customers', CASE WHEN parent % 5 = 4 THEN 'orphan' WHEN id % 4 = 0 THEN 'replaced' ELSE 'inserted' END FROM (SELECT id, CASE WHEN parent % 5 = 4 THEN 9004 ELSE parent END AS parent FROM c))
+  SELECT t AS "table", o AS outcome, count(*) AS n FROM r GROUP BY ALL""")
+def s10m(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    regions, nations = t("nation").select((C("n_nationkey") % 7).alias("id")).distinct(), t("nation").select(C("n_nationkey").alias("id"), (C("n_nationkey") % 7).alias("parent"), (C("n_nationkey") % 3).alias("at"))
+    customers = t("customer").where("c_custkey % 2 = 0").select(C("c_custkey").alias("id"), F.when(C("c_nationkey") % 5 == 4, 9004).otherwise(C("c_nationkey")).alias("parent"))
+    base = {"regions": regions.where("id < 5"), "nations": nations.where("id < 20").withColumn("at", F.lit(1)), "customers": customers.where("id % 4 = 0")}
+    rules = {"regions": assist.Merge("id", "keep"), "nations": assist.Merge("id", "newer", "at", (("parent", "regions"),)), "customers": assist.Merge("id", "replace", None, (("parent", "nations"),))}
+    return assist.merge_bundle(base, {"regions": regions, "nations": nations, "customers": customers}, rules)[1]
+
+
+def _sectioned(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    region = lambda key: F.concat(F.lit("r/"), (C(key) % 5).cast("string"))
+    rows = lambda df, scope, id_, line, at: df.select(scope.alias("scope"), C(id_).alias("id"), line.alias("line"), C(at).alias("at"))
+    return {
+        "decisions": (rows(t("orders").where("o_orderstatus = 'F'"), region("o_custkey"), "o_orderkey", C("o_orderpriority"), "o_orderdate"), 10),
+        "state": (rows(t("orders").where("o_orderstatus = 'O'"), region("o_custkey"), "o_orderkey", C("o_orderpriority"), "o_orderdate"), 10),
+        "sessions": (rows(t("orders").where("o_orderstatus = 'P'"), F.lit(""), "o_orderkey", C("o_orderpriority"), "o_orderdate"), 5),
+        "observations": (rows(t("events").where("event_type <> 'error'"), region("user_id"), "event_id", C("event_type"), "ts"), 15),
+        "events": (rows(t("events"), region("user_id"), "event_id", C("event_type"), "ts"), 5),
+    }
+
+
+_SECTIONED = """z AS (SELECT 'decisions' AS section, 10 AS k, 'r/' || (o_custkey % 5) AS scope, o_orderkey AS id, o_orderpriority AS line, o_orderdate AS ts FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'state', 10, 'r/' || (o_custkey % 5), o_orderkey, o_orderpriority, o_orderdate FROM orders WHERE o_orderstatus = 'O'
+  UNION ALL SELECT 'sessions', 5, '', o_orderkey, o_orderpriority, o_orderdate FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'observations', 15, 'r/' || (user_id % 5), event_id, event_type, ts FROM events WHERE event_type <> 'error'
+  UNION ALL SELECT 'events', 5, 'r/' || (user_id % 5), event_id, event_type, ts FROM events), q AS (SELECT 'r/' || r_regionkey AS query_scope FROM region)"""
+
+
+@register("a1_all_scoped_counts", f"""WITH {_SECTIONED} SELECT query_scope, count(*) FILTER (section = 'decisions') AS decisions, count(*) FILTER (section = 'state') AS state, count(*) FILTER (section = 'sessions') AS sessions, count(*) FILTER (section = 'observations') AS observations, count(*) FILTER (section = 'events') AS events FROM q LEFT JOIN z ON scope IN ('', query_scope) GROUP BY 1""")
+def a1_all(spark, sf_dir):
+    scopes = table(spark, sf_dir, "region").select(F.concat(F.lit("r/"), C("r_regionkey").cast("string")).alias("query_scope"))
+    return listing.counts(scopes, {name: rows for name, (rows, _) in _sectioned(spark, sf_dir).items()})
+
+
+@register("r10_full_briefing", f"""WITH {_SECTIONED}, r AS (SELECT query_scope, section, k, id, line, row_number() OVER (PARTITION BY query_scope, section ORDER BY ts DESC, id) AS n FROM q JOIN z ON scope IN ('', query_scope))
+  SELECT query_scope, section, string_agg('- ' || id || ' ' || line, chr(10) ORDER BY n) AS lines FROM r WHERE n <= k GROUP BY 1, 2""")
+def r10_full(spark, sf_dir):
+    scopes = table(spark, sf_dir, "region").select(F.concat(F.lit("r/"), C("r_regionkey").cast("string")).alias("query_scope"))
+    line = F.format_string("- %d %s", C("id"), C("line"))
+    return listing.briefing(scopes, {name: (rows, line, [C("at").desc(), C("id")], k) for name, (rows, k) in _sectioned(spark, sf_dir).items()})
+
+
+_CATEGORIES = ["knowledge_update", "decision_reversal", "retraction", "distractor_noise", "false_positive"]
+
+
+@register("e9_supersession_report", f"""WITH s AS (SELECT {_sql_pick(_CATEGORIES, 'doc_id')} AS category, contains(lower(text), 'the') AS f, NOT contains(lower(text), 'was') AS g, doc_id % 5 = 2 AS x, n_chars > 500 AS a FROM documents)
+  SELECT category, count(*) AS items, count(*) FILTER (CASE WHEN x THEN NOT a ELSE f AND g END) AS passed, count(*) FILTER (NOT g AND NOT x) AS stale_leaks, count(*) FILTER (x AND NOT a) AS abstain_right, count(*) FILTER (category IN ('distractor_noise', 'false_positive') AND NOT f) AS false_supersessions FROM s GROUP BY 1""")
+def e9r(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    items = docs.select(C("doc_id").alias("item"), F.array(F.lit("The")).alias("required"), F.array(F.lit("was")).alias("forbidden"))
+    scores = evidence.supersession_scores(items, docs.select(C("doc_id").alias("item"), C("text").alias("content")))
+    known = docs.select(C("doc_id").alias("item"), _pick(_CATEGORIES, C("doc_id")).alias("category"), (C("doc_id") % 5 == 2).alias("expect_abstain"), (C("n_chars") > 500).alias("answered"))
+    return evidence.supersession_report(scores.join(known, "item"))
+
+
+@register("r1_stemmed_search")
+def r1s(spark, sf_dir):
+    queries = table(spark, sf_dir, "benchmark").select(C("item_id").alias("qid"), C("text").alias("query"))
+    return search.keyword_search(queries, table(spark, sf_dir, "documents").select(C("doc_id").alias("id"), C("text").alias("content")), stem=True)
