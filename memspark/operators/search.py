@@ -12,6 +12,8 @@ from memspark.operators.stored import stored
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Queries that are broadcast at most; beyond, queries of a chunk and vectors of a shard.
 BROADCAST_QUERIES, BLOCK_QUERIES, BLOCK_VECTORS = 2_000, 1_000, 20_000
+#: Rows of a table of query terms that is broadcast, at most.
+BROADCAST_ROWS = 400_000
 # Weights of the arms, the rank constant and the bonus for each further arm.
 ARM_WEIGHTS = {"keyword": 1.10, "semantic": 1.00, "graph": 0.90}
 RANK_CONSTANT, ARM_BONUS = 45, 0.018
@@ -28,6 +30,11 @@ def index_tokens(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of narrow rows, to be broadcast if it has few of them."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _stems(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
     """_token, _term: the stem of each distinct token (_term) of ``tokens`` that is a stem of ``wanted`` (_term) too."""
     distinct = tokens.select(F.col("_term").alias("_token")).distinct()
@@ -50,8 +57,10 @@ def keyword_search(queries: DataFrame, records: DataFrame, k: int = 10, wanted:
         parts = phrases.select("qid", "_phrase", "_times", F.posexplode("_parts").alias("_at", "_part")).withColumn("_part", stemmed("_part"))
         parts = parts.groupBy("qid", "_phrase", "_times").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_part"))), lambda x: x["_part"]).alias("_parts"))
         phrases = parts.groupBy("qid", F.array_join("_parts", " ").alias("_phrase"), "_parts").agg(F.sum("_times").alias("_times"))
+    phrases = stored(phrases, "phrases")
     distinct = phrases.select("_phrase", "_parts").distinct()
     terms = distinct.select("_phrase", F.size("_parts").alias("_len"), F.posexplode("_parts").alias("_off", "_term"))
+    terms = _small(stored(terms, "terms"))
     places = docs.select("id", F.size("_tokens").alias("_dl"), F.posexplode("_tokens").alias("_pos", "_term"))
     if stem:
         places = places.withColumnRenamed("_term", "_token").join(_stems(places, terms), "_token").drop("_token")
@@ -63,7 +72,8 @@ def keyword_search(queries: DataFrame, records: DataFrame, k: int = 10, wanted:
     frequency = postings.groupBy("_phrase").agg(F.count("*").alias("_df"))
     idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(LEAST_IDF))
     weights = frequency.crossJoin(F.broadcast(total)).select("_phrase", idf.alias("_idf"), "_avg")  # one row of totals
-    scored = phrases.join(weights, "_phrase").join(postings, "_phrase")
+    asked = _small(stored(phrases.join(weights, "_phrase"), "asked"))
+    scored = asked.join(postings, "_phrase")
     part = F.col("_times") * F.col("_idf") * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
     scored = scored.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
     if wanted is not None:
@@ -114,20 +124,20 @@ def fuse(arms: DataFrame, k: int = 10) -> DataFrame:
 def hash_embedding(records: DataFrame, dim: int = 64) -> DataFrame:
     """id, v: hashed-token vectors of ``records`` (id, content), of length 1.
 
-    A token's SHA-256 gives its place (the first eight bytes modulo ``dim``) and its sign (the ninth byte's parity). Every
-    row is worked out by itself: there is no shuffle.
+    A token's SHA-256 gives its place (the first eight bytes modulo ``dim``) and its sign (the ninth byte's parity).
+    Records of one id count as one text.
     """
-    number = lambda h, at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")
-
-    def code(h: Column) -> Column:
-        """Twice the place, and one more for a negative sign."""
-        place = (number(h, 1, 8) % dim * (2**32 % dim) + number(h, 9, 8)) % dim
-        return (2 * place + number(h, 17, 2) % 2).cast("int")
-
-    codes = F.transform(text.ascii_tokens(F.coalesce("content", F.lit(""))), lambda t: scoring.bound(F.sha2(t, 256), code))
-    count = lambda c, x: F.size(F.filter(c, lambda y: y == x))
-    dense = scoring.bound(codes, lambda c: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (count(c, 2 * i) - count(c, 2 * i + 1)).cast("double")))
-    return records.select("id", scoring.normalised(dense).alias("v"))
+    h = F.sha2("_t", 256)
+    number = lambda at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")
+    place = ((number(1, 8) % dim * (2**32 % dim) + number(9, 8)) % dim).cast("int")
+    sign = F.when(number(17, 2) % 2 == 0, 1).otherwise(-1)
+    tokens = records.select("id", F.explode_outer(text.ascii_tokens(F.coalesce("content", F.lit("")))).alias("_t"))
+    # a record's tokens are added up where they are; at most ``dim`` numbers of it are shuffled
+    cells = tokens.select("id", place.alias("_at"), sign.alias("_s")).groupBy("id", "_at").agg(F.sum("_s").cast("double").alias("_x"))
+    entries = F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_x")))
+    sparse = cells.groupBy("id").agg(F.map_from_entries(entries).alias("_m"))
+    dense = scoring.bound(F.col("_m"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0))))
+    return sparse.select("id", scoring.normalised(dense).alias("v"))
 
 
 def temporal_boost(records: DataFrame, uses: DataFrame, as_of, weight: float = 1.0) -> DataFrame:
