@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from memspark.llm.textbatch import strings
+from memspark.llm.textbatch import strings, tidy
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|math|object|xmp)\b[^>]*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
@@ -255,4 +255,4 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], names=[*keep, "text", "n_chars"])
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return pages.select(*keep, pages[html].alias("_html")).mapInArrow(run, f"{schema}, text string, n_chars long")
+    return pages.select(*keep, pages[html].alias("_html")).mapInArrow(tidy(run), f"{schema}, text string, n_chars long")

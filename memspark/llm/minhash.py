@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm.store import stored
-from memspark.llm.textbatch import Words, constants, shingles, slices
+from memspark.llm.textbatch import Words, constants, shingles, slices, small_batches, tidy
 
 SHINGLE = 5
 #: Bands of ROWS signature values: a pair at similarity 0.85 shares no band with a probability of 4e-7.
@@ -79,7 +79,7 @@ def shingle_sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
                 )
 
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, signature binary")
+    return rows.mapInArrow(tidy(run), "id long, n_shingles long, f1 long, f2 long, signature binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
                 take = pa.array(np.repeat(np.arange(len(raw)), BANDS))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(take), part.column(1).take(take)], names=["bucket", "id", "n"])
 
-    return classes.select("id", "n", "signature").mapInArrow(run, "bucket long, id long, n long")
+    return classes.select("id", "n", "signature").mapInArrow(tidy(run), "bucket long, id long, n long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -132,7 +132,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, key: str, percent:
                 if keep.any():
                     yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in part.columns[:2]], names=["a", "b"])
 
-    return stored(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    with small_batches(docs.sparkSession):
+        return stored(both.mapInArrow(tidy(run), "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,7 +209,7 @@ def full_sets(docs: DataFrame, text: str, key: str) -> DataFrame:
                 raw = values.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[8 * x : 8 * y] for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=["id", "shingles"])
 
-    return docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(run, "id long, shingles binary")
+    return docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(tidy(run), "id long, shingles binary")
 
 
 def _second_links(rows: DataFrame, labels: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
@@ -245,7 +246,8 @@ def _second_links(rows: DataFrame, labels: DataFrame, docs: DataFrame, text: str
     members = stored(members.select("bucket", "_cell", "id", "component", F.explode(places).alias("p")).select("bucket", "_cell", "p.*", "id", "component"), "places")
     wanted = stored(members.select("id").distinct(), "wanted")
     some = docs.join(_small(wanted.withColumnRenamed("id", "_mh_id")), docs[key].cast("long") == F.col("_mh_id"), "left_semi")
-    sets = stored(full_sets(some, text, key).dropDuplicates(["id"]), "full_sets")
+    with small_batches(docs.sparkSession):
+        sets = stored(full_sets(some, text, key).dropDuplicates(["id"]), "full_sets")
 
     def compare(table):
         batch = table.combine_chunks().to_batches()[0]
@@ -273,7 +275,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     document to the links; a row without id has none, and is kept. An empty table gives none. Ids are integers. Sets of
     equal size and equal 128-bit fingerprint count as equal; all other links are confirmed shingle by shingle, by 64-bit hashes.
     """
-    sets = stored(shingle_sets(docs, text, key), "sets")
+    with small_batches(docs.sparkSession):
+        sets = stored(shingle_sets(docs, text, key), "sets")
     narrow = sets.select("id", "n_shingles", "f1", "f2")
     classes = sets.where("n_shingles > 0 AND id IS NOT NULL").groupBy("f1", "f2", F.col("n_shingles").alias("n"))
     classes = stored(classes.agg(F.min("id").alias("id"), F.first("signature").alias("signature")), "classes")

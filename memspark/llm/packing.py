@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from memspark.llm.bpe import WordMerges
 from memspark.llm.store import stored
-from memspark.llm.textbatch import Words, distinct, joined, slices
+from memspark.llm.textbatch import Words, distinct, joined, slices, small_batches, tidy
 
 #: Most remembered odd words of a worker (beyond it the table starts anew; results don't change), and their longest, in bytes.
 MOST_WORDS, REMEMBERED = 300_000, 64
@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, text: str
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias(key), docs[text].alias("_text"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Run(NamedTuple):
@@ -219,8 +219,9 @@ def pack(docs: DataFrame, path: str, capacity: int, end_id: int = 0, text: str =
     A null or empty text is one piece that holds the end id only. Repeated rows are packed each for itself; pieces that
     agree in all columns may swap places. An empty table gives no row. Other columns of ``docs`` don't pass.
     """
-    found = stored(pieces(docs, path, capacity, end_id, text, key), "pieces")
     spark = docs.sparkSession
+    with small_batches(spark):
+        found = stored(pieces(docs, path, capacity, end_id, text, key), "pieces")
     counts = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     together = max(SALT_ROWS, math.isqrt(sum(counts.values())))
     salts = spark.createDataFrame([(k, -(-n // together)) for k, n in counts.items()], "length long, _salts long")
@@ -253,4 +254,4 @@ def pack(docs: DataFrame, path: str, capacity: int, end_id: int = 0, text: str =
     numbered = salted.withColumn("_rank", F.row_number().over(inner) - 1).join(cells.drop("_n"), ["length", "_salt"])
     numbered = numbered.select(key, "piece", "start", "length", "ids_crc32", (F.col("_from") + F.col("_rank")).alias("_number"))
     kind = docs.schema[key].dataType.simpleString()
-    return numbered.mapInArrow(place, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(tidy(place), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

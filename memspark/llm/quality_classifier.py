@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm.samples import sample
-from memspark.llm.textbatch import Words, byte_table, slices, text_sums
+from memspark.llm.textbatch import Words, byte_table, slices, text_sums, tidy
 
 #: Most positives, and most unlabelled texts, that the model is trained on.
 SAMPLE = 12_000
@@ -141,7 +141,7 @@ def _measured(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(list(x), pa.list_(pa.float64()))], names=[*extra, "x"])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in extra)
-    return docs.select(*extra, "_text").mapInArrow(run, f"{schema}x array<double>")
+    return docs.select(*extra, "_text").mapInArrow(tidy(run), f"{schema}x array<double>")
 
 
 class Classifier(NamedTuple):
@@ -184,4 +184,4 @@ def score(docs: DataFrame, model: Classifier | None, text: str = "text", name: s
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*kept, name])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*kept).mapInArrow(run, f"{schema}, `{name}` double")
+    return docs.select(*kept).mapInArrow(tidy(run), f"{schema}, `{name}` double")

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from memspark.llm.bpe import byte_letters
-from memspark.llm.textbatch import byte_table, distinct, slices
+from memspark.llm.textbatch import byte_table, distinct, slices, tidy
 
 #: Bytes of a chunk of a pre-token, and of texts that are worked on together.
 CHUNK, SLICE = 1 << 12, 1 << 21
@@ -290,4 +290,4 @@ def token_counts(docs: DataFrame, path: str, limit: int, text: str = "text", key
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias(key), docs[text].alias("_text"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(run), f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from memspark.llm.samples import sample
 from memspark.llm.store import stored
-from memspark.llm.textbatch import Words, byte_table, slices, text_sums
+from memspark.llm.textbatch import Words, byte_table, slices, text_sums, tidy
 
 #: Most rows of each label that are learned from; words of the lexicon; texts that must have a word.
 SAMPLE, LEXICON, LEAST_TEXTS = 4_000, 600, 3
@@ -130,7 +130,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     toxic, other = (total[0] or 0), total[1] - (total[0] or 0)
     if not toxic or not other:
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0))
-    seen = rows.select("_text", "_toxic").mapInArrow(run, "h long, toxic long").groupBy("h").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    seen = rows.select("_text", "_toxic").mapInArrow(tidy(run), "h long, toxic long").groupBy("h").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     seen = seen.where(F.col("a") >= LEAST_TEXTS)
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("n") - F.col("a") + 0.5) / (other + 1.0))
     top = seen.select("h", odds.alias("odds"), (odds * F.sqrt("a")).alias("order")).where("odds > 2")
@@ -150,7 +150,7 @@ def _measured(docs: DataFrame, keep: list[str], text: str, lexicon: Lexicon) ->
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     columns = keep if text in keep else [*keep, text]
-    return docs.select(*columns).mapInArrow(run, f"{schema}_tox_x array<double>").withColumn("_tox_v", array_to_vector("_tox_x")).drop("_tox_x")
+    return docs.select(*columns).mapInArrow(tidy(run), f"{schema}_tox_x array<double>").withColumn("_tox_v", array_to_vector("_tox_x")).drop("_tox_x")
 
 
 class Model(NamedTuple):
