@@ -127,10 +127,10 @@ _TYPES = [*enums.ENTITY_TYPE, "planet"]
 def _saved(spark, sf_dir):
     entities = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("part-"), C("p_partkey").cast("string")).alias("id"), C("p_name").alias("name"), F.lit("concept").alias("entity_type"), F.lit("").alias("scope"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("updated_at"))
     none = lambda schema: spark.createDataFrame([], schema)
-    c = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(
-        C("l_orderkey").alias("place"), F.concat(F.lit(" Part "), C("l_partkey").cast("string")).alias("name"), _pick(_TYPES, C("l_orderkey")).alias("entity_type"), F.lit("general").alias("category"), F.when(C("l_orderkey") % 3 == 0, "a/b").otherwise("").alias("scope"),
-        F.when(C("l_orderkey") % 2 == 0, F.concat(F.lit(" said in "), C("l_orderkey").cast("string"))).alias("observe"), F.when(C("l_orderkey") % 5 == 0, F.concat(F.lit("Part "), C("l_suppkey").cast("string"), F.lit(": uses"))).when(C("l_orderkey") % 7 == 0, F.lit("nowhere")).alias("relate"),
-        F.when(C("l_orderkey") % 4 == 0, C("l_orderkey").cast("string")).alias("session"),
+    c = table(spark, sf_dir, "orders").select(
+        C("o_orderkey").alias("place"), F.concat(F.lit(" Part "), C("o_custkey").cast("string")).alias("name"), _pick(_TYPES, C("o_orderkey")).alias("entity_type"), F.lit("general").alias("category"), F.when(C("o_orderkey") % 3 == 0, "a/b").otherwise("").alias("scope"),
+        F.when(C("o_orderkey") % 2 == 0, F.concat(F.lit(" said in "), C("o_orderkey").cast("string"))).alias("observe"), F.when(C("o_orderkey") % 5 == 0, F.concat(F.lit("Part "), (C("o_orderkey") % 97).cast("string"), F.lit(": uses"))).when(C("o_orderkey") % 7 == 0, F.lit("nowhere")).alias("relate"),
+        F.when(C("o_orderkey") % 4 == 0, C("o_orderkey").cast("string")).alias("session"),
     )
     return commands.save_entities(
         entities, none("id string, entity_id string, content string, category string, source string"), none("id string, from_entity string, to_entity string, relation string, source string, valid_to timestamp"), c, _at()
@@ -138,8 +138,8 @@ def _saved(spark, sf_dir):
 
 
 _SAVED_SQL = f"""b AS (SELECT 'part-' || p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 2 = 0),
-  k AS (SELECT l_orderkey AS place, 'part-' || l_partkey AS entity_id, 'Part ' || l_partkey AS name, {_sql_pick(_TYPES, 'l_orderkey')} AS entity_type, CASE WHEN l_orderkey % 3 = 0 THEN 'a/b' ELSE '' END AS scope,
-    CASE WHEN l_orderkey % 2 = 0 THEN 'said in ' || l_orderkey END AS observe, CASE WHEN l_orderkey % 5 = 0 THEN 'part-' || l_suppkey END AS target, l_orderkey % 5 <> 0 AND l_orderkey % 7 = 0 AS bad, CASE WHEN l_orderkey % 4 = 0 THEN 'session:' || l_orderkey END AS source FROM lineitem WHERE l_linenumber = 1),
+  k AS (SELECT o_orderkey AS place, 'part-' || o_custkey AS entity_id, 'Part ' || o_custkey AS name, {_sql_pick(_TYPES, 'o_orderkey')} AS entity_type, CASE WHEN o_orderkey % 3 = 0 THEN 'a/b' ELSE '' END AS scope,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'said in ' || o_orderkey END AS observe, CASE WHEN o_orderkey % 5 = 0 THEN 'part-' || (o_orderkey % 97) END AS target, o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0 AS bad, CASE WHEN o_orderkey % 4 = 0 THEN 'session:' || o_orderkey END AS source FROM orders),
   v AS (SELECT * FROM k WHERE entity_type <> 'planet' AND NOT bad), ids AS (SELECT id FROM b UNION SELECT entity_id FROM v), ok AS (SELECT * FROM v WHERE target IS NULL OR target IN (SELECT id FROM ids))"""
 
 
