@@ -97,6 +97,7 @@ _STEP = """{n} AS (SELECT id, sum(x) AS score FROM (
   SELECT b.dst AS id, 0.5 * {p}.score * b.weight / o.t AS x FROM {p} JOIN both_ b ON {p}.id = b.src JOIN outs o ON o.src = b.src UNION ALL SELECT id, 0.5 * score FROM s0) GROUP BY id)"""
 # labels spread by a step; ten steps reach all of a graph of suppliers that share parts
 _SPREAD = """{n} AS MATERIALIZED (SELECT id, min(c) AS c FROM (SELECT id, c FROM {p} UNION ALL SELECT b.dst, c FROM {p} JOIN both_ b ON b.src = id) GROUP BY id)"""
+COMPONENTS_SQL = f"{_WITH}, l0 AS (SELECT id, id AS c FROM entities), {', '.join(_SPREAD.format(n=f'l{i + 1}', p=f'l{i}') for i in range(10))}"
 ORACLE_SQL = {
     "a2_god_nodes": f"{_DEGREES} SELECT * FROM d WHERE degree > 0 ORDER BY degree DESC, id LIMIT 10",
     "a3_orphans": f"{_DEGREES} SELECT * FROM d WHERE degree <= 1 ORDER BY degree, id LIMIT 20",
@@ -109,7 +110,7 @@ ORACLE_SQL = {
     "g1_neighbourhood_all": f"""{_WITH}, z AS (SELECT id AS root, id, 0 AS distance FROM entities WHERE entity_type = 'supplier'),
       o AS (SELECT DISTINCT root, dst AS id FROM z JOIN both_ ON id = src), t AS (SELECT DISTINCT root, dst AS id FROM o JOIN both_ ON id = src)
       SELECT root, id, min(distance) AS distance FROM (SELECT * FROM z UNION ALL SELECT *, 1 FROM o UNION ALL SELECT *, 2 FROM t) GROUP BY root, id""",
-    "g7_components": f"{_WITH}, l0 AS (SELECT id, id AS c FROM entities), {', '.join(_SPREAD.format(n=f'l{i + 1}', p=f'l{i}') for i in range(10))} SELECT id, c AS component FROM l10",
+    "g7_components": f"{COMPONENTS_SQL} SELECT id, c AS component FROM l10",
     "g2_pagerank": f"""{_WITH}, outs AS (SELECT src, sum(weight) AS t FROM both_ GROUP BY src), k AS (SELECT id FROM entities WHERE scope = 'nation/3' AND id IN (SELECT src FROM both_)),
       s0 AS (SELECT id, 1.0 / (SELECT count(*) FROM k) AS score FROM k), {_STEP.format(n='s1', p='s0')}, {_STEP.format(n='s2', p='s1')}, {_STEP.format(n='s3', p='s2')} SELECT 'nation/3' AS qid, id, round(score, 8) AS score FROM s3""",
     "g5_modularity": f"""{_WITH}, x AS (SELECT a.scope AS component, sum(CASE WHEN a.scope = b.scope THEN weight ELSE 0 END) AS i, sum(weight) AS t FROM both_ JOIN entities a ON a.id = src JOIN entities b ON b.id = dst GROUP BY 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from memspark.operators import communities, graph
 from memspark.plans import assist, mapping
-from memspark.queries import retrieval
+from memspark.queries import graphs, retrieval
 from memspark.tables import table
 
 C = F.col
@@ -91,7 +91,8 @@ def g4(spark, sf_dir):
     return communities.louvain(_nodes(spark, sf_dir), mapping.relations(spark, sf_dir))
 
 
-@register("f26_theme_labels")
+@register("f26_theme_labels", f"""{graphs.COMPONENTS_SQL}, n AS (SELECT c AS community, id AS name, row_number() OVER w AS i, sum(length(id) + 2) OVER (PARTITION BY c ORDER BY id ROWS UNBOUNDED PRECEDING) - 2 AS n, count(*) OVER (PARTITION BY c) AS k FROM l10 WINDOW w AS (PARTITION BY c ORDER BY id))
+  SELECT community, string_agg(name, ', ' ORDER BY name) || CASE WHEN count(*) < any_value(k) THEN '…' ELSE '' END AS label FROM n WHERE i = 1 OR n <= 80 GROUP BY community""")
 def f26(spark, sf_dir):
     parts = graph.components(_nodes(spark, sf_dir), mapping.relations(spark, sf_dir))
     return communities.theme_labels(parts.select("id", C("id").alias("name"), C("component").alias("community")))
