@@ -22,10 +22,19 @@ from memspark.tables import table
 
 #: A table of ids and numbers is broadcast up to this many rows.
 BROADCAST_ROWS = 400_000
+#: Rows of an Arrow batch of the pipeline's session.
+BATCH_ROWS = 1_000
 #: Near-duplicates of the pipeline are at least this similar; op3's contract is another.
 NEAR_PERCENT = 80
 
 
+def _bounded(spark: SparkSession) -> None:
+    """Batches of BATCH_ROWS rows at most between Spark and Python: whole texts pass, so that a batch has many bytes a row."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def _narrow(df: DataFrame) -> DataFrame:
     """``df``, a stored table of ids and numbers, to be broadcast if it has few rows."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -33,6 +42,7 @@ def _narrow(df: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. A null text counts as empty; repeated rows are judged alike; no row gives none."""
+    _bounded(spark)
     (name,) = inner(docs, "score")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")), name=name)
     return scored.where(F.col(name) >= THRESHOLD).select(*docs.columns)
@@ -55,6 +65,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and wordless texts are in no group and stay, as do rows without id. Rows of one id stay or go together.
     """
+    _bounded(spark)
     (gone_id,) = inner(docs, "gone")
     gone = near_duplicates(docs, NEAR_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
     return docs.join(_narrow(stored(gone, "near_gone")), F.col("doc_id") == F.col(gone_id), "left_anti")
@@ -86,6 +97,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document. A null text is an empty document; repeated rows are packed each for itself."""
+    _bounded(spark)
     return pack(docs, public_tokenizers.path(VOCABULARY), CAPACITY)
 
 
