@@ -124,7 +124,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     text counts as empty; a text without spans has empty arrays; repeated rows repeat; an empty table gives none. Only ``keep`` and
     ``text`` are read, so other columns may have any name.
     """
-    t, base, weak, key, spans = inner(docs.select(*keep), "text", "base", "weak", "key", "spans")
+    t, base, weak, key, of, spans = inner(docs.select(*keep), "text", "base", "weak", "key", "of", "spans")
     found = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(t))
     found = found.withColumns({base: F.array_sort(F.concat(*(_strong(F.col(t), k) for k in range(len(STRONG))))), weak: _weak(F.col(t), 1)})
     # without a secret there is nothing that an identifier or an endpoint could belong to
@@ -139,9 +139,9 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     names = ("start", "kind", "end")
     parts = some.select(F.col(key).alias("text_key"), F.explode(every).alias("s")).select("text_key", *(F.col(f"s.{c}") for c in names)).distinct()
     hits = stored(linked(_apart(parts), scope), "secret_links")
-    added = hits.groupBy("text_key").agg(F.collect_list(F.struct(*names)).alias(spans))
+    added = hits.groupBy(F.col("text_key").alias(of)).agg(F.collect_list(F.struct(*names)).alias(spans))
     few = hits.limit(BROADCAST_SPANS + 1).count() <= BROADCAST_SPANS
-    with_links = some.join(F.broadcast(added) if few else added, F.col(key) == F.col("text_key"), "left").drop("text_key")
+    with_links = some.join(F.broadcast(added) if few else added, F.col(key) == F.col(of), "left").drop(of)
     out = found.where(F.col(key).isNull()).withColumn(spans, F.array().cast(_SPAN)).unionByName(with_links)
     out = out.withColumn(spans, F.array_sort(F.concat(base, F.coalesce(spans, F.array().cast(_SPAN)))))
     of_kind = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
