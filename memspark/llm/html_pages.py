@@ -21,7 +21,7 @@ _AROUND = (
     ("div", "cookie-notice", "notice"), ("div", "newsletter", "notice"), ("div", "popup", "notice"), ("div", "", "notice"),
     ("form", "", "form"), ("form", "search", "form"), ("div", "login", "form"), ("div", "share", "links"), ("div", "social", "links"), ("ul", "", "links"),
     ("div", "comments", "comments"), ("section", "comment-list", "comments"), ("div", "discussion", "comments"), ("div", "respond", "form"),
-    ("ol", "commentlist", "items"), ("div", "", "links"), ("table", "", "linktable"),
+    ("div", "", "talk"), ("section", "", "talk"), ("ol", "commentlist", "items"), ("div", "", "links"), ("table", "", "linktable"),
 )
 _CONTENT = (("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "entry-content"), ("div", "post"), ("div", ""), ("section", "story"), ("div", ""))
 
@@ -64,6 +64,9 @@ def labelled_pages(seed: int = SEED, pages: int = PAGES) -> list[tuple[str, dict
             return f"<p>{rnd.choice(('We use cookies', 'Subscribe', 'Sign up', 'Log in'))} {words(3, 20)}.</p><button>{words(1, 2)}</button>"
         if how == "form":
             return f"<label>{words(1, 3)}</label><input name='q'><button>{words(1, 2)}</button>"
+        if how == "talk":  # comments whose elements have no telling name
+            said = "".join(f"<div><span>{words(1, 2)}</span><p>{sentence(4, 40)}</p></div>" for _ in range(rnd.randint(1, 6)))
+            return f"<h3>{rnd.choice(('Comments', f'{rnd.randint(1, 90)} comments', 'Replies', 'Leave a reply', 'Join the conversation', 'Discussion'))}</h3>" + said
         if how == "comments":
             return f"<h3>{words(1, 2)}</h3>" + "".join(f"<div class='comment'><span>{words(1, 2)}</span><p>{sentence(4, 40)}</p></div>" for _ in range(rnd.randint(1, 4)))
         return f"<p>{sentence(8, 30)}</p>" if rnd.random() < 0.5 else sentence(5, 40)
@@ -93,6 +96,14 @@ def labelled_pages(seed: int = SEED, pages: int = PAGES) -> list[tuple[str, dict
                 out.append(f"<p>{rnd.choice(('All rights reserved.', 'Released under a licence.', f'{sentence(3, 20)} Read more about cookies.'))}</p>")
             else:
                 out.append(around(1))
+        if rnd.random() < 0.08:  # a list of links without a list around it, in one piece or spread
+            items = [f"\x000<li><a href='/x'>{words(1, 3)}</a></li>" for _ in range(rnd.choice((5, 20, 60, 150, 400)))]
+            if rnd.random() < 0.7:
+                at = rnd.randint(0, len(out))
+                out[at:at] = items
+            else:
+                for item in items:
+                    out.insert(rnd.randint(0, len(out)), item)
         if rnd.random() < 0.15:
             out.insert(0, f"<header><h1>{words(2, 8)}</h1></header>")
         tag, name = rnd.choice(_CONTENT)

@@ -1,9 +1,12 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page becomes a tree: block elements, and the runs of text between block boundaries as leaves. Every node has a hidden
-label, 1 if its subtree holds content. Node potentials say how likely the node's features are under either label,
-parent-child potentials how likely a child's label is under its parent's. On a tree, one pass of messages upward and one
-downward (sum-product) give the exact marginal of every node; runs whose marginal is above one half are the text.
+label: its subtree holds no content, or it does, and then a class of the share of its children that do. Node potentials say how
+likely the node's features are with content and without, parent-child potentials how likely a child's label is under its
+parent's; a parent with content in a few of its children expects that the others have none, however many there are. On a tree, one
+pass of messages upward and one downward (sum-product) give the exact marginal of every node; runs whose marginal is
+above one half are the text. Messages are logarithms, so thousands of children don't drive them out of range. The pages of
+a slice are worked on at once, one level of their trees after the other.
 
 The potentials are relative frequencies with smoothing, counted on labelled pages (:mod:`memspark.llm.html_pages`).
 """
@@ -59,6 +62,7 @@ _TAGS = {
 }
 _ARTICLES = [t for t, kind in _TAGS.items() if kind == "article"]
 _SIGNS = re.compile(r"©|\ball rights reserved\b|\bcookies?\b|\bsubscribe\b|\bsign up\b|\blog ?in\b|\bread more\b", re.I)
+_TALK = re.compile(r"\b(?:comments?|replies|responses|discussion|leave a reply|join the conversation)\b", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -94,6 +98,8 @@ def _run_features(text: str, linked: int, tag: str) -> tuple[str, ...]:
     out = [f"words {size} {_TAGS.get(tag, 'block')} links {links}"]
     if _SIGNS.search(text):
         out.append(f"sign {_TAGS.get(tag, 'block')}")
+    if n < 10 and _TALK.search(text):
+        out.append("talk")
     return tuple(out)
 
 
@@ -179,56 +185,84 @@ def parse(html: str, labels: dict[int, int] | None = None) -> list[Node]:
     return nodes
 
 
+#: Labels of a node: 0 without content; 1 if it is a run of content, or if the share of its children that have content isn't below the first
+#: bound; one more for each bound that the share is below.
+SHARES = (1 / 3, 1 / 10, 1 / 40)
+LABELS = 2 + len(SHARES)
+
+
 class Model:
-    """Potentials of the tree: ``edges[parent label][child label]`` and, for a feature, its likelihood under either label."""
+    """Potentials of the tree, as logarithms: ``edges[parent label, child label]`` and, for a feature, its likelihood without content and with it."""
 
     def __init__(self, pages: list[tuple[str, dict[int, int]]], smoothing: float = 0.5):
-        edges, seen, features = np.full((2, 2), smoothing), np.full(2, smoothing), Counter()
+        edges, seen, features = np.full((LABELS, LABELS), smoothing), np.full(2, smoothing), Counter()
         names = set()
         for page, labels in pages:
             nodes = parse(page, labels)
             label = [n.label or 0 for n in nodes]
+            children, content = [0] * len(nodes), [0] * len(nodes)
             for i in range(len(nodes) - 1, 0, -1):  # a subtree with content has content
-                label[nodes[i].parent] |= label[i]
+                p = nodes[i].parent
+                label[p] |= label[i]
+                children[p] += 1
+                content[p] += label[i]
+            kinds = [y + sum(content[i] < share * children[i] for share in SHARES) if y else 0 for i, y in enumerate(label)]
             for i, n in enumerate(nodes[1:], 1):
-                edges[label[n.parent], label[i]] += 1
+                edges[kinds[n.parent], kinds[i]] += 1
                 seen[label[i]] += 1
                 for f in n.features:
                     names.add(f)
                     features[f, label[i]] += 1
-        self.edges = (edges / edges.sum(axis=1, keepdims=True)).tolist()
-        self.likelihood = {f: tuple((features[f, y] + smoothing) / seen[y] for y in (0, 1)) for f in names}
+        self.edges = np.log(edges / edges.sum(axis=1, keepdims=True))
+        self.likelihood = {f: tuple(float(np.log((features[f, y] + smoothing) / seen[y])) for y in (0, 1)) for f in names}
+
+    def log_odds(self, pages: list[list[Node]]) -> list[np.ndarray]:
+        """The logarithm of the odds that a node has content, for the nodes of each page, by sum-product over all of them."""
+        parent, depth, own, at = [], [], [], 0
+        known: dict[tuple[str, ...], tuple[float, float]] = {}
+        for nodes in pages:
+            for n in nodes:
+                if n.features not in known:
+                    found = [self.likelihood.get(f, (0.0, 0.0)) for f in n.features]
+                    known[n.features] = sum(x for x, _ in found), sum(y for _, y in found)
+                own.append(known[n.features])
+                parent.append(at + n.parent if n.parent >= 0 else -1)
+                depth.append(depth[at + n.parent] + 1 if n.parent >= 0 else 0)
+            at += len(nodes)
+        parent, depth = np.array(parent), np.array(depth)
+        up = np.array(own, float).reshape(-1, 2)[:, [0] + [1] * (LABELS - 1)]
+        order = np.argsort(depth, kind="stable")
+        levels = np.split(order, np.cumsum(np.bincount(depth))[:-1]) if at else []
+        rise, fall = np.exp(self.edges.T), np.exp(self.edges)
+        sent, down = np.zeros_like(up), np.zeros_like(up)
+        for level in levels[:0:-1]:
+            u = up[level]
+            most = u.max(axis=1, keepdims=True)
+            sent[level] = np.log(np.exp(u - most) @ rise) + most
+            np.add.at(up, parent[level], sent[level])
+        for level in levels[1:]:
+            above = parent[level]
+            d = down[above] + up[above] - sent[level]
+            most = d.max(axis=1, keepdims=True)
+            down[level] = np.log(np.exp(d - most) @ fall) + most
+        both = up + down
+        odds = np.logaddexp.reduce(both[:, 1:], axis=1) - both[:, 0]
+        return np.split(odds, np.cumsum([len(nodes) for nodes in pages])[:-1])
 
     def marginals(self, nodes: list[Node]) -> list[float]:
-        """The probability of label 1 of each node, by sum-product."""
-        (e00, e01), (e10, e11) = self.edges
-        up = []
-        for n in nodes:
-            a = b = 1.0
-            for f in n.features:
-                x, y = self.likelihood.get(f, (1.0, 1.0))
-                a, b = a * x, b * y
-            up.append((a / (a + b), b / (a + b)))
-        sent = [(0.5, 0.5)] * len(nodes)
-        for i in range(len(nodes) - 1, 0, -1):
-            a, b = up[i]
-            x, y = e00 * a + e01 * b, e10 * a + e11 * b
-            sent[i] = (x, y) = (x / (x + y), y / (x + y))
-            p = nodes[i].parent
-            a, b = up[p][0] * x, up[p][1] * y
-            up[p] = (a / (a + b), b / (a + b)) if a + b > 0 else (0.5, 0.5)
-        down = [(0.5, 0.5)] * len(nodes)
-        for i in range(1, len(nodes)):
-            p = nodes[i].parent
-            a, b = down[p][0] * up[p][0] / sent[i][0], down[p][1] * up[p][1] / sent[i][1]
-            x, y = e00 * a + e10 * b, e01 * a + e11 * b
-            down[i] = (x / (x + y), y / (x + y))
-        return [u[1] * d[1] / (u[0] * d[0] + u[1] * d[1]) for u, d in zip(up, down, strict=True)]
+        """The probability of content of each node of a page."""
+        return (1 / (1 + np.exp(-np.clip(self.log_odds([nodes])[0], -700, 700)))).tolist()
+
+
+def texts_of(pages: list[str], model: Model) -> list[str]:
+    """The main text of each page."""
+    trees = [parse(page) for page in pages]
+    found = model.log_odds(trees) if trees else []
+    return ["\n\n".join(n.text for n, x in zip(nodes, odds.tolist(), strict=True) if n.text is not None and x > 0) for nodes, odds in zip(trees, found, strict=True)]
 
 
 def main_text(html: str, model: Model) -> str:
-    nodes = parse(html)
-    return "\n\n".join(n.text for n, p in zip(nodes, model.marginals(nodes), strict=True) if n.text is not None and p > 0.5)
+    return texts_of([html], model)[0]
 
 
 _models: dict[int, Model] = {}
@@ -251,7 +285,7 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
         model = trained()
         for batch in batches:
             for part, texts in strings(batch, "_html"):
-                found = [main_text(t, model) for t in texts]
+                found = texts_of(texts, model)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], names=[*keep, "text", "n_chars"])
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)

@@ -356,22 +356,74 @@ def test_html_marginals_by_enumeration():
 
     model, rnd = trained(), random.Random(5)
     names = sorted(model.likelihood)
+    from memspark.llm.html_text import LABELS
+
     for _ in range(25):
         nodes = [Node(-1, (), None, None)]
-        for i in range(1, rnd.randint(2, 9)):
+        for i in range(1, rnd.randint(2, 6)):
             nodes.append(Node(rnd.randrange(i), tuple(rnd.sample(names, rnd.randint(0, 3))), None, None))
         total, content = 0.0, [0.0] * len(nodes)
-        for y in itertools.product((0, 1), repeat=len(nodes)):
-            p = 1.0
+        for y in itertools.product(range(LABELS), repeat=len(nodes)):
+            p = 0.0
             for i, n in enumerate(nodes):
-                p *= model.edges[y[n.parent]][y[i]] if i else 1.0
+                p += model.edges[y[n.parent], y[i]] if i else 0.0
                 for f in n.features:
-                    p *= model.likelihood[f][y[i]]
+                    p += model.likelihood[f][min(y[i], 1)]
+            p = np.exp(p)
             total += p
-            content = [c + p * x for c, x in zip(content, y)]
+            content = [c + p * (x > 0) for c, x in zip(content, y)]
         assert np.allclose(model.marginals(nodes), [c / total for c in content], atol=1e-9)
 
 
+def test_html_thousands_of_children_by_enumeration():
+    """A root with many leaves: its label is summed over, each leaf's given it. The order of the leaves doesn't matter."""
+    from memspark.llm.html_text import LABELS, Node
+
+    model, rnd = trained(), random.Random(6)
+    names = sorted(model.likelihood)
+    leaves = [tuple(rnd.sample(names, 2)) for _ in range(4000)]
+    own = np.array([[sum(model.likelihood[f][min(c, 1)] for f in leaf) for c in range(LABELS)] for leaf in leaves])
+    given = np.logaddexp.reduce(model.edges[None, :, :] + own[:, None, :], axis=2)  # of a leaf, by the root's label
+    root = given.sum(axis=0)
+    rest = root[None, :] - given
+    joint = rest[:, :, None] + model.edges[None, :, :] + own[:, None, :]
+    by_label = np.logaddexp.reduce(joint, axis=1)
+    expected = np.logaddexp.reduce(by_label[:, 1:], axis=1) - by_label[:, 0]
+    tree = lambda order: [Node(-1, (), None, None), *(Node(0, leaves[i], None, None) for i in order)]
+    straight = model.log_odds([tree(range(4000))])[0]
+    assert np.allclose(straight[1:], expected, atol=1e-6)
+    order = rnd.sample(range(4000), 4000)
+    one, _ = model.log_odds([tree(order), tree(order[:9])])
+    assert np.allclose(one[1:], expected[order], atol=1e-6)
+
+
+@pytest.mark.parametrize("n", [1, 50, 100, 400])
+def test_html_keeps_articles_among_many_links(n):
+    model = trained()
+    paragraph = "<p>" + "A sentence that goes on and on, with several words in it. " * 4 + "</p>"
+    items = "".join(f"<li><a href='/x'>link {i}</a></li>" for i in range(n))
+    for body in (paragraph * 20 + items, items + paragraph * 20, paragraph * 10 + items + paragraph * 10):
+        found = main_text(f"<html><body><nav><a href='/'>Home</a></nav><article><h1>A heading of it</h1>{body}</article><footer>&copy; me</footer></body></html>", model)
+        assert found.count("A sentence") == 80 and found.count("link") <= (n if n < 9 else 0)
+
+
+def test_html_order_of_siblings():
+    model = trained()
+    long, items = "<p>" + "word " * 40 + ".</p>", "".join(f"<li><a href='/x'>go {i}</a></li>" for i in range(1500))
+    for body in (items + long * 3000, long * 3000 + items):
+        found = main_text(f"<html><body><div>{body}</div></body></html>", model)
+        assert found.count("word") == 120_000 and "go" not in found
+
+
+def test_html_comments_without_telling_names():
+    model = trained()
+    paragraph = "<p>" + "A sentence that goes on and on, with several words in it. " * 4 + "</p>"
+    talk = "<div><h3>3 comments</h3>" + "".join(f"<div><span>bob {i}</span><p>I think this is a nice one, thank you.</p></div>" for i in range(3)) + "</div>"
+    for page in (f"<article><h1>A heading</h1>{paragraph * 4}{talk}</article>", f"<article><h1>A heading</h1>{paragraph * 4}</article>{talk}", f"<article><h1>A heading</h1>{paragraph * 4}<div class='comments'>{paragraph}</div></article>"):
+        found = main_text(f"<html><body>{page}</body></html>", model)
+        assert found.count("A sentence") == 16 and "nice" not in found
+
+
 def test_html_depth_costs_its_length():
     import time
 
