@@ -98,12 +98,17 @@ def normalised(v: Column) -> Column:
 def text_boost(query: Column, title: Column, snippet: Column) -> Column:
     """What a result gains for holding the query: title equal .020, else in title .012, in snippet .008, share of terms .006 and .004."""
     ascii_low = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    q, t, s = ascii_low(F.trim(query)), ascii_low(title), ascii_low(snippet)
     terms = F.filter(F.split(ascii_low(query), "[^a-z0-9]+"), lambda x: x != "")
-    share = lambda where: F.size(F.filter(terms, lambda x: F.contains(where, x))) / F.size(terms)
-    whole = F.when(t == q, 0.020).when(F.contains(t, q), 0.012).otherwise(0.0) + F.when(F.contains(s, q), 0.008).otherwise(0.0)
-    part = F.when(F.size(terms) > 0, 0.006 * share(t) + 0.004 * share(s)).otherwise(0.0)
-    return F.when(q == "", 0.0).otherwise(whole + part)
+
+    def of(p: Column) -> Column:
+        q, t, s, w = p["q"], p["t"], p["s"], p["w"]
+        share = lambda where: F.size(F.filter(w, lambda x: F.contains(where, x))) / F.size(w)
+        whole = F.when(t == q, 0.020).when(F.contains(t, q), 0.012).otherwise(0.0) + F.when(F.contains(s, q), 0.008).otherwise(0.0)
+        part = F.when(F.size(w) > 0, 0.006 * share(t) + 0.004 * share(s)).otherwise(0.0)
+        return F.when(q == "", 0.0).otherwise(whole + part)
+
+    # a text is lowered once, however many terms are looked up in it
+    return bound(F.struct(ascii_low(F.trim(query)).alias("q"), ascii_low(title).alias("t"), ascii_low(snippet).alias("s"), terms.alias("w")), of)
 
 
 def score4(x: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memspark.operators.changes import upsert_latest
 from memspark.operators.listing import in_scope
-from memspark.operators.search import hash_embedding, top
+from memspark.operators.search import hash_embedding, keyword_search, top
 
 #: Record types in the order of a listing over all of them.
 SECTIONS = ("entity", "observation", "decision", "context")
@@ -39,6 +39,14 @@ def sections(found: dict[str, DataFrame], k: int) -> DataFrame:
     return top(rows, ["qid"], [F.col("_section"), F.col("_rank"), F.col("id")], k).select("qid", "record_type", "id", "rank")
 
 
+def record_search(queries: DataFrame, records: dict[str, DataFrame], k: int = 10, allowed: DataFrame | None = None, stem: bool = False) -> DataFrame:
+    """qid, record_type, id, rank: keyword search over ``records`` (id, content, scope) of each type, one type after another, cut to ``k``.
+
+    Each type has statistics of its own; ``allowed`` (qid, scope) are the scopes that a query sees.
+    """
+    return sections({kind: keyword_search(queries, rows, k, stem=stem, allowed=allowed) for kind, rows in records.items()}, k)
+
+
 def pending_jobs(scopes: DataFrame, jobs: DataFrame, k: int = BATCH) -> DataFrame:
     """query_scope, rank, id, record_type, record_id, content_hash: the ``k`` oldest pending ``jobs`` seen from each of ``scopes`` (query_scope)."""
     found = in_scope(scopes, jobs.where("status = 'pending'"))

@@ -6,14 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import scoring, text
-from memspark.functions.stem import stemmed
-from memspark.operators.stored import stored
-
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Queries that are broadcast at most; beyond, queries of a chunk and vectors of a shard.
-BROADCAST_QUERIES, BLOCK_QUERIES, BLOCK_VECTORS = 2_000, 1_000, 20_000
-#: Rows of a table of query terms that is broadcast, at most.
-BROADCAST_ROWS = 400_000
+from memspark.operators.postings import index_tokens, search_index, tokens_of
+from memspark.operators.vectors import nearest
+
+__all__ = ["ARM_BONUS", "ARM_WEIGHTS", "RANK_CONSTANT", "fuse", "hash_embedding", "index_tokens", "keyword_search", "temporal_boost", "top", "vector_search"]
 # Weights of the arms, the rank constant and the bonus for each further arm.
 ARM_WEIGHTS = {"keyword": 1.10, "semantic": 1.00, "graph": 0.90}
 RANK_CONSTANT, ARM_BONUS = 45, 0.018
@@ -25,88 +21,17 @@ def top(found: DataFrame, by: list[str], order: list[Column], k: int, name: str
     return found.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def index_tokens(x: Column) -> Column:
-    """Letters and digits in runs, lower case: what is indexed."""
-    return F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, a stored table of narrow rows, to be broadcast if it has few of them."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-def _stems(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
-    """_token, _term: the stem of each distinct token (_term) of ``tokens`` that is a stem of ``wanted`` (_term) too."""
-    distinct = tokens.select(F.col("_term").alias("_token")).distinct()
-    return stored(distinct.withColumn("_term", stemmed("_token")).join(wanted.select("_term").distinct(), "_term", "left_semi"), "stems")
-
-
-def keyword_search(queries: DataFrame, records: DataFrame, k: int = 10, wanted: Column | None = None, stem: bool = False) -> DataFrame:
-    """qid, id, score, rank: BM25 of ``records`` (id, content) for ``queries`` (qid, query).
-
-    A query term with - or _ inside is a phrase: its parts must follow one another. A repeated term counts again.
-    Statistics are those of all records; ``wanted`` (a condition on records) is applied to the matches only. Terms that
-    half of the records hold get the least weight. Only postings of query terms are made; queries are the smaller side.
-    With ``stem``, terms meet by their folded stems, which are worked out once for each distinct term.
-    """
-    docs = records.withColumn("_tokens", index_tokens(F.coalesce("content", F.lit(""))))
-    total = docs.agg(F.count("*").alias("_n"), F.avg(F.size("_tokens")).alias("_avg"))
-    phrases = queries.select("qid", F.explode(text.search_terms(F.col("query"))).alias("_phrase")).groupBy("qid", "_phrase").agg(F.count("*").alias("_times"))
-    phrases = phrases.withColumn("_parts", index_tokens(F.col("_phrase"))).where(F.size("_parts") > 0)
-    if stem:  # phrases with the same stems are one
-        parts = phrases.select("qid", "_phrase", "_times", F.posexplode("_parts").alias("_at", "_part")).withColumn("_part", stemmed("_part"))
-        parts = parts.groupBy("qid", "_phrase", "_times").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_part"))), lambda x: x["_part"]).alias("_parts"))
-        phrases = parts.groupBy("qid", F.array_join("_parts", " ").alias("_phrase"), "_parts").agg(F.sum("_times").alias("_times"))
-    phrases = stored(phrases, "phrases")
-    distinct = phrases.select("_phrase", "_parts").distinct()
-    terms = distinct.select("_phrase", F.size("_parts").alias("_len"), F.posexplode("_parts").alias("_off", "_term"))
-    terms = _small(stored(terms, "terms"))
-    places = docs.select("id", F.size("_tokens").alias("_dl"), F.posexplode("_tokens").alias("_pos", "_term"))
-    if stem:
-        places = places.withColumnRenamed("_term", "_token").join(_stems(places, terms), "_token").drop("_token")
-    hits = places.join(terms, "_term")
-    one = hits.where("_len = 1").groupBy("_phrase", "id", "_dl").agg(F.count("*").alias("_tf"))
-    several = hits.where("_len > 1").groupBy("_phrase", "_len", "id", "_dl", (F.col("_pos") - F.col("_off")).alias("_at")).agg(F.countDistinct("_off").alias("_c"))
-    several = several.where("_c = _len").groupBy("_phrase", "id", "_dl").agg(F.count("*").alias("_tf"))
-    postings = stored(one.unionByName(several), "postings")  # read twice; only those of query terms
-    frequency = postings.groupBy("_phrase").agg(F.count("*").alias("_df"))
-    idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(LEAST_IDF))
-    weights = frequency.crossJoin(F.broadcast(total)).select("_phrase", idf.alias("_idf"), "_avg")  # one row of totals
-    asked = _small(stored(phrases.join(weights, "_phrase"), "asked"))
-    scored = asked.join(postings, "_phrase")
-    part = F.col("_times") * F.col("_idf") * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
-    scored = scored.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    if wanted is not None:
-        scored = scored.join(records.where(wanted).select("id"), "id", "left_semi")
-    return top(scored, ["qid"], [F.col("score").desc(), F.col("id")], k).select("qid", "id", "score", "rank")
+def keyword_search(queries: DataFrame, records: DataFrame, k: int = 10, wanted: Column | None = None, stem: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+    """qid, id, score, rank: BM25 of ``records`` (id, content, ...) for ``queries`` (qid, query), without a stored index: see ``postings.search_index``."""
+    return search_index(queries, tokens_of(records), k, wanted, stem, allowed)
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, l2: bool = False) -> DataFrame:
     """qid, id, score, rank: the nearest ``vectors`` (id, v) of ``queries`` (qid, q): cosine above 0, or 1 / (1 + distance).
 
-    Every query meets every vector. Up to BROADCAST_QUERIES queries are broadcast; more meet the vectors in blocks, as an
-    equi-join of chunks of queries with shards of vectors, so that no task holds either side whole.
+    Every query meets every vector, in blocks: see ``vectors.nearest``.
     """
-    as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    q = queries.select("qid", (as_double("q") if l2 else scoring.normalised(F.col("q"))).alias("_q"))
-    v = vectors.select("id", (as_double("v") if l2 else scoring.normalised(F.col("v"))).alias("_v"))
-    n = queries.count()
-    if n <= BROADCAST_QUERIES:
-        pairs = v.crossJoin(F.broadcast(q))
-    else:
-        chunks, shards = -(-n // BLOCK_QUERIES), -(-vectors.count() // BLOCK_VECTORS)
-        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-        q = q.withColumn("_chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int")).withColumn("_shard", every(shards))
-        v = v.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("_chunk", every(chunks))
-        pairs = v.join(q, ["_chunk", "_shard"])
-    pairs = pairs.where(F.size("_v") == F.size("_q"))
-    if l2:
-        gap = F.sqrt(F.aggregate(F.zip_with("_v", "_q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
-        pairs = pairs.withColumn("score", F.round(1 / (1 + gap), 6))
-    else:
-        dot = F.aggregate(F.zip_with("_v", "_q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-        pairs = pairs.withColumn("score", F.round(dot, 6)).where("score > 0")
-    return top(pairs.select("qid", "id", "score"), ["qid"], [F.col("score").desc(), F.col("id")], k)
+    return nearest(queries, vectors, k, l2)
 
 
 def fuse(arms: DataFrame, k: int = 10) -> DataFrame:

@@ -42,13 +42,14 @@ def find(
     if mode == "semantic":
         rest = words.join(found, "qid", "left_anti").withColumn("fallback", F.lit(NO_SEMANTIC))
         return near.withColumn("fallback", F.lit(None).cast("string")).unionByName(rest)
-    text = records.select("id", "title", "content")
-    boosted = lambda arm, name: (
-        arm.join(queries, "qid").join(text, "id").select("qid", F.lit(name).alias("arm"), "id", "rank", scoring.text_boost(F.col("query"), F.col("title"), F.col("content")).alias("boost"))
-    )
-    arms = boosted(words, "keyword").unionByName(boosted(near, "semantic"))
+    arm = lambda found, name: found.select("qid", F.lit(name).alias("arm"), "id", "rank")
+    arms = arm(words, "keyword").unionByName(arm(near, "semantic"))
     if mode == "graph":
-        arms = arms.unionByName(boosted(evidence.graph_arm(words.select("qid", "id", "rank"), owned, edges, pool), "graph"))
+        arms = stored(arms.unionByName(arm(evidence.graph_arm(words.select("qid", "id", "rank"), owned, edges, pool), "graph")), "arms")
+    # a pair's texts are looked at once, whichever arms have it
+    pairs = arms.select("qid", "id").distinct().join(queries, "qid").join(records.select("id", "title", "content"), "id")
+    pairs = pairs.select("qid", "id", scoring.text_boost(F.col("query"), F.col("title"), F.col("content")).alias("boost"))
+    arms = arms.join(pairs, ["qid", "id"])
     fused = search.fuse(arms, pool if mode == "rerank" or temporal is not None else k)
     if temporal is not None:
         later = fused.join(temporal.select("id", F.col("boost").alias("_boost")), "id", "left").withColumn("score", F.round(F.col("score") + F.coalesce("_boost", F.lit(0.0)), 6))
@@ -119,10 +120,30 @@ class Merge(NamedTuple):
     parents: tuple[tuple[str, str], ...] = ()
 
 
+def _rooted(rows: DataFrame, there: DataFrame) -> DataFrame:
+    """key, ok of ``rows`` (key, parent, lost): whether the chain of parents ends at a row that needs none or at one of ``there`` (id), and not in a cycle or at a lost row.
+
+    Steps double in length, so a chain takes as many rounds as its length has binary digits.
+    """
+    ids = there.select(F.col("id").alias("_id"), F.lit(True).alias("_there")).distinct()
+    keys = rows.select(F.col("key").alias("_key"), F.lit(True).alias("_comes"))
+    both = rows.join(ids, F.col("parent") == F.col("_id"), "left").join(keys, F.col("parent") == F.col("_key"), "left")
+    ends = F.when(F.col("lost"), False).when(F.col("parent").isNull() | F.col("_there").isNotNull(), True).when(F.col("_comes").isNull(), False)
+    state = stored(both.select("key", F.when(ends.isNull(), F.col("parent")).alias("to"), ends.alias("ok")), "chains")
+    for _ in range(state.where("ok IS NULL").count().bit_length() + 1):
+        if not state.where("ok IS NULL").limit(1).count():
+            break
+        further = state.select(F.col("key").alias("to"), F.col("to").alias("_to"), F.col("ok").alias("_ok"))
+        moved = state.where("ok IS NULL").join(further, "to").select("key", F.col("_to").alias("to"), F.col("_ok").alias("ok"))
+        state = stored(state.where("ok IS NOT NULL").unionByName(moved), "chains")
+    return state.select("key", F.coalesce("ok", F.lit(False)).alias("ok"))
+
+
 def merge_bundle(base: dict[str, DataFrame], incoming: dict[str, DataFrame], rules: dict[str, Merge]) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables with a bundle's rows merged in; report: table, outcome, n), in the order of ``rules``: parents stand before children.
 
-    Outcomes: inserted, replaced, kept (what stood there stays) and orphan (a parent is neither there nor in the bundle).
+    Outcomes: inserted, replaced, kept (what stood there stays) and orphan (a parent is neither there nor among the rows of the bundle that come
+    in). A table may be its own parent in one column: chains within a bundle come in, cycles and what hangs on a lost row don't.
     A row without parent id needs none. Of several incoming rows of a key the last by ``order`` counts, or by its values.
     """
     merged, report = dict(base), None
@@ -131,9 +152,19 @@ def merge_bundle(base: dict[str, DataFrame], incoming: dict[str, DataFrame], rul
         order = [F.col(rule.order).desc_nulls_last()] if rule.order else []
         new = first_of(incoming[name].select(*old.columns), [rule.key], [*order, *[F.col(c).desc_nulls_last() for c in sorted(old.columns)]])
         marked = new.withColumn("_orphan", F.lit(False))
+        own = [column for column, parent in rule.parents if parent == name]
+        if len(own) > 1:
+            raise ValueError(f"{name} has several parents among its own rows")
         for column, parent in rule.parents:
+            if parent == name:
+                continue
             ids = merged[parent].select(F.col(rules[parent].key).alias("_parent"), F.lit(True).alias("_there")).distinct()
             marked = marked.join(ids, F.col(column) == F.col("_parent"), "left").withColumn("_orphan", F.col("_orphan") | (F.col(column).isNotNull() & F.col("_there").isNull())).drop("_parent", "_there")
+        if own:  # parents that come in the same bundle count, if they come in themselves
+            marked = stored(marked, "incoming")
+            chains = marked.select(F.col(rule.key).alias("key"), F.col(own[0]).alias("parent"), F.col("_orphan").alias("lost"))
+            rooted = _rooted(chains, old.select(F.col(rule.key).alias("id"))).select(F.col("key").alias("_key"), "ok")
+            marked = marked.join(rooted, F.col(rule.key) == F.col("_key"), "left").withColumn("_orphan", ~F.coalesce("ok", F.lit(False))).drop("_key", "ok")
         was = old.select(F.col(rule.key).alias("_key"), F.col(rule.order or rule.key).alias("_was"))
         marked = marked.join(was, F.col(rule.key) == F.col("_key"), "left")
         wins = {"keep": F.lit(False), "replace": F.lit(True), "newer": F.col(rule.order) > F.col("_was") if rule.order else F.lit(False)}[rule.policy]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memspark.functions import facts, scoring, text
-from memspark.operators import changes, communities, curation, evaluate, graph, redact, search
+from memspark.operators import changes, communities, curation, evaluate, graph, redact, search, vectors
 from memspark.plans import assist
 from memspark.sources import transcripts
 from memspark.streaming.ingest import ingest
@@ -151,7 +151,7 @@ def test_vectors_in_blocks_are_the_same(spark, monkeypatch):
     queries = rows.where("id % 3 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
     whole = sorted(map(tuple, search.vector_search(queries, rows, 4).collect()))
     for name, value in (("BROADCAST_QUERIES", 5), ("BLOCK_QUERIES", 7), ("BLOCK_VECTORS", 25)):
-        monkeypatch.setattr(search, name, value)
+        monkeypatch.setattr(vectors, name, value)
     assert sorted(map(tuple, search.vector_search(queries, rows, 4).collect())) == whole
 
 
