@@ -18,6 +18,7 @@ from memspark.llm.quality_classifier import score
 from memspark.llm.queries.op1_quality_classifier import THRESHOLD, train
 from memspark.llm.queries.op5_best_fit_packing import CAPACITY, VOCABULARY
 from memspark.llm.store import stored
+from memspark.llm.textbatch import small_batches
 from memspark.tables import table
 
 #: A table of ids and numbers is broadcast up to this many rows.
@@ -29,7 +30,10 @@ NEAR_PERCENT = 80
 
 
 def _bounded(spark: SparkSession) -> None:
-    """Batches of BATCH_ROWS rows at most between Spark and Python: whole texts pass, so that a batch has many bytes a row."""
+    """Batches of BATCH_ROWS rows at most between Spark and Python: whole texts pass, so that a batch has many bytes a row.
+
+    A stage's rows are worked out when its caller writes them, so the setting outlasts the stage; ``run`` gives it back.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
@@ -86,7 +90,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = stored(per_id.where(f"{rows} > 1").select(of), "repeated")
     if again.limit(1).count():
         repeated = docs.join(_narrow(again), docs["doc_id"].eqNullSafe(F.col(of)), "left_semi").withColumn(size, n_words("text"))
-        number = F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(F.lit(1)))
+        # reruns give the same row its copies: rows that agree in all of these are alike
+        number = F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy("text", "lang", "n_chars"))
         repeated = repeated.withColumn(nth, number).withColumnRenamed(size, size + "2")
         same = F.col("doc_id").eqNullSafe(F.col(of)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(size) == F.col(size + "2"))
         repeated = repeated.join(taken, same)
@@ -109,6 +114,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with small_batches(spark, BATCH_ROWS):
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return docs

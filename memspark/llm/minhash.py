@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memspark.llm.names import inner
 from memspark.llm.store import stored
 from memspark.llm.textbatch import Words, constants, shingles, slices, small_batches, tidy
 
@@ -245,7 +246,8 @@ def _second_links(rows: DataFrame, labels: DataFrame, docs: DataFrame, text: str
     places = F.concat(F.when(F.col("component") != F.col("_major"), one(True, "_lefts", "_rights")).otherwise(F.slice(one(True, "_lefts", "_rights"), 1, 0)), one(False, "_lefts", "_rights"))
     members = stored(members.select("bucket", "_cell", "id", "component", F.explode(places).alias("p")).select("bucket", "_cell", "p.*", "id", "component"), "places")
     wanted = stored(members.select("id").distinct(), "wanted")
-    some = docs.join(_small(wanted.withColumnRenamed("id", "_mh_id")), docs[key].cast("long") == F.col("_mh_id"), "left_semi")
+    (of,) = inner(docs, "of")
+    some = docs.join(_small(wanted.withColumnRenamed("id", of)), F.col(key).cast("long") == F.col(of), "left_semi")
     with small_batches(docs.sparkSession):
         sets = stored(full_sets(some, text, key).dropDuplicates(["id"]), "full_sets")
 

@@ -156,6 +156,7 @@ def fit(docs: DataFrame, positives: DataFrame, text: str = "text", key: str = "d
     some = sample(ids, most, key, 2).distinct().withColumn("_positive", F.lit(False))
     chosen = good.unionByName(some)  # at most 2 * most rows
     rows = docs.select(key, docs[text].alias("_text")).join(F.broadcast(chosen), key)
+    rows = rows.groupBy(key, "_positive").agg(F.min("_text").alias("_text"))  # a sampled id counts once, however many rows have it
     rows = _measured(rows, (key, "_positive")).orderBy("_positive", key).collect()
     x, y = np.array([r.x for r in rows]).reshape(len(rows), FEATURES), np.array([r["_positive"] for r in rows], bool)
     if y.sum() < 20 or (~y).sum() < 20:

@@ -22,6 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memspark.llm.names import inner
 from memspark.llm.samples import sample
 from memspark.llm.store import stored
 from memspark.llm.textbatch import Words, byte_table, slices, text_sums, tidy
@@ -140,17 +141,19 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     return Lexicon(h[order], np.array([r.odds for r in found])[order])
 
 
-def _measured(docs: DataFrame, keep: list[str], text: str, lexicon: Lexicon) -> DataFrame:
+def _measured(docs: DataFrame, keep: list[str], text: str, lexicon: Lexicon, name: str = "_tox_v") -> DataFrame:
+    """The ``keep`` columns and the vector of features of every row, as the column ``name``, which ``docs`` doesn't have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, text):
                 x = features(data, offsets, lexicon)
                 kept = [part.column(part.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(list(x), pa.list_(pa.float64()))], names=[*keep, "_tox_x"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(list(x), pa.list_(pa.float64()))], names=[*keep, name])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     columns = keep if text in keep else [*keep, text]
-    return docs.select(*columns).mapInArrow(tidy(run), f"{schema}_tox_x array<double>").withColumn("_tox_v", array_to_vector("_tox_x")).drop("_tox_x")
+    return docs.select(*columns).mapInArrow(tidy(run), f"{schema}`{name}` array<double>").withColumn(name, array_to_vector(name))
 
 
 class Model(NamedTuple):
@@ -205,9 +208,12 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", name: str =
     kept = [c for c in docs.columns if c != name]
     if model is None:
         return docs.select(*kept, F.lit(0.0).alias(name))
-    raw = model.trees.transform(_measured(docs, kept, text, model.lexicon)).withColumn("_tox_p", vector_to_array("_tox_probability")[1])
+    vector, raw, probability, prediction, p = inner(docs, "vector", "raw", "probability", "prediction", "p")
+    names = {"featuresCol": vector, "rawPredictionCol": raw, "probabilityCol": probability, "predictionCol": prediction}
+    trees = model.trees.copy({model.trees.getParam(k): v for k, v in names.items()})
+    found = trees.transform(_measured(docs, kept, text, model.lexicon, vector)).withColumn(p, vector_to_array(probability)[1])
     x, y = model.bounds, model.values
-    out = F.when(F.col("_tox_p") <= x[0], y[0])
+    out = F.when(F.col(p) <= x[0], y[0])
     for (a, b), (c, d) in zip(zip(x, x[1:], strict=False), zip(y, y[1:], strict=False), strict=True):
-        out = out.when(F.col("_tox_p") <= b, F.lit(c) + (F.col("_tox_p") - a) / (b - a) * (d - c) if b > a else F.lit(d))
-    return raw.withColumn(name, F.least(F.greatest(out.otherwise(y[-1]), F.lit(0.0)), F.lit(1.0))).select(*kept, name)
+        out = out.when(F.col(p) <= b, F.lit(c) + (F.col(p) - a) / (b - a) * (d - c) if b > a else F.lit(d))
+    return found.withColumn(name, F.least(F.greatest(out.otherwise(y[-1]), F.lit(0.0)), F.lit(1.0))).select(*kept, name)
