@@ -22,7 +22,7 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Rows of a table of query terms that is broadcast, at most.
 BROADCAST_ROWS = 400_000
 #: Postings of the rarest terms that a query begins with, for each result that is wanted; scores are rounded, so that the floor has a margin.
-SEEDS, MARGIN = 4, 5e-6
+SEEDS, MARGIN = 16, 5e-6
 
 
 class Index(NamedTuple):
@@ -149,7 +149,10 @@ def candidates(found: Asked, k: int, allowed: DataFrame | None = None) -> tuple[
     terms = terms.withColumn("_rest", F.sum("_most").over(lightest.rowsBetween(Window.unboundedPreceding, 0)) < F.col("_floor"))
     left = F.sum(F.when(F.col("_rest"), F.col("_most")).otherwise(0.0)).over(Window.partitionBy("qid"))
     terms = stored(terms.withColumn("_left", left), "terms_cut")
-    some = _sums(found, terms.where("NOT _rest"), allowed, "_floor", "_left").where("_s + _left >= _floor")
+    some = stored(_sums(found, terms.where("NOT _rest"), allowed, "_floor", "_left").where("_s + _left >= _floor"), "sums")
+    # these sums are nearer the whole than those of the rarest terms: their k-th best is a higher floor
+    higher = some.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k).select("qid", (F.col("_s") - MARGIN).alias("_higher"))
+    some = some.join(higher, "qid", "left").where(F.col("_s") + F.col("_left") >= F.coalesce("_higher", "_floor"))
     return some.select("qid", "id", "_s"), terms.where("_rest").select("qid", "_phrase", "_factor")
 
 
