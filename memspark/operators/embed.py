@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.operators.changes import upsert_latest
-from memspark.operators.listing import in_scope
+from memspark.operators.listing import list_records
 from memspark.operators.search import hash_embedding, keyword_search, top
 
 #: Record types in the order of a listing over all of them.
@@ -49,8 +49,32 @@ def record_search(queries: DataFrame, records: dict[str, DataFrame], k: int = 10
 
 def pending_jobs(scopes: DataFrame, jobs: DataFrame, k: int = BATCH) -> DataFrame:
     """query_scope, rank, id, record_type, record_id, content_hash: the ``k`` oldest pending ``jobs`` seen from each of ``scopes`` (query_scope)."""
-    found = in_scope(scopes, jobs.where("status = 'pending'"))
-    return top(found, ["query_scope"], [F.col("created_at"), F.col("id")], k).select("query_scope", "rank", "id", "record_type", "record_id", "content_hash")
+    found = list_records(scopes, jobs, [F.col("created_at"), F.col("id")], k, F.col("status") == "pending")
+    return found.select("query_scope", "rank", "id", "record_type", "record_id", "content_hash")
+
+
+def requeue_failed(jobs: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
+    """``jobs`` (id, status, error, scope, ...) whose failed ones, in ``scopes`` (scope) if given, are pending again and without an error."""
+    again = F.col("status") == "failed"
+    if scopes is not None:
+        jobs = jobs.join(scopes.select("scope", F.lit(True).alias("_asked")).distinct(), "scope", "left")
+        again &= F.coalesce("_asked", F.lit(False))
+    out = jobs.withColumn("_again", again).withColumn("error", F.when(~F.col("_again"), F.col("error"))).withColumn("status", F.when(F.col("_again"), "pending").otherwise(F.col("status")))
+    return out.drop("_again", "_asked")
+
+
+def settle(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``jobs`` after a round of work: status, error and attempts follow ``outcomes`` (id, outcome, error)."""
+    done = outcomes.select("id", F.col("outcome").alias("_outcome"), F.col("error").alias("_error"))
+    out = jobs.join(done, "id", "left").withColumn("attempts", F.col("attempts") + F.col("_outcome").isNotNull().cast("long"))
+    return out.withColumn("error", F.when(F.col("_outcome").isNull(), F.col("error")).otherwise(F.col("_error"))).withColumn("status", F.coalesce("_outcome", "status")).drop("_outcome", "_error")
+
+
+def drop_closed(vectors: DataFrame, facts: DataFrame) -> DataFrame:
+    """``vectors`` without those of observations that ``facts`` (id, valid_to) doesn't hold as live: superseded facts aren't found any more."""
+    live = facts.where("valid_to IS NULL").select(F.lit("observation").alias("record_type"), F.col("id").cast("string").alias("record_id"))
+    kept = vectors.where("record_type = 'observation'").join(live, ["record_type", "record_id"], "left_semi")
+    return vectors.where("record_type <> 'observation'").unionByName(kept.select(*vectors.columns))
 
 
 def work(jobs: DataFrame, records: DataFrame) -> DataFrame:

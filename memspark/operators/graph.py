@@ -53,6 +53,49 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def crossing(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """src, dst, score of ``edges`` (src, dst, weight, certain) between different communities of ``members`` (id, community, kind).
+
+    The weight counts twice for crossing communities, half as much again if the ends are of different kinds, and half if the edge isn't certain.
+    """
+    end = lambda c: members.select(F.col("id").alias(c), F.col("community").alias(f"_{c}"), F.col("kind").alias(f"_kind_{c}"))
+    both = edges.join(end("src"), "src").join(end("dst"), "dst").where("_src <> _dst")
+    score = 2 * F.col("weight") * F.when(F.col("_kind_src") != F.col("_kind_dst"), 1.5).otherwise(1.0) * F.when(F.coalesce("certain", F.lit(False)), 1.0).otherwise(0.5)
+    return both.select("src", "dst", F.round(score, 6).alias("score"))
+
+
+def pagerank_push(seeds: DataFrame, edges: DataFrame, damping: float = 0.5, tolerance: float = 1e-6, most: int = 200) -> DataFrame:
+    """qid, id, score of each query's ``seeds`` (qid, id, weight) by pushing residuals along: only nodes that mass comes to have rows.
+
+    A node keeps 1 - damping of its residual and passes the rest on, while the residual is above ``tolerance`` for each of its edges. So
+    a query touches 1 / ((1 - damping) * tolerance) edges at most, whatever the size of the graph, and no score is too low by more than the residuals that
+    are left. Seeds outside the graph drop out; what a seed without edges would pass on returns to the seeds.
+    """
+    both = symmetric(edges)
+    out = both.groupBy("src").agg(F.sum("weight").alias("_out"), F.count("*").alias("_degree"))
+    steps = stored(both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("_share")), "steps")
+    degree = stored(out.select(F.col("src").alias("id"), "_degree"), "degree")
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    known = seeds.join(ids, "id", "left_semi").groupBy("qid", "id").agg(F.sum("weight").alias("weight"))
+    whole = known.groupBy("qid").agg(F.sum("weight").alias("_all"))
+    start = stored(known.join(whole, "qid").select("qid", "id", (F.col("weight") / F.col("_all")).alias("seed")), "start")
+    state = start.join(degree, "id", "left").select("qid", "id", "_degree", F.lit(0.0).alias("score"), F.col("seed").alias("rest"))
+    state = stored(state, "push")
+    for _ in range(most):
+        active = F.col("rest") > tolerance * F.coalesce("_degree", F.lit(1))
+        if not state.where(active).limit(1).count():
+            break
+        moving = state.where(active)
+        sent = moving.join(steps, moving["id"] == steps["src"]).select("qid", F.col("dst").alias("id"), (damping * F.col("rest") * F.col("_share")).alias("rest"))
+        lost = moving.where("_degree IS NULL").groupBy("qid").agg((damping * F.sum("rest")).alias("_lost"))
+        back = start.join(lost, "qid").select("qid", "id", (F.col("_lost") * F.col("seed")).alias("rest"))
+        kept = state.select("qid", "id", F.when(active, F.col("score") + (1 - damping) * F.col("rest")).otherwise(F.col("score")).alias("score"), F.when(active, 0.0).otherwise(F.col("rest")).alias("rest"))
+        comes = sent.unionByName(back).select("qid", "id", F.lit(0.0).alias("score"), "rest")
+        sums = kept.unionByName(comes).groupBy("qid", "id").agg(F.sum("score").alias("score"), F.sum("rest").alias("rest"))
+        state = stored(sums.join(degree, "id", "left").select("qid", "id", "_degree", "score", "rest"), "push")
+    return state.select("qid", "id", "score", "rest")
+
+
 def pagerank(seeds: DataFrame, edges: DataFrame, damping: float = 0.5, most: int = 50, tolerance: float = 1e-6) -> DataFrame:
     """qid, id, score: personalised PageRank of each query's ``seeds`` (qid, id, weight).
 

@@ -38,7 +38,9 @@ def counts(scopes: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     for name, records in tables.items():
         some = records.select("scope", F.lit(name).alias("_table"))
         rows = some if rows is None else rows.unionByName(some)
-    seen = in_scope(scopes, rows).groupBy("query_scope").agg(*[F.sum((F.col("_table") == n).cast("long")).alias(n) for n in tables])
+    # records are counted by their own scope first, so that the join has a row for each scope, however many records the root has
+    own = rows.groupBy("scope").agg(*[F.sum((F.col("_table") == n).cast("long")).alias(n) for n in tables])
+    seen = in_scope(scopes, own).groupBy("query_scope").agg(*[F.sum(n).alias(n) for n in tables])
     return scopes.select("query_scope").distinct().join(seen, "query_scope", "left").na.fill(0)
 
 

@@ -111,6 +111,31 @@ def export_bundle(tables: dict[str, tuple[DataFrame, list[str]]], path: str) ->
         rows.orderBy(*order).write.mode("overwrite").json(f"{path}/{name}")
 
 
+class Live(NamedTuple):
+    """A table of a snapshot: its rows, the condition of live ones, its order, and whose scope its rows have: their own (column scope), or that of a parent (column, table)."""
+
+    rows: DataFrame
+    live: Column | None = None
+    order: tuple[str, ...] = ("id",)
+    of: tuple[tuple[str, str], ...] = ()
+
+
+def snapshot(tables: dict[str, Live], scopes: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
+    """The live rows of ``tables`` that lie in ``scopes`` (scope), for ``export_bundle``; tables stand after those that their rows' scope comes from.
+
+    A row without a scope of its own comes with its parents: all that ``of`` names must be in the snapshot.
+    """
+    out: dict[str, tuple[DataFrame, list[str]]] = {}
+    for name, t in tables.items():
+        rows = t.rows if t.live is None else t.rows.where(t.live)
+        if not t.of:
+            rows = rows.join(scopes.select("scope").distinct(), "scope", "left_semi")
+        for column, parent in t.of:
+            rows = rows.join(out[parent][0].select(F.col("id").alias(column)).distinct(), column, "left_semi")
+        out[name] = rows.select(*t.rows.columns), list(t.order)
+    return out
+
+
 class Merge(NamedTuple):
     """How a table of a bundle comes in: its key, what becomes of known keys (keep, replace, or newer by ``order``), and the parents that a row needs (column, table)."""
 
