@@ -12,6 +12,10 @@ from memspark.operators.search import top
 from memspark.operators.stored import stored
 
 LEAST_GAIN, MOST_SWEEPS = 1e-12, 100
+#: Edges (in both directions) of a component that one task sweeps, at most; larger ones move in rounds over all tasks.
+MOST_EDGES = 4_000_000
+#: Rounds of parallel moves at most; the share of movers below which, and rounds without this much more modularity after which, they end.
+MOST_ROUNDS, LEAST_SHARE, CALM_ROUNDS, LEAST_RISE = 200, 1 / 64, 3, 1e-6
 # The order of observation categories in a summary; any other comes last.
 CATEGORY_ORDER = "decision architecture risk pattern convention gotcha learned dependency blocker preference progress general".split()
 LABEL_CHARACTERS, KEYWORDS, OBSERVATIONS = 80, 12, 8
@@ -41,15 +45,70 @@ def _moved(ids: list[str], neighbours: list[list[tuple[int, float]]], whole: flo
     return own
 
 
-def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _by_rounds(both: DataFrame, whole: float) -> DataFrame:
+    """id, community of the nodes of ``both`` (src, dst, weight, in both directions) by rounds of parallel moves.
+
+    In a round a node may move where modularity gains most, if none of its neighbours that want to move comes before it in the
+    round's random order: what a mover gains is exact but for other movers into the same community. A round after which modularity is lower is taken
+    back, and fewer may move. Every step is a join or an aggregate over edges, so no task holds a component.
+    """
+    degrees = both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree"))
+    now = stored(degrees.select("id", F.col("id").alias("community"), "degree"), "moves")
+    before, highest, share, calm = None, None, 1.0, 0
+    for turn in range(MOST_ROUNDS):
+        own = now.select(F.col("id").alias("src"), F.col("community").alias("own"), "degree")
+        into = both.join(now.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("k")).join(own, "src")
+        into = stored(into, "into")
+        totals = stored(now.groupBy("community").agg(F.sum("degree").alias("total")), "totals")
+        inside = into.where("community = own").agg(F.sum("k")).first()[0] or 0.0
+        spread = totals.agg(F.sum(F.col("total") * F.col("total"))).first()[0] or 0.0
+        modularity = inside / whole - spread / whole**2
+        if highest is not None and modularity < highest:
+            now, share = before, share / 2
+            if share < LEAST_SHARE:
+                break
+            highest = None  # the same state in another order, with fewer movers
+            continue
+        calm = calm + 1 if highest is not None and modularity - highest < LEAST_RISE else 0
+        if calm >= CALM_ROUNDS:
+            break
+        highest, share = modularity, min(1.0, 1.5 * share)
+        rows = into.join(totals, "community").join(totals.select(F.col("community").alias("own"), F.col("total").alias("_own")), "own")
+        gain = lambda k, total: 2 * k / whole - 2 * total * F.col("degree") / whole**2
+        best = F.min(F.when(F.col("community") != F.col("own"), F.struct((-gain(F.col("k"), F.col("total"))).alias("minus"), "community")))
+        stay = F.max(F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0))
+        found = rows.groupBy("src", "own", "degree", "_own").agg(best.alias("best"), stay.alias("k"))
+        movers = found.where(-F.col("best.minus") > gain(F.col("k"), F.col("_own") - F.col("degree")) + LEAST_GAIN)
+        order = F.xxhash64("src", F.lit(turn))
+        movers = stored(movers.select("src", F.col("best.community").alias("to"), order.alias("place")), "movers")
+        if not movers.limit(1).count():
+            break
+        held = both.join(movers.select("src", "place"), "src").join(movers.select(F.col("src").alias("dst"), F.col("place").alias("_other")), "dst").where("_other > place").select("src").distinct()
+        free = movers.join(held, "src", "left_anti").where(F.pmod("place", F.lit(1 << 20)) < share * (1 << 20))
+        before = now
+        moved = now.join(free.select(F.col("src").alias("id"), "to"), "id", "left")
+        now = stored(moved.select("id", F.coalesce("to", "community").alias("community"), "degree"), "moves")
+    lowest = now.groupBy("community").agg(F.min("id").alias("lowest"))
+    return now.join(lowest, "community").select("id", F.col("lowest").alias("community"))
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     """id, community (the lowest id of its members) by single-level modularity moves, each connected component by itself.
 
-    Gains couple components through the total weight only, so components are independent groups; a component is
-    handled by one task, and its size is this operator's limit.
+    Gains couple components through the total weight only, so components are independent groups. One of up to ``most_edges`` edges is swept in
+    id order by a task; a larger one moves in rounds over all tasks, to communities that needn't be those of the sweep. Without edges every node is
+    a community.
     """
     both = stored(graph.symmetric(edges), "both")
     whole = float(both.agg(F.sum("weight")).first()[0] or 0.0)
-    parts = graph.components(nodes, edges)
+    parts = stored(graph.components(nodes, edges), "components")
+    sizes = both.select(F.col("src").alias("id")).join(parts, "id").groupBy("component").agg(F.count("*").alias("n"))
+    giants = stored(sizes.where(F.col("n") > most_edges).select("component"), "giants")
+    large = None
+    if giants.limit(1).count():  # whole / most_edges of them at most
+        inside = parts.join(F.broadcast(giants), "component", "left_semi").select(F.col("id").alias("src"))
+        large = _by_rounds(stored(both.join(inside, "src", "left_semi"), "giant_edges"), whole)
+        parts = parts.join(F.broadcast(giants), "component", "left_anti")
     rows = parts.join(both.withColumnRenamed("src", "id"), "id", "left").select("component", "id", "dst", "weight")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -65,7 +124,8 @@ def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             lowest.setdefault(c, v)
         return pd.DataFrame({"id": ids, "community": [lowest[c] for c in own]})
 
-    return rows.groupBy("component").applyInPandas(run, "id string, community string")
+    small = rows.groupBy("component").applyInPandas(run, "id string, community string")
+    return small if large is None else small.unionByName(large.select(F.col("id").cast("string").alias("id"), F.col("community").cast("string").alias("community")))
 
 
 def theme_labels(members: DataFrame) -> DataFrame:

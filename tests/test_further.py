@@ -185,3 +185,34 @@ def test_transcript_function_agrees_with_parser(spark):
     files = spark.createDataFrame([("claude", "\n".join(lines))], "agent string, raw string")
     got = [(r.role, r.text) for r in spark.sql("SELECT p.* FROM {f} f, LATERAL parse_transcript(f.agent, f.raw) p ORDER BY p.idx", f=files).collect()]
     assert got == [(r.role, r.text) for r in parse_jsonl(rows).orderBy("idx").collect()]
+
+
+def modularity(edges, community):
+    whole = 2 * sum(w for _, _, w in edges)
+    degree, inside = {}, 0.0
+    for a, b, w in edges:
+        degree[community[a]] = degree.get(community[a], 0) + w
+        degree[community[b]] = degree.get(community[b], 0) + w
+        inside += 2 * w * (community[a] == community[b])
+    return inside / whole - sum((d / whole) ** 2 for d in degree.values())
+
+
+def test_communities_by_rounds(spark):
+    from memspark.operators import communities
+
+    rnd = random.Random(4)
+    group = {f"n{i:03d}": i % 6 for i in range(120)}
+    names = sorted(group)
+    edges = {}
+    while len(edges) < 700:
+        a, b = sorted(rnd.sample(names, 2))
+        if group[a] == group[b] or rnd.random() < 0.06:
+            edges[a, b] = 1.0 + rnd.random()
+    edges = [(a, b, w) for (a, b), w in sorted(edges.items())] + [("x", "y", 1.0), ("y", "z", 1.0)]
+    nodes = spark.createDataFrame([(n,) for n in [*names, "x", "y", "z", "alone"]], "id string")
+    df = spark.createDataFrame(edges, "src string, dst string, weight double")
+    swept = {r.id: r.community for r in communities.louvain(nodes, df).collect()}
+    rounds = {r.id: r.community for r in communities.louvain(nodes, df, most_edges=50).collect()}
+    assert set(rounds) == set(swept) and all(rounds[n] == swept[n] for n in ("x", "y", "z", "alone"))
+    assert modularity(edges, rounds) >= 0.97 * modularity(edges, swept)
+    assert all(c == min(n for n in rounds if rounds[n] == c) for c in set(rounds.values()))
