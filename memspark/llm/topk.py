@@ -25,8 +25,9 @@ from memspark.llm.store import stored
 
 #: Norm buckets, levels of queries by the length they need.
 BUCKETS, LEVELS = 16, 8
-#: Components of a shard and queries of a chunk, at most on average.
-SHARD_CELLS, CHUNK = 1 << 19, 1024
+#: Components of a shard, and of a chunk of queries, at most on average: 16 MB each. A vector is sent to each chunk that it may meet, and a query to
+#: each shard, so the larger both are the fewer copies there are.
+SHARD_CELLS, CHUNK_CELLS = 1 << 21, 1 << 21
 #: Local thresholds from which coordinates prune; below, lengths do.
 BY_COORDINATE = 0.9
 #: Coordinates that are looked at: those where the query is largest.
@@ -173,7 +174,8 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, key
     rows = rows.withColumn("_shard", F.floor(F.col("_u") * n_shards).cast("int"))
     asked = rows.where(F.col("id") % every == 0).groupBy("id", "v").agg(F.min("_length").alias("_length"))
     dealt = lambda n: F.pmod(F.xxhash64("id", "v"), n).cast("int").alias("_chunk")
-    chunks = max(1, -(-asked.count() // CHUNK))
+    width = max(1, *(r["width"] for r in per))
+    chunks = max(1, -(-asked.count() * width // CHUNK_CELLS))
     top = max(shards)
     asked = stored(asked, "asked")
     first = asked.select(F.lit(0).alias("_level"), dealt(F.lit(chunks)), "id", "v", F.lit(None).cast("double").alias("_bound"))
@@ -186,7 +188,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, key
     steps = sorted(set(asked.approxQuantile("_need", [i / LEVELS for i in range(1, LEVELS)], 0.005)))
     asked = asked.withColumn("_level", sum((F.when(F.col("_need") >= e, 1).otherwise(0) for e in steps), F.lit(0)))
     levels = asked.groupBy("_level").agg(F.count("*").alias("n"), F.min("_need").alias("least")).collect()  # LEVELS rows at most
-    chunks = {r["_level"]: max(1, -(-r["n"] // CHUNK)) for r in levels}
+    chunks = {r["_level"]: max(1, -(-r["n"] * width // CHUNK_CELLS)) for r in levels}
     least = {r["_level"]: r["least"] for r in levels}
     n_chunks = F.element_at(F.array(*[F.lit(chunks.get(i, 1)) for i in range(LEVELS)]), (F.col("_level") + 1).cast("int"))
     meets = lambda level, b: b != top and longest[b] >= least[level]

@@ -318,7 +318,7 @@ def test_top_k_of_large_components(spark, monkeypatch):
     from memspark.llm import topk
 
     monkeypatch.setattr(topk, "SHARD_CELLS", 256)
-    monkeypatch.setattr(topk, "CHUNK", 4)
+    monkeypatch.setattr(topk, "CHUNK_CELLS", 12)
     rnd = random.Random(2)
     for size in (1e3, 1e8, 1e15):
         data = [(i, [rnd.choice((1, 1, 9, 40)) * rnd.uniform(-size, size) for _ in range(4)]) for i in range(200)]
