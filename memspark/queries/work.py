@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from memspark.functions import enums
 from memspark.operators import capture, commands, detail, embed, evaluate, evidence, listing, search
-from memspark.plans import assist
+from memspark.operators.stored import stored
+from memspark.plans import assist, mapping
+from memspark.plans.lift import reflection_lift
 from memspark.sources import datasets
 from memspark.streaming.workers import changed_files, tail
 from memspark.tables import table
@@ -424,15 +426,25 @@ def s15p(spark, sf_dir):
 # comparisons
 
 
+def _pooled(spark, sf_dir):
+    """Runs of the benchmark items over the documents by three modes, and judgements of what they found: a document is relevant that holds the item's first words."""
+    d = table(spark, sf_dir, "documents")
+    records = d.select(C("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), C("text").alias("content"))
+    queries = table(spark, sf_dir, "benchmark").select(C("item_id").alias("qid"), C("text").alias("query"))
+    vectors = stored(search.hash_embedding(records.select("id", "content")), "vectors")
+    runs = {mode: stored(assist.find(queries, records, mode, vectors=vectors).select("qid", "id", "rank"), mode) for mode in ("keyword", "semantic", "hybrid")}
+    pool = runs["keyword"].unionByName(runs["semantic"]).unionByName(runs["hybrid"]).select("qid", "id").distinct()
+    held = F.contains("content", F.substring("query", 1, 60))
+    qrels = pool.join(queries, "qid").join(records.select("id", "content"), "id").select("qid", "id", held.cast("int").alias("grade"))
+    return queries, records, runs, stored(qrels.where("grade > 0"), "judged")
+
+
 @register("e6_e8_mode_comparison")
 def e8(spark, sf_dir):
-    """Documents by length against two other orders, as modes of retrieval of each source's good documents."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    qrels = d.where("quality IS NOT NULL").select(C("source").alias("qid"), C("doc_id").alias("id"), C("quality").alias("grade"))
-    orders = {"hybrid": [C("n_chars").desc(), C("doc_id")], "keyword": [C("n_chars"), C("doc_id")], "semantic": [F.md5(C("doc_id").cast("string"))]}
+    """Hybrid search against keywords and vectors alone, over the benchmark items."""
+    queries, _, runs, qrels = _pooled(spark, sf_dir)
     rows = None
-    for mode, order in orders.items():
-        run = search.top(d, ["source"], order, 10).select(C("source").alias("qid"), C("doc_id").alias("id"), "rank")
+    for mode, run in runs.items():
         one = evaluate.metrics(run, qrels).select(F.lit(mode).alias("mode"), "qid", C("ndcg_10").alias("x"))
         rows = one if rows is None else rows.unionByName(one)
     return evaluate.compare_modes(rows)
@@ -440,15 +452,15 @@ def e8(spark, sf_dir):
 
 @register("e11_reflection_lift")
 def e11(spark, sf_dir):
-    """Keyword search of the benchmark items over documents, before and after each source's first line is added as a summary that is judged too."""
-    d = table(spark, sf_dir, "documents")
-    queries = table(spark, sf_dir, "benchmark").select(C("item_id").alias("qid"), C("text").alias("query"))
-    records = d.select(C("doc_id").cast("string").alias("id"), C("text").alias("content"))
-    summary = d.groupBy(F.concat(F.lit("summary-"), "source").alias("id")).agg(F.max(F.substring_index("text", "\n", 1)).alias("content"))
-    before, after = search.keyword_search(queries, records), search.keyword_search(queries, records.unionByName(summary))
-    judged = d.join(table(spark, sf_dir, "labels"), "doc_id").where("quality = 1").select(C("doc_id").cast("string").alias("id")).unionByName(summary.select("id")).withColumn("grade", F.lit(1))
-    hits = before.select("qid", "id").unionByName(after.select("qid", "id")).distinct()
-    return evaluate.lift(before, after, hits.join(judged, "id"))
+    """Keyword search of the benchmark items before and after the themes of the supplier-part graph are indexed; documents are observations of suppliers."""
+    queries, records, _, qrels = _pooled(spark, sf_dir)
+    n = table(spark, sf_dir, "supplier").count()
+    nodes = mapping.entities(spark, sf_dir).select("id", C("id").alias("name"))
+    observed = mapping.observations(spark, sf_dir).where("valid_to IS NULL").select("id", F.concat(F.lit("s"), (C("id") % n + 1).cast("string")).alias("entity_id"), "content", "category", "confidence", F.lit(1.0).alias("salience"))
+    text = lambda df: df.withColumn("id", C("id").cast("string"))
+    found = reflection_lift(nodes, mapping.relations(spark, sf_dir), observed, queries, text(records.select("id", "content")), text(qrels), most=1_000_000)
+    counts = found.rerun.select(F.explode(F.array(*[F.struct(F.lit(f"rerun_{c}").alias("metric"), C(c).cast("double").alias("before")) for c in found.rerun.columns])).alias("x")).select("x.*")
+    return found.metrics.unionByName(counts.select("metric", "before", C("before").alias("after"), F.lit(0.0).alias("lift")))
 
 
 # bundles, counts, briefings
