@@ -7,14 +7,14 @@ are built when first met, and each transition carries the change of the token co
 states and counts, and maps of adjacent chunks compose. Second, a space after a character that is no white space always
 begins a new pre-token, whatever came before: there every state leads to the start state. Chunks between such places
 (units) are mostly words; their maps are constant, so the prefix scan over all units of a slice of texts is one
-cumulative sum, and equal units are worked out once. A pre-token of any length is cut into chunks of CHUNK bytes, whose maps are
-composed state by state.
+cumulative sum, and equal units are worked out once. A pre-token of any length is cut into chunks of CHUNK bytes. Each chunk's map is made
+without its predecessor's, for the states that the bytes before it lead to, and the maps are composed by the tree of a parallel prefix scan.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ CHUNK, SLICE = 1 << 12, 1 << 21
 MOST_STATES, MOST_UNITS, REMEMBERED = 250_000, 500_000, 64
 # Fixed value: the published pre-token pattern of this kind of vocabulary.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Bytes before a chunk from which its entry states are guessed.
+LOOK_BACK = (24, 48, 96)
 _NOWHERE = (b"", 0)
 _MARKS = frozenset(",.;:!?")
 _SPACE = byte_table(bytes([0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]))
@@ -157,10 +159,17 @@ class Transducer:
 
 
 class ChunkMap:
-    """What a chunk does to a state of the transducer: entry state to (exit state, tokens). Entries are worked out when asked for."""
+    """What a chunk does to states of the transducer: entry state to (exit state, tokens).
 
-    def __init__(self, transducer: Transducer, chunk: bytes):
+    A map is made of the chunk alone and the LOOK_BACK bytes before it: its entries are the states that these bytes lead to from the start
+    state, begun at several places, as the state soon forgets what came earlier. An entry that isn't among them is worked out when a
+    composition asks for it, so the result doesn't depend on the guess.
+    """
+
+    def __init__(self, transducer: Transducer, chunk: bytes, before: bytes = b""):
         self.transducer, self.chunk, self.known = transducer, chunk, {}
+        for state in {transducer.run(0, before[-n:])[0] for n in LOOK_BACK} if before else (0,):
+            self(state)
 
     def __call__(self, state: int) -> tuple[int, int]:
         found = self.known.get(state)
@@ -169,13 +178,30 @@ class ChunkMap:
         return found
 
 
-def prefix_scan(maps: Iterable[ChunkMap], state: int) -> Iterator[tuple[int, int]]:
-    """(exit state, tokens) of every prefix of the chunks, entered in ``state``: the running composition of their maps."""
-    total = 0
-    for m in maps:
-        state, n = m(state)
-        total += n
-        yield state, total
+class Composed:
+    """The map of adjacent chunks: the entries of the left one, led on by the right one."""
+
+    def __init__(self, left: ChunkMap | Composed, right: ChunkMap | Composed):
+        self.left, self.right, self.known = left, right, {}
+        for state in left.known:
+            self(state)
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        found = self.known.get(state)
+        if found is None:
+            middle, n = self.left(state)
+            end, more = self.right(middle)
+            found = self.known[state] = end, n + more
+        return found
+
+
+def prefix_scan(maps: list[ChunkMap | Composed]) -> list[ChunkMap | Composed]:
+    """The map of every prefix of ``maps``, by the tree of a parallel scan: neighbours are composed in pairs, the scan of the pairs fills every second
+    prefix, and one more composition each the others."""
+    if len(maps) < 2:
+        return list(maps)
+    pairs = prefix_scan([Composed(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)])
+    return [maps[0], *(pairs[i // 2] if i % 2 else Composed(pairs[i // 2 - 1], m) for i, m in enumerate(maps[1:], 1))]
 
 
 class Units(dict):
@@ -201,10 +227,9 @@ class Units(dict):
     def pre_token(self, piece: bytes) -> int:
         if len(piece) <= self.chunk:
             return self.transducer.count(piece)
-        maps = (ChunkMap(self.transducer, piece[i : i + self.chunk]) for i in range(0, len(piece), self.chunk))
-        n = 0
-        for _, n in prefix_scan(maps, 0):
-            pass
+        places = range(0, len(piece), self.chunk)
+        maps = [ChunkMap(self.transducer, piece[i : i + self.chunk], piece[max(0, i - LOOK_BACK[-1]) : i]) for i in places]
+        _, n = prefix_scan(maps)[-1](0)
         self.transducer.tidy()
         return n
 
