@@ -52,6 +52,7 @@ def summaries(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     mix = events.groupBy("capture_session", "source_type").agg(F.count("*").alias("n"))
     mix = mix.groupBy("capture_session").agg(F.sum("n").alias("_n"), F.array_join(F.array_sort(F.collect_list(F.concat("source_type", F.lit(": "), F.col("n").cast("string")))), ", ").alias("_mix"))
     more = F.when(F.col("_n") > SUMMARY_LINES, F.format_string("\n- ... %d more events", F.col("_n") - SUMMARY_LINES)).otherwise("")
+    # fixed values: the wording of a summary, which must be the same wherever it is written
     content = F.concat(F.format_string("Automatic coding capture summary.\nCaptured events summarized: %d\nSource mix: %s\n\nRecent captured evidence:\n", "_n", "_mix"), "_lines", more)
     both = shown.join(mix, "capture_session").withColumn("_content", content)
     key = lambda prefix: F.concat(F.lit(prefix), "_newest")

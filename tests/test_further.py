@@ -216,3 +216,21 @@ def test_communities_by_rounds(spark):
     assert set(rounds) == set(swept) and all(rounds[n] == swept[n] for n in ("x", "y", "z", "alone"))
     assert modularity(edges, rounds) >= 0.97 * modularity(edges, swept)
     assert all(c == min(n for n in rounds if rounds[n] == c) for c in set(rounds.values()))
+
+
+def test_reflection_lift(spark):
+    from memspark.plans.lift import reflection_lift
+
+    nodes = spark.createDataFrame([(n, n) for n in "abcxyz"], "id string, name string")
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("x", "y", 1.0), ("y", "z", 1.0), ("x", "z", 1.0)], "src string, dst string, weight double")
+    facts = [(1, "a", "the parser fails on long lines"), (2, "b", "parser speed matters"), (3, "x", "orders ship by train"), (4, "y", "train times change")]
+    observed = spark.createDataFrame([(i, e, c, "general", 0.9, 1.0) for i, e, c in facts], "id int, entity_id string, content string, category string, confidence double, salience double")
+    records = spark.createDataFrame([(str(i), c) for i, _, c in facts] + [(str(i), "something else") for i in range(10, 20)], "id string, content string")
+    queries = spark.createDataFrame([("q", "parser speed train")], "qid string, query string")
+    qrels = spark.createDataFrame([("q", "2", 1)], "qid string, id string, grade int")
+    found = reflection_lift(nodes, edges, observed, queries, records, qrels)
+    assert found.rerun.first().asDict() == {"themes": 2, "new": 0, "differing": 0}
+    values = {r.metric: (r.before, r.after, r.lift) for r in found.metrics.collect()}
+    assert values and all(abs(after - before - up) < 1e-5 for before, after, up in values.values())
+    # the theme that tells of the judged record is found too
+    assert any(up != 0 for _, _, up in values.values())
