@@ -26,11 +26,11 @@ def register(name: str, sql: str):
 
 
 @register("st1_keyed_ingest", f"""WITH e AS (SELECT 'u/' || (user_id % 50) AS scope, [{', '.join(map(repr, SOURCES))}][event_id % {len(SOURCES)} + 1] AS source_type, event_type || ' of ' || (user_id % 50) AS text FROM events)
-  SELECT scope, source_type, text, CASE WHEN source_type IN {DEDUP_SOURCES} THEN 1 ELSE count(*) END AS n FROM e GROUP BY ALL""")
+  SELECT scope, source_type, text, CASE WHEN source_type IN {DEDUP_SOURCES} THEN 1 ELSE count(*) END AS n FROM e GROUP BY 1, 2, 3""")
 def st1(spark, sf_dir):
     """Events as a stream of captures, from sources whose repeats drop and from others."""
     given = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(given.schema).parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(given.schema).parquet(f"{sf_dir}/{{events}}.parquet")  # a pattern: a stream's path may not be one file
     source = F.element_at(F.array(*map(F.lit, SOURCES)), (C("event_id") % len(SOURCES) + 1).cast("int"))
     user = (C("user_id") % 50).cast("string")
     events = stream.select(
