@@ -7,9 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.functions import scoring
-from memspark.operators import evidence, search
-from memspark.operators.changes import first_of
+from memspark.functions import scoring, text
+from memspark.operators import evidence, listing, search
+from memspark.operators.changes import emitted, first_of
 from memspark.operators.stored import stored
 
 
@@ -93,6 +93,67 @@ def handoffs(sessions: DataFrame, decisions: DataFrame, state: DataFrame, k: int
     return out.select("id", F.concat(F.lit("Goal: "), "goal", F.lit("\nDecisions:\n"), F.coalesce("_d", none), F.lit("\nState:\n"), F.coalesce("_s", none)).alias("context"))
 
 
+# Lines of a handoff's text.
+NOTHING, NO_GOAL = "- None recorded.", "No goal recorded"
+HANDOFF_ENDS = "Start from the remaining items and verify current repository state before editing."
+
+
+def _section(title: str, lines: Column) -> Column:
+    """A section of a handoff's text: its title, and its lines or the note that there are none; ``lines`` may be null."""
+    return F.concat(F.lit(f"\n## {title}\n"), F.coalesce(F.nullif(lines, F.lit("")), F.lit(NOTHING)), F.lit("\n"))
+
+
+def hand_off(sessions: DataFrame, asked: DataFrame, decisions: DataFrame, state: DataFrame, at: Column, k: int = 10) -> dict[str, DataFrame]:
+    """``sessions`` after the handoffs that are ``asked``, the new ``events``, the ``contexts`` (id, child_session, context), and what was ``rejected`` (place, error).
+
+    ``asked`` (place, project, id) names a session, or with a null id the latest active one of its project. A session
+    that is handed off is closed and names its child, which goes on with its type, project, scope and goal; ids of children
+    are hashes of the parent's, so reruns agree. A session that is asked for several times, by id or as the latest, is handed
+    off once, for the smallest place. Rejected: ids that don't exist or aren't active, projects without an active session.
+
+    ``sessions``: id, session_type, project, scope, goal, status, parent_session, child_session, handoff_context, started_at, ended_at,
+    summary, and the arrays accomplishments, remaining and files_changed, which may be null. The text has the ``k`` latest
+    ``decisions`` (id, decided_in, title, created_at) of the session and the first ``k`` of the open ``state`` (key, scope, title, status,
+    updated_at) that its scope sees. Each scope's state is cut before scopes that see it are joined.
+    """
+    active = sessions.where("status = 'active'")
+    latest = first_of(active, ["project"], [F.col("started_at").desc_nulls_last(), F.col("id").desc()]).select("project", F.col("id").alias("_latest"))
+    wanted = asked.select("place", "project", "id").join(latest, "project", "left").select("place", F.coalesce("id", "_latest").alias("id"))
+    known = sessions.select("id", F.col("status").alias("_status"))
+    wanted = stored(wanted.join(known, "id", "left"), "asked")
+    error = F.when(F.col("id").isNull(), "no active session").when(F.col("_status").isNull(), "not found").when(F.col("_status") != "active", F.concat(F.lit("already "), "_status"))
+    rejected = wanted.select("place", error.alias("error")).where("error IS NOT NULL")
+    parents = sessions.join(wanted.where("_status = 'active'").select("id").distinct(), "id", "left_semi")
+    child = F.substring(F.sha2(F.concat_ws("\u001f", F.lit("handoff"), "id"), 256), 1, 26)
+
+    joined = lambda rows, by: rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: F.concat(F.lit("- "), x["line"])), "\n").alias("_lines"))
+    made = decisions.join(parents.select(F.col("id").alias("decided_in")), "decided_in", "left_semi")
+    made = search.top(made, ["decided_in"], [F.col("created_at").desc_nulls_last(), F.col("id").desc()], k).withColumn("line", F.concat("id", F.lit(": "), "title"))
+    made = joined(made, "decided_in").select(F.col("decided_in").alias("id"), F.col("_lines").alias("_decisions"))
+    seen = listing.list_records(parents.select(F.col("scope").alias("query_scope")).distinct(), state, [F.col("updated_at").desc_nulls_last(), F.col("key")], k)
+    seen = joined(seen.withColumn("line", F.format_string("%s: %s [%s]", "key", "title", "status")), "query_scope")
+    both = parents.join(made, "id", "left").join(seen.select(F.col("query_scope").alias("scope"), F.col("_lines").alias("_state")), "scope", "left")
+    items = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
+    head = {"Parent session": F.col("id"), "Tool": F.col("session_type"), "Project": F.col("project"), "Scope": text.display_scope(F.col("scope")), "Goal": F.coalesce("goal", F.lit(NO_GOAL))}
+    context = F.concat(
+        F.lit("# Handoff\n\n"), *[F.concat(F.lit(f"- {name}: "), F.coalesce(value, F.lit("")), F.lit("\n")) for name, value in head.items()],
+        _section("Summary", F.trim("summary")), _section("Accomplishments", items("accomplishments")), _section("Remaining", items("remaining")),
+        _section("Files Changed", items("files_changed")), _section("Decisions Made", F.col("_decisions")), _section("Relevant Active Work", F.col("_state")),
+        F.lit(f"\n{HANDOFF_ENDS}\n"),
+    )
+    given = both.select("id", "session_type", "project", "scope", "goal", child.alias("child_session"), context.alias("context"))
+    given = stored(given, "handoffs")
+    closed = sessions.join(given.select("id", F.col("child_session").alias("_child"), F.col("context").alias("_context")), "id", "left")
+    ends = {"status": F.lit("handed-off"), "child_session": F.col("_child"), "handoff_context": F.col("_context"), "ended_at": at}
+    closed = closed.withColumns({c: F.when(F.col("_child").isNotNull(), new).otherwise(F.col(c)) for c, new in ends.items()}).select(*sessions.columns)
+    opened = given.select(F.col("child_session").alias("id"), "session_type", "project", "scope", "goal", F.lit("active").alias("status"), F.col("id").alias("parent_session"), at.alias("started_at"))
+    event = lambda kind, target: emitted(given, F.lit(kind), F.col(target), at)
+    return {
+        "sessions": closed.unionByName(opened, allowMissingColumns=True), "events": event("session_handoff", "id").unionByName(event("session_started", "child_session")),
+        "contexts": given.select("id", "child_session", "context"), "rejected": rejected,
+    }
+
+
 def lineage(sessions: DataFrame) -> DataFrame:
     """id, root, depth along parent_session, by doubling the distance that each step jumps."""
     hop = stored(sessions.select("id", F.coalesce("parent_session", "id").alias("root"), F.col("parent_session").isNotNull().cast("long").alias("depth")), "lineage")

@@ -68,6 +68,45 @@ def r11(spark, sf_dir):
     return assist.handoffs(sessions, decisions, state)
 
 
+def _line(parts: str) -> str:
+    """SQL of a text whose parts are joined; ~ stands for a line feed."""
+    return parts.replace("~", "' || chr(10) || '")
+
+
+_HANDOFF_SQL = _line("""WITH s AS (SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS project, 'r/' || (o_custkey % 5) AS scope, o_orderpriority AS goal, o_orderstatus AS st, o_orderkey % 3 = 0 AS has, o_orderdate AS d FROM orders),
+  l AS (SELECT project, id FROM s WHERE st = 'O' QUALIFY row_number() OVER (PARTITION BY project ORDER BY d DESC, id DESC) = 1),
+  w AS (SELECT DISTINCT CASE WHEN c_custkey % 2 = 1 THEN c_custkey::VARCHAR ELSE l.id END AS id FROM customer LEFT JOIN l ON project = c_custkey::VARCHAR), p AS (SELECT * FROM s JOIN w USING (id) WHERE st = 'O'),
+  m AS (SELECT l_orderkey::VARCHAR AS id, l_linenumber || ': ' || l_returnflag AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber::VARCHAR DESC) AS n FROM lineitem),
+  md AS (SELECT id, string_agg('- ' || line, chr(10) ORDER BY n) AS made FROM m WHERE n <= 3 GROUP BY id),
+  t AS (SELECT 'r/' || (s_suppkey % 5) AS scope, 's' || s_suppkey AS key, s_suppkey % 7 AS u, s_nationkey AS k FROM supplier UNION ALL SELECT '', 'n' || n_nationkey, n_nationkey % 7, n_nationkey FROM nation),
+  v AS (SELECT q.scope, key || ': ' || k || ' [blocked]' AS line, row_number() OVER (PARTITION BY q.scope ORDER BY u DESC, key) AS n FROM (SELECT DISTINCT scope FROM p) q JOIN t ON t.scope IN ('', q.scope)),
+  sd AS (SELECT scope, string_agg('- ' || line, chr(10) ORDER BY n) AS state FROM v WHERE n <= 3 GROUP BY scope)
+  SELECT id, substr(sha256('handoff' || chr(31) || id), 1, 26) AS child_session, '# Handoff~~- Parent session: ' || id || '~- Tool: codex~- Project: ' || project || '~- Scope: ' || scope || '~- Goal: ' || goal || '~~## Summary~'
+   || CASE WHEN has THEN 'done' ELSE '- None recorded.' END || '~~## Accomplishments~' || CASE WHEN has THEN '- ' || goal || '~- two' ELSE '- None recorded.' END || '~~## Remaining~- None recorded.~~## Files Changed~- None recorded.~~## Decisions Made~'
+   || coalesce(made, '- None recorded.') || '~~## Relevant Active Work~' || coalesce(state, '- None recorded.') || '~~Start from the remaining items and verify current repository state before editing.~' AS context
+  FROM p LEFT JOIN md USING (id) LEFT JOIN sd USING (scope)""")
+
+
+@register("r11_handoff_chain", _HANDOFF_SQL)
+def r11c(spark, sf_dir):
+    """Each customer hands off: those with an odd number the order of that number, the others the latest open order of their own."""
+    orders, at = table(spark, sf_dir, "orders"), F.lit("2025-01-01 00:00:00").cast("timestamp")
+    status = F.when(C("o_orderstatus") == "O", "active").otherwise("completed")
+    none, has = F.lit(None), C("o_orderkey") % 3 == 0
+    sessions = orders.select(
+        C("o_orderkey").cast("string").alias("id"), F.lit("codex").alias("session_type"), C("o_custkey").cast("string").alias("project"), F.concat(F.lit("r/"), (C("o_custkey") % 5).cast("string")).alias("scope"),
+        C("o_orderpriority").alias("goal"), status.alias("status"), none.cast("string").alias("parent_session"), none.cast("string").alias("child_session"), none.cast("string").alias("handoff_context"),
+        C("o_orderdate").cast("timestamp").alias("started_at"), none.cast("timestamp").alias("ended_at"), F.when(has, " done ").alias("summary"), F.when(has, F.array("o_orderpriority", F.lit("two"))).alias("accomplishments"),
+        F.array().cast("array<string>").alias("remaining"), none.cast("array<string>").alias("files_changed"),
+    )
+    customer = C("c_custkey").cast("string")
+    asked = table(spark, sf_dir, "customer").select(C("c_custkey").alias("place"), customer.alias("project"), F.when(C("c_custkey") % 2 == 1, customer).alias("id"))
+    decisions = table(spark, sf_dir, "lineitem").select(C("l_linenumber").cast("string").alias("id"), C("l_orderkey").cast("string").alias("decided_in"), C("l_returnflag").alias("title"), C("l_shipdate").alias("created_at"))
+    work = lambda name, scope, mark, key, place: table(spark, sf_dir, name).select(scope.alias("scope"), F.concat(F.lit(mark), C(key).cast("string")).alias("key"), C(place).cast("string").alias("title"), F.lit("blocked").alias("status"), (C(key) % 7).alias("updated_at"))
+    state = work("supplier", F.concat(F.lit("r/"), (C("s_suppkey") % 5).cast("string")), "s", "s_suppkey", "s_nationkey").unionByName(work("nation", F.lit(""), "n", "n_nationkey", "n_nationkey"))
+    return assist.hand_off(sessions, asked, decisions, state, at, 3)["contexts"]
+
+
 @register("w9_session_lineage", "SELECT event_id AS id, event_id - (event_id % 64) AS root, event_id % 64 AS depth FROM events")
 def w9(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(C("event_id").alias("id"), F.when(C("event_id") % 64 > 0, C("event_id") - 1).alias("parent_session"))
