@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memspark.functions import facts
 from memspark.operators import evidence, graph, search
 from memspark.plans import mapping
 from memspark.tables import table
@@ -79,18 +78,6 @@ def b6(spark, sf_dir):
     return evidence.supersede_decisions(rows, rows.where("id % 5 = 0").select("id", (C("id") - 3).alias("supersedes")))
 
 
-@register("j12_b2_slot_conflicts", """SELECT a.event_id AS old, b.event_id AS new, CASE WHEN a.event_type = b.event_type THEN 'no_conflict' WHEN a.event_id % 3 = 0 THEN 'auto_supersede' WHEN a.event_id % 3 = 1 THEN 'no_conflict' ELSE 'review' END AS verdict
-  FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id % 3 = b.event_id % 3 AND a.event_id < b.event_id AND b.event_id - a.event_id < 300""")
-def b2(spark, sf_dir):
-    names = F.element_at(F.array(*map(F.lit, ("Works At", "tags", "colour"))), (C("event_id") % 3 + 1).cast("int"))
-    e = table(spark, sf_dir, "events").select("event_id", C("user_id").cast("string").alias("subject"), names.alias("predicate"), C("event_type").alias("value"))
-    a, b = e.select(*[C(c).alias(f"a_{c}") for c in e.columns]), e.select(*[C(c).alias(f"b_{c}") for c in e.columns])
-    same = (facts.normal_value(C("a_subject")) == facts.normal_value(C("b_subject"))) & (facts.normal_predicate(C("a_predicate")) == facts.normal_predicate(C("b_predicate")))
-    pairs = a.join(b, same & (C("a_event_id") < C("b_event_id")) & (C("b_event_id") - C("a_event_id") < 300))
-    verdict = facts.slot_verdict(*[C(f"{s}_{c}") for s in "ab" for c in ("subject", "predicate", "value")])
-    return pairs.select(C("a_event_id").alias("old"), C("b_event_id").alias("new"), verdict.alias("verdict"))
-
-
 _SLOTS = """SELECT user_id::VARCHAR AS subject, ['employer', 'tags', 'colour'][event_id % 3 + 1] AS predicate, lower(event_type) AS value, event_id AS id FROM events"""
 
 

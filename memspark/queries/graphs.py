@@ -39,8 +39,8 @@ def scoped(spark, sf_dir):
 
 
 def hops(spark, sf_dir):
-    """Two steps around the suppliers of nation/3, over edges with weight > 1."""
-    roots = mapping.entities(spark, sf_dir).where("scope = 'nation/3'").select(C("id").alias("root"))
+    """Two steps around the suppliers of all nations, over edges with weight > 1."""
+    roots = mapping.entities(spark, sf_dir).where("entity_type = 'supplier'").select(C("id").alias("root"))
     return graph.neighbourhood(roots, mapping.relations(spark, sf_dir).where("weight > 1"), 2)
 
 
@@ -49,7 +49,8 @@ def components(spark, sf_dir):
 
 
 def ranks(spark, sf_dir):
-    seeds = mapping.entities(spark, sf_dir).where("scope = 'nation/3'").select(C("scope").alias("qid"), "id", F.lit(1.0).alias("weight"))
+    """The suppliers of each nation as a seed set, for three rounds."""
+    seeds = mapping.entities(spark, sf_dir).where("entity_type = 'supplier'").select(C("scope").alias("qid"), "id", F.lit(1.0).alias("weight"))
     return graph.pagerank(seeds, mapping.relations(spark, sf_dir), most=3, tolerance=0.0).select("qid", "id", F.round("score", 8).alias("score"))
 
 
@@ -93,8 +94,8 @@ QUERIES = {
 }
 _WITH = f"WITH RECURSIVE {mapping.ENTITIES_SQL}, {mapping.RELATIONS_SQL}, both_ AS (SELECT src, dst, weight FROM relations UNION ALL SELECT dst, src, weight FROM relations)"
 _DEGREES = f"{_WITH}, d AS (SELECT id, count(src) AS degree FROM entities LEFT JOIN both_ ON id = src GROUP BY id)"
-_STEP = """{n} AS (SELECT id, sum(x) AS score FROM (
-  SELECT b.dst AS id, 0.5 * {p}.score * b.weight / o.t AS x FROM {p} JOIN both_ b ON {p}.id = b.src JOIN outs o ON o.src = b.src UNION ALL SELECT id, 0.5 * score FROM s0) GROUP BY id)"""
+_STEP = """{n} AS MATERIALIZED (SELECT qid, id, sum(x) AS score FROM (
+  SELECT qid, b.dst AS id, 0.5 * {p}.score * b.weight / o.t AS x FROM {p} JOIN both_ b ON {p}.id = b.src JOIN outs o ON o.src = b.src UNION ALL SELECT qid, id, 0.5 * score FROM s0) GROUP BY qid, id)"""
 # labels spread by a step; ten steps reach all of a graph of suppliers that share parts
 _SPREAD = """{n} AS MATERIALIZED (SELECT id, min(c) AS c FROM (SELECT id, c FROM {p} UNION ALL SELECT b.dst, c FROM {p} JOIN both_ b ON b.src = id) GROUP BY id)"""
 COMPONENTS_SQL = f"{_WITH}, l0 AS (SELECT id, id AS c FROM entities), {', '.join(_SPREAD.format(n=f'l{i + 1}', p=f'l{i}') for i in range(10))}"
@@ -104,15 +105,15 @@ ORACLE_SQL = {
     "j3_degrees": f"{_DEGREES} SELECT * FROM d",
     "g6_weighted_degree": f"{_WITH} SELECT src AS id, sum(weight) AS degree FROM both_ GROUP BY src",
     "g3_scope_subgraph": f"{_WITH} SELECT src, dst, weight FROM relations r JOIN entities a ON a.id = src JOIN entities b ON b.id = dst WHERE a.scope IN ('nation/3', 'nation/7', 'parts') AND b.scope IN ('nation/3', 'nation/7', 'parts')",
-    "g1_neighbourhood": f"""{_WITH}, h AS (SELECT * FROM both_ WHERE weight > 1), z AS (SELECT id AS root, id, 0 AS distance FROM entities WHERE scope = 'nation/3'),
+    "g1_neighbourhood": f"""{_WITH}, h AS (SELECT * FROM both_ WHERE weight > 1), z AS (SELECT id AS root, id, 0 AS distance FROM entities WHERE entity_type = 'supplier'),
       o AS (SELECT DISTINCT root, dst AS id FROM z JOIN h ON id = src), t AS (SELECT DISTINCT root, dst AS id FROM o JOIN h ON id = src)
       SELECT root, id, min(distance) AS distance FROM (SELECT * FROM z UNION ALL SELECT *, 1 FROM o UNION ALL SELECT *, 2 FROM t) GROUP BY root, id""",
     "g1_neighbourhood_all": f"""{_WITH}, z AS (SELECT id AS root, id, 0 AS distance FROM entities WHERE entity_type = 'supplier'),
       o AS (SELECT DISTINCT root, dst AS id FROM z JOIN both_ ON id = src), t AS (SELECT DISTINCT root, dst AS id FROM o JOIN both_ ON id = src)
       SELECT root, id, min(distance) AS distance FROM (SELECT * FROM z UNION ALL SELECT *, 1 FROM o UNION ALL SELECT *, 2 FROM t) GROUP BY root, id""",
     "g7_components": f"{COMPONENTS_SQL} SELECT id, c AS component FROM l10",
-    "g2_pagerank": f"""{_WITH}, outs AS (SELECT src, sum(weight) AS t FROM both_ GROUP BY src), k AS (SELECT id FROM entities WHERE scope = 'nation/3' AND id IN (SELECT src FROM both_)),
-      s0 AS (SELECT id, 1.0 / (SELECT count(*) FROM k) AS score FROM k), {_STEP.format(n='s1', p='s0')}, {_STEP.format(n='s2', p='s1')}, {_STEP.format(n='s3', p='s2')} SELECT 'nation/3' AS qid, id, round(score, 8) AS score FROM s3""",
+    "g2_pagerank": f"""{_WITH}, outs AS (SELECT src, sum(weight) AS t FROM both_ GROUP BY src), k AS (SELECT scope AS qid, id FROM entities WHERE entity_type = 'supplier' AND id IN (SELECT src FROM both_)),
+      s0 AS (SELECT qid, id, 1.0 / count(*) OVER (PARTITION BY qid) AS score FROM k), {_STEP.format(n='s1', p='s0')}, {_STEP.format(n='s2', p='s1')}, {_STEP.format(n='s3', p='s2')} SELECT qid, id, round(score, 8) AS score FROM s3""",
     "g5_modularity": f"""{_WITH}, x AS (SELECT a.scope AS component, sum(CASE WHEN a.scope = b.scope THEN weight ELSE 0 END) AS i, sum(weight) AS t FROM both_ JOIN entities a ON a.id = src JOIN entities b ON b.id = dst GROUP BY 1)
       SELECT component, round(i / (SELECT sum(weight) FROM both_) - (t / (SELECT sum(weight) FROM both_)) ** 2, 9) AS modularity FROM x""",
     "g11_related": f"""{_WITH}, e AS (SELECT src AS id, dst AS other, false AS reverse, weight FROM relations UNION ALL SELECT dst, src, true, weight FROM relations)
