@@ -93,6 +93,47 @@ def handoffs(sessions: DataFrame, decisions: DataFrame, state: DataFrame, k: int
     return out.select("id", F.concat(F.lit("Goal: "), "goal", F.lit("\nDecisions:\n"), F.coalesce("_d", none), F.lit("\nState:\n"), F.coalesce("_s", none)).alias("context"))
 
 
+#: The most pending candidates that an answer counts.
+PENDING = 200
+
+
+def scoped_answers(questions: DataFrame, found: DataFrame, sections: dict[str, tuple[DataFrame, Column, list[Column], int]], candidates: DataFrame, evidence: DataFrame, k: int = 5) -> dict[str, DataFrame]:
+    """``answers`` (qid, answer), ``audit`` (qid, agent, question, scope, returned_ids) and those ``rejected`` (qid, error) of ``questions`` (qid, query, scope, agent).
+
+    An answer holds what the question's scope sees: a line for each of ``sections`` (title: records, line, order, k) that has records, the first ``k``
+    of what was ``found`` (qid, id, record_type, title, scope, snippet, rank) with two pieces of ``evidence`` (id, created_at, uri) each, and how many
+    ``candidates`` (scope, status) are pending, ``PENDING`` at most. The first 20 that were found, which is what a question may ask for, are audited as type:id. An empty question is
+    rejected, an empty agent is unknown. Scopes are briefed once, however many questions have them, and counted by scope before they are joined.
+    """
+    asked = questions.withColumn("query", F.trim("query"))
+    empty = F.coalesce(F.col("query"), F.lit("")) == ""
+    rejected = asked.where(empty).select("qid", F.lit("question is required").alias("error"))
+    asked = stored(asked.where(~empty).withColumns({"scope": F.coalesce("scope", F.lit("")), "agent": F.coalesce(F.nullif(F.trim("agent"), F.lit("")), F.lit("unknown"))}), "asked")
+    scopes = asked.select(F.col("scope").alias("query_scope")).distinct()
+    in_order = lambda by: F.transform(F.array_sort(F.collect_list(F.struct(by, "line"))), lambda x: x["line"])
+    out = asked
+    for i, (title, (records, line, order, most)) in enumerate(sections.items()):
+        seen = listing.list_records(scopes, records, order, most).select(F.col("query_scope").alias("scope"), "rank", line.alias("line"))
+        per = seen.groupBy("scope").agg(F.concat(F.lit(f"{title}: "), F.array_join(in_order("rank"), "; "), F.lit(".")).alias(f"_section{i}"))
+        out = out.join(per, "scope", "left")
+    waiting = listing.counts(scopes, {"pending": candidates.where("status = 'pending'")})
+    out = out.join(waiting.select(F.col("query_scope").alias("scope"), F.least("pending", F.lit(PENDING)).alias("_pending")), "scope", "left")
+
+    shown = search.top(found.join(asked.select("qid"), "qid", "left_semi"), ["qid"], [F.col("rank"), F.col("id")], 20, "_place")  # a question asks for 20 at most
+    first = search.top(evidence.join(shown.where(F.col("_place") <= k).select("id").distinct(), "id", "left_semi"), ["id"], [F.col("created_at"), F.col("uri")], 2, "_n")
+    proof = first.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "uri"))), lambda x: x["uri"]), ", ").alias("_proof"))
+    lines = F.concat(F.lit("- ["), "record_type", F.lit("] "), "title", F.lit(" ("), text.display_scope(F.col("scope")), F.lit(") — "), "snippet", F.lit(" Evidence: "), F.coalesce("_proof", F.lit("no evidence link")))
+    cited = shown.where(F.col("_place") <= k).join(proof, "id", "left").select("qid", "_place", lines.alias("line")).groupBy("qid").agg(F.concat(F.lit("Most relevant:\n"), F.array_join(in_order("_place"), "\n")).alias("_cited"))
+    ids = shown.select("qid", "_place", F.concat("record_type", F.lit(":"), F.col("id").cast("string")).alias("line")).groupBy("qid").agg(in_order("_place").alias("returned_ids"))
+    out = out.join(cited, "qid", "left").join(ids, "qid", "left")
+    parts = [f"_section{i}" for i in range(len(sections))] + ["_cited"]
+    nothing = F.when(F.coalesce(*parts).isNull(), F.lit("Nothing is known about this."))
+    pending = F.when(F.col("_pending") > 0, F.format_string("Pending review: %d.", "_pending"))
+    answer = F.concat_ws("\n", F.concat(F.lit("Asked: "), "query"), nothing, *parts, pending)
+    audit = out.select("qid", "agent", F.col("query").alias("question"), "scope", F.coalesce("returned_ids", F.array().cast("array<string>")).alias("returned_ids"))
+    return {"answers": out.select("qid", answer.alias("answer")), "audit": audit, "rejected": rejected}
+
+
 # Lines of a handoff's text.
 NOTHING, NO_GOAL = "- None recorded.", "No goal recorded"
 HANDOFF_ENDS = "Start from the remaining items and verify current repository state before editing."

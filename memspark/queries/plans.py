@@ -68,6 +68,28 @@ def r11(spark, sf_dir):
     return assist.handoffs(sessions, decisions, state)
 
 
+@register("r9_scoped_answers", f"""WITH q AS (SELECT item_id AS qid, trim(text) AS query, 'r/' || (item_id % 5) AS scope FROM benchmark),
+  t AS (SELECT 'r/' || (s_suppkey % 5) AS scope, 's' || s_suppkey AS key, s_suppkey % 7 AS u FROM supplier UNION ALL SELECT '', 'n' || n_nationkey, n_nationkey % 7 FROM nation),
+  v AS (SELECT q.scope, key, row_number() OVER (PARTITION BY q.scope ORDER BY u DESC, key) AS n FROM (SELECT DISTINCT scope FROM q) q JOIN t ON t.scope IN ('', q.scope)),
+  sd AS (SELECT scope, 'Active work: ' || string_agg(key, '; ' ORDER BY n) || '.' AS state FROM v WHERE n <= 3 GROUP BY scope),
+  p AS (SELECT 'r/' || (o_custkey % 5) AS scope, 'Pending review: ' || least(count(*), 200) || '.' AS pending FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+  e AS (SELECT doc_id AS id, string_agg('label/' || toxic, ', ') AS proof FROM labels GROUP BY doc_id),
+  f AS (SELECT qid, 'Most relevant:' || chr(10) || string_agg('- [document] ' || split_part(text, chr(10), 1) || ' (global) — ' || source || ' Evidence: ' || coalesce(proof, 'no evidence link'), chr(10) ORDER BY rank) AS cited
+    FROM ({retrieval.fused_sql(15, 5, True)}) r JOIN documents ON doc_id = r.id LEFT JOIN e ON e.id = r.id GROUP BY qid)
+  SELECT qid, concat_ws(chr(10), 'Asked: ' || query, CASE WHEN state IS NULL AND cited IS NULL THEN 'Nothing is known about this.' END, state, cited, pending) AS answer FROM q LEFT JOIN sd USING (scope) LEFT JOIN p USING (scope) LEFT JOIN f USING (qid)""")
+def r9s(spark, sf_dir):
+    """The benchmark's questions from five scopes; suppliers and nations are the open work, orders the candidates, labels the evidence."""
+    r, region = _records(spark, sf_dir), lambda c: F.concat(F.lit("r/"), (C(c) % 5).cast("string"))
+    questions = table(spark, sf_dir, "benchmark").select(C("item_id").alias("qid"), C("text").alias("query"), region("item_id").alias("scope"), F.lit("codex").alias("agent"))
+    documents = table(spark, sf_dir, "documents").select(C("doc_id").alias("id"), F.lit("document").alias("record_type"), F.lit("").alias("scope"), C("source").alias("snippet"))
+    found = assist.find(_queries(spark, sf_dir), r, "hybrid", 5).select("qid", "id", "rank").join(documents, "id").join(r.select("id", "title"), "id")
+    work = lambda name, scope, mark, key: table(spark, sf_dir, name).select(scope.alias("scope"), F.concat(F.lit(mark), C(key).cast("string")).alias("key"), (C(key) % 7).alias("at"))
+    state = work("supplier", region("s_suppkey"), "s", "s_suppkey").unionByName(work("nation", F.lit(""), "n", "n_nationkey"))
+    candidates = table(spark, sf_dir, "orders").select(region("o_custkey").alias("scope"), F.when(C("o_orderstatus") == "P", "pending").otherwise("approved").alias("status"))
+    evidence = table(spark, sf_dir, "labels").select(C("doc_id").alias("id"), C("quality").alias("created_at"), F.concat(F.lit("label/"), C("toxic").cast("string")).alias("uri"))
+    return assist.scoped_answers(questions, found, {"Active work": (state, C("key"), [C("at").desc(), C("key")], 3)}, candidates, evidence)["answers"]
+
+
 def _line(parts: str) -> str:
     """SQL of a text whose parts are joined; ~ stands for a line feed."""
     return parts.replace("~", "' || chr(10) || '")
