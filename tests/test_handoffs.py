@@ -49,3 +49,16 @@ def test_nothing_asked_changes_nothing(spark):
     state = spark.createDataFrame([], "key string, scope string, title string, status string, updated_at timestamp")
     got = assist.hand_off(sessions, asked, decisions, state, F.current_timestamp())
     assert all(not df.count() for df in got.values())
+
+
+def test_decisions_of_one_time_and_id_come_by_title(spark):
+    from datetime import datetime
+
+    none = (None,) * 3
+    sessions = spark.createDataFrame([("a", "codex", "p", "", "g", "active", *none, datetime(2024, 1, 1), None, None, None, None, None)], SESSION)
+    asked = spark.createDataFrame([(1, "p", "a")], "place int, project string, id string")
+    state = spark.createDataFrame([], "key string, scope string, title string, status string, updated_at timestamp")
+    for titles in ("NAR", "RAN"):
+        decisions = spark.createDataFrame([("2", "a", t, datetime(2024, 1, 1)) for t in titles], "id string, decided_in string, title string, created_at timestamp").coalesce(1)
+        context = assist.hand_off(sessions, asked, decisions, state, F.current_timestamp(), 2)["contexts"].first().context
+        assert "## Decisions Made\n- 2: A\n- 2: N\n\n" in context
