@@ -49,3 +49,12 @@ def test_rounds_of_ranks_in_small_components_store_nothing(spark, monkeypatch):
     monkeypatch.setattr(graph, "stored", lambda df, name: names.append(name) or keep(df, name))
     ranks(spark)
     assert "scores" not in names
+
+
+def test_partitions_of_edges_grow_with_their_rows(spark, monkeypatch):
+    from memspark.operators import stored
+
+    monkeypatch.setattr(stored, "PARTITION_ROWS", 100)
+    edges = spark.range(1000).selectExpr("concat('s', id) AS src", "concat('p', id % 7) AS dst", "1.0 AS weight")
+    both = graph.symmetric(edges)
+    assert both.rdd.getNumPartitions() == 20 and both.count() == 2000
