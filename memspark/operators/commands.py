@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from memspark.functions import enums, text
 from memspark.operators.changes import emitted, patch, upsert_latest
 from memspark.operators.redact import redacted, redacted_json
+from memspark.operators.stored import spread
 
 EVIDENCE_CHARACTERS = 800
 
@@ -74,10 +75,12 @@ def save_entities(entities: DataFrame, observations: DataFrame, relations: DataF
     }
     c, wrong = enums.split_valid(c.withColumn("_target", text.slugify(F.col("_r.target"))), rules)
     ids = entities.select("id").unionByName(c.select(F.col("entity_id").alias("id"))).distinct().withColumn("_known", F.lit(True))
-    c = c.join(ids.withColumnRenamed("id", "_target"), "_target", "left")
+    # commands without a target meet nothing, each in the partition of its own entity instead of all in that of null
+    n, alone = commands.count(), F.concat(F.lit("\u0000"), "entity_id")
+    c = spread(c.withColumn("_key", F.coalesce("_target", alone)), n, "_key").join(ids.withColumnRenamed("id", "_key"), "_key", "left").drop("_key")
     lost = F.col("_target").isNotNull() & F.col("_known").isNull()
     rejected = wrong.select("place", "errors").unionByName(c.where(lost).select("place", F.array(F.lit("entity not found")).alias("errors")))
-    c = c.where(~lost)
+    c = spread(c.where(~lost), n, "entity_id")
     source = F.when(F.col("session").isNotNull(), F.concat(F.lit("session:"), "session"))
     mark = lambda *parts: F.substring(F.sha2(F.concat_ws("\u001f", *parts), 256), 1, 26)
     order = F.col("place").desc()
