@@ -32,3 +32,11 @@ def test_reached_lists(spark, monkeypatch, listed, ways):
     got = graph.neighbourhood(spark.createDataFrame([(r,) for r in roots], "root string"), edges, 3).collect()
     expected = set().union(*(reached(r, pairs, 3) for r in roots))
     assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+
+
+def test_lists_of_the_last_step_are_not_stored(spark, monkeypatch):
+    names, keep = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: names.append(name) or keep(df, name))
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0)], "src string, dst string, weight double")
+    got = {tuple(r) for r in graph.neighbourhood(spark.createDataFrame([("a",)], "root string"), edges, 2).collect()}
+    assert got == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2)} and names.count("reached") == 2
